@@ -212,4 +212,5 @@ def simhash_groups(docs: DataFrame, distance: int = 3, size: int = 3, bucket: in
     least = tied.groupBy("root").agg(F.min("first_id").alias("root_id"))
     joined = tied.join(least, "root").select("fp", "root_id", F.lit(True).alias("tied"))
     by_fp = distinct.join(joined, "fp", "left").select("fp", F.when(F.col("tied"), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return own.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # As a table of its own, so that Spark can split a fingerprint that very many documents have.
+    return own.join(stored(by_fp, "by-fingerprint"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
