@@ -12,6 +12,8 @@ already mean one edit, and no pair has to be formed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +50,21 @@ def _key(line: Column, chars: Column, length: Column, region: Column, regions: i
 
 
 def _keys(regions: int) -> Column:
-    """Keys under which a line is found (own) and with which it looks for lines one character shorter."""
+    """Keys of both halves under which a line is found (own), and with which it looks for lines one character shorter."""
     line, chars = F.col("line"), F.col("chars")
+    return F.array(*(_key(line, chars, chars - int(not own), F.lit(r), regions) for r in range(regions) for own in (True, False)))
+
 
-    def of(r: Column) -> Column:
-        return F.array(
-            F.struct(_key(line, chars, chars, r, regions).alias("key"), F.lit(True).alias("own"), r.alias("region")),
-            F.struct(_key(line, chars, chars - 1, r, regions).alias("key"), F.lit(False).alias("own"), r.alias("region")),
-        )
+def _parts(group: DataFrame, regions: int, into: int) -> DataFrame:
+    """Rows (line, own, region) with the keys of the ``into`` parts that each region is cut into."""
+    cut = group.withColumn("region", F.explode(F.transform(F.sequence(F.lit(0), F.lit(into - 1)), lambda c: F.col("region") * into + c)))
+    length = F.when(F.col("own"), F.col("chars")).otherwise(F.col("chars") - 1)
+    return cut.select(*NODE, "own", "region", _key(F.col("line"), F.col("chars"), length, F.col("region"), regions * into).alias("key"))
 
-    if regions == 2:
-        return F.concat(of(F.lit(0)), of(F.lit(1)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(regions - 1)), of))
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
@@ -85,19 +90,21 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
             match = match.bitwiseOR(F.when(inside & same, lit(1 << k)).otherwise(lit(0)))
         # Differences down a column, one bit for each row of the band: plus (vp) or minus (vn) one.
         vp, vn, above = state["vp"], state["vn"], state["low"]
-        diagonal = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn)
-        hp = vn.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(vp)))
-        hn = diagonal.bitwiseAND(vp)
-        down = F.shiftrightunsigned(diagonal, 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(lit(full)).alias("vp"),
-            down.bitwiseAND(hp).bitwiseAND(lit(full)).alias("vn"),
-            # the distance on the lowest diagonal of the band
-            (above + F.when(diagonal.bitwiseAND(lit(1 << (width - 1))) != 0, 0).otherwise(1)).cast("int").alias("low"),
-        )
+
+        def column(diagonal: Column) -> Column:
+            hp = vn.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(vp)))
+            hn = diagonal.bitwiseAND(vp)
+            down = F.shiftrightunsigned(diagonal, 1)
+            return F.struct(
+                hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(lit(full)).alias("vp"),
+                down.bitwiseAND(hp).bitwiseAND(lit(full)).alias("vn"),
+                # the distance on the lowest diagonal of the band
+                (above + F.when(diagonal.bitwiseAND(lit(1 << (width - 1))) != 0, 0).otherwise(1)).cast("int").alias("low"),
+            )
+
+        return _let(match, lambda m: _let((m.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn), column))
 
     start = F.struct(lit(full ^ ((1 << most) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(most).alias("low"))
-    last = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step)
     # From the lowest diagonal up to the one that ends in the corner, by the differences of the last column.
     steps = F.lit(most) + F.length(b) - F.length(a)
 
@@ -109,7 +116,7 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
             total = total - F.when(F.lit(k) < steps, move).otherwise(0)
         return total
 
-    near = up(last) <= most
+    near = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step, lambda last: up(last) <= most)
     return (
         F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False))
         .when((F.length(a) == 0) | (F.length(b) == 0), F.greatest(F.length(a), F.length(b)) <= most)
@@ -143,20 +150,25 @@ def _pairs(rows: DataFrame, regions: int) -> DataFrame:
     return near.select(later.alias("n")).select("n.*").distinct()
 
 
-def _by_character(lines: DataFrame) -> DataFrame:
-    """The later neighbours among lines with very common keys, without pairs: (h1, h2).
+def _by_character(group: DataFrame, regions: int) -> DataFrame:
+    """The later neighbours under very common keys, without pairs: (h1, h2).
 
-    One substitution: equal keys with a region of one character; all but the earliest have an earlier
-    neighbour. One insertion: a line without a character is another line as a whole; the star of that line.
+    The regions of ``group`` have one character at most. One substitution: lines that are equal but for that
+    character; all but the earliest have an earlier neighbour. One insertion: a line without a character there
+    is another line as a whole; all meet at that line.
     """
     line, chars = F.col("line"), F.col("chars")
-    spots = lines.withColumn("p", F.explode(F.sequence(F.lit(1), F.col("chars"))))
-    cut = F.xxhash64(chars, F.substring(line, F.lit(1), F.col("p") - 1), F.lit(3), F.substring(line, F.col("p") + 1, chars))
-    swapped = spots.select(*NODE, "place", F.xxhash64(F.col("p"), cut).alias("key"))
+    length = F.when(F.col("own"), chars).otherwise(chars - 1)
+    low, high = _border(length, F.col("region"), regions), _border(length, F.col("region") + 1, regions)
+    wide = F.when(F.col("own"), high).otherwise(high + 1)
+    spots = group.filter(wide > low).withColumn("p", F.explode(F.sequence(low + 1, wide)))
+    front, back = F.substring(line, F.lit(1), F.col("p") - 1), F.substring(line, F.col("p") + 1, chars)
+    swapped = spots.filter("own").select(*NODE, "place", F.xxhash64(chars, "p", front, F.lit(3), back).alias("key")).distinct()
     first = swapped.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
     substituted = swapped.join(first, "key").filter("place > first").select(*NODE)
-    shorter = spots.select(*NODE, "place", F.xxhash64(F.concat(F.substring(line, F.lit(1), F.col("p") - 1), F.substring(line, F.col("p") + 1, chars))).alias("key")).distinct()
-    star = shorter.join(lines.select(F.xxhash64(line).alias("key"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("place").alias("center")), "key")
+    shorter = spots.filter("not own").select(*NODE, "place", F.xxhash64(F.concat(front, back)).alias("key")).distinct()
+    centers = group.filter("own").select(F.xxhash64(line).alias("key"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("place").alias("center")).distinct()
+    star = shorter.join(centers, "key")
     inserted = star.filter("center < place").select(*NODE).unionByName(star.filter("place < center").select(F.col("c1").alias("h1"), F.col("c2").alias("h2")))
     return substituted.unionByName(inserted).distinct()
 
@@ -169,7 +181,7 @@ def _small(df: DataFrame, most: int) -> bool:
 def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(distinct lines with their first place and number, the lines with an earlier line within one edit)."""
     keys = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
-    with_keys = lines.withColumn("k", _keys(2)).select(*NODE, "chars", _place().alias("place"), *(F.col("k")[i]["key"].alias(f"k{i}") for i in range(4)))
+    with_keys = lines.withColumn("k", _keys(2)).select(*NODE, "chars", _place().alias("place"), *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
     distinct = stored(with_keys.groupBy(*NODE).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("chars").alias("chars"), *keys), "lines")
     entries = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i % 2 == 0).alias("own"), F.lit(i // 2).alias("region")) for i in range(4)))
     keyed = distinct.select(*NODE, F.explode(entries).alias("e")).select(*NODE, "e.*")
@@ -184,21 +196,19 @@ def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000
     texts = lines.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")) & same_place).select(*NODE, "place", "line", "chars").dropDuplicates(NODE)
     texts = stored(texts, "texts")
 
-    light = shared.filter(F.col("rows") <= bucket)
-    found = _pairs(light.join(texts, NODE), 2)
-    heavy = stored(shared.filter(F.col("rows") > bucket).select(*NODE).distinct(), "heavy")
-    regions = 2
-    while not heavy.isEmpty():
-        regions *= 8
-        group = stored(texts.join(heavy, NODE), "group")
+    regions, found = 2, []
+    while True:
+        found.append(stored(_pairs(shared.filter(F.col("rows") <= bucket).join(texts, NODE), regions), "near"))
+        heavy = stored(shared.filter(F.col("rows") > bucket).select(*NODE, "own", "region").distinct(), "heavy")
+        if heavy.isEmpty():
+            break
+        group = heavy.join(texts, NODE)
         if regions >= group.agg(F.max("chars")).first()[0]:
-            found = found.unionByName(_by_character(group))
+            found.append(stored(_by_character(group, regions), "near"))
             break
-        keyed = group.select(*NODE, "place", "line", "chars", F.explode(_keys(regions)).alias("e")).select(*NODE, "e.*")
-        shared = stored(_shared(keyed), "shared")
-        found = found.unionByName(_pairs(shared.filter(F.col("rows") <= bucket).join(group, NODE), regions))
-        heavy = stored(shared.filter(F.col("rows") > bucket).select(*NODE).distinct(), "heavy")
-    return distinct, stored(found.distinct(), "near")
+        shared = stored(_shared(_parts(group, regions, 8)), "shared")
+        regions *= 8
+    return distinct, reduce(DataFrame.unionByName, found).distinct()
 
 
 def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
