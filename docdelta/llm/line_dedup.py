@@ -75,19 +75,15 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    pad = "\u0000" * most
-    rows = F.concat(F.lit(pad), a, F.lit(pad))
 
     def lit(x: int) -> Column:
         return F.lit(x).cast("long")
 
-    def step(state: Column, j: Column) -> Column:
-        char, span = F.substring(b, j, F.lit(1)), F.substring(rows, j, F.lit(width))
+    def step(state: Column, j: Column, xs: Column, ys: Column) -> Column:
+        char = F.get(ys, j - 1)
         match = lit(0)
         for k in range(width):
-            inside = (j + k > most) & (j + k - most <= F.length(a))
-            same = F.substring(span, k + 1, 1) == char
-            match = match.bitwiseOR(F.when(inside & same, lit(1 << k)).otherwise(lit(0)))
+            match = match.bitwiseOR(F.when(F.get(xs, j - 1 + (k - most)) == char, lit(1 << k)).otherwise(lit(0)))
         # Differences down a column, one bit for each row of the band: plus (vp) or minus (vn) one.
         vp, vn, above = state["vp"], state["vn"], state["low"]
 
@@ -116,7 +112,10 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
             total = total - F.when(F.lit(k) < steps, move).otherwise(0)
         return total
 
-    near = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step, lambda last: up(last) <= most)
+    def fold(xs: Column, ys: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(ys)), start, lambda state, j: step(state, j, xs, ys), lambda last: up(last) <= most)
+
+    near = _let(F.split(a, ""), lambda xs: _let(F.split(b, ""), lambda ys: fold(xs, ys)))
     return (
         F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False))
         .when((F.length(a) == 0) | (F.length(b) == 0), F.greatest(F.length(a), F.length(b)) <= most)
