@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, stored
 from .tokens import piece_cache
 
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -94,7 +94,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """Changes that delete each document whose text an earlier document has too."""
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
     first = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = keyed.join(first, ["a", "b"]).filter("doc_id > first")
+    later = keyed.join(stored(first, "copies"), ["a", "b"]).filter("doc_id > first")
     none = F.lit(None).cast("string")
     return later.select("doc_id", none.alias("source"), none.alias("lang"), none.alias("text"), F.lit("delete").alias("op"))
 
