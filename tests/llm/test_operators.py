@@ -1,0 +1,266 @@
+"""The operators against plain versions on small tables, and their edges."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from docdelta.llm import chat_links, decontamination, license_scan, packing, quality_classifier, quality_rules, secret_scan, simhash, token_rollup
+from docdelta.llm.components import components
+from docdelta.llm.tokens import PieceCache
+
+EDGES = [(None, "some words here that stand"), (1, None), (2, ""), (3, " \n\t "), (4, "é " * 3000), (5, "same text of a few words"), (5, "same text of a few words")]
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    df = spark.createDataFrame(EDGES, "doc_id long, text string")
+    return df.withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("en")).withColumn("key", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("ids", F.lit("x")).withColumn("row", F.lit(0))
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_licenses(spark, sample, edges):
+    extra = spark.createDataFrame([(-1, "Under the MIT License, under-the.MIT license cc BY-nc"), (-2, "apache license version 20"), (-3, "released under the MIT licence, licensed under the Apache License, Version 2.0")], "doc_id long, text string")
+    docs = sample.select("doc_id", "text").unionByName(extra).unionByName(edges.select("doc_id", "text"))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = []
+    for i, t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        at = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        starts = [k for k, _ in at]
+        want.append((i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
+    rows = license_scan.license_scan(docs).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in rows)
+    assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in rows)
+    assert license_scan.license_scan(docs.limit(0)).count() == 0
+
+
+def test_matching_statistics():
+    rng = random.Random(4)
+    sequences = [[rng.choice("abc").encode() for _ in range(rng.randint(1, 7))] for _ in range(5)]
+    machine = license_scan.Automaton(sequences)
+    substrings = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    for _ in range(50):
+        text = [rng.choice("abcd").encode() for _ in range(20)]
+        got = {i: n for i, _, n in machine.statistics(text)}
+        for i in range(20):
+            assert got.get(i, 0) == max((n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in substrings), default=0)
+
+
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_simhash(spark, sample, edges, bucket):
+    """A bucket bound of 2 sends all common keys through the deeper levels."""
+    rows = simhash.simhash_groups(sample, bucket=bucket).collect()
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    fp = np.array([plain_fingerprint(texts[r.doc_id]) for r in rows], np.uint64)
+    assert [int(r.fingerprint, 16) for r in rows] == fp.tolist()
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    label = np.array([r.doc_id for r in rows])
+    while (new := np.array([label[near[k]].min() for k in range(len(rows))])).tolist() != label.tolist():
+        label = new
+    assert [r.component_id for r in rows] == label.tolist()
+    got = {(r.doc_id, r.fingerprint == "0" * 16, r.component_id) for r in simhash.simhash_groups(edges).collect()}
+    assert {(1, True, 1), (2, True, 1), (3, True, 1), (5, False, 5)} <= got and simhash.simhash_groups(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_dense_fingerprints(spark, bucket):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), bucket=bucket)
+    got = {r.node: r.root for r in components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).collect()}
+    label = {v: v for v in signed}
+    fp = np.array(signed).view(np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    while True:
+        new = {v: min(label[signed[j]] for j in np.flatnonzero(near[k])) for k, v in enumerate(signed)}
+        if new == label:
+            break
+        label = new
+    assert {v: got.get(v, v) for v in signed} == label
+
+
+def test_long_chain_of_links(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 3), (900, 901), (900, 901)], "u long, v long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
+
+
+def test_ids_like_tokenizers(sample):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    real.encode_special_tokens = True
+    cache = PieceCache("byte_bpe_50k")
+    texts = [r.text for r in sample.limit(80).collect()] + ["", " ", "a  b", "a \n b", " x", "x ", "a b  c", "it's <|endoftext|> 1 2\n\n 3", "é\x1c é"]
+    for t in texts:
+        assert np.frombuffer(cache.packed(t), "<u2").tolist() == real.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark, sample, edges):
+    for docs in (sample.select("doc_id", "text"), edges, edges.limit(0)):
+        tokens = packing.stored(packing.encoded(docs), "tokens")
+        rows = packing.packed_pieces(tokens, shard_tokens=5000).collect()
+        ids: dict = {}
+        for r in tokens.collect():
+            ids.setdefault(r.doc_id, []).append(np.frombuffer(r.ids, "<u2"))
+        by_doc, by_sequence = {}, {}
+        for r in rows:
+            by_doc.setdefault(r.doc_id, []).append(r)
+            by_sequence.setdefault(r.sequence_id, []).append(r)
+            parts = {zlib.crc32(x[r.start : r.start + r.length].astype("<u4").tobytes()) for x in ids[r.doc_id] if len(x) == r.doc_tokens}
+            assert r.ids_crc32 in parts and r.length > 0
+        assert {d: sum(map(len, x)) for d, x in ids.items()} == {d: sum(r.length for r in x) for d, x in by_doc.items()}
+        for own in by_sequence.values():
+            own.sort(key=lambda r: r.offset)
+            assert [r.offset for r in own] == [sum(r.length for r in own[:k]) for k in range(len(own))]
+            n = sum(r.length for r in own)
+            assert n <= 1024 and n & (n - 1) == 0
+
+
+def test_bm25_neighbours():
+    rng = np.random.default_rng(0)
+    ids = [rng.integers(1, 40, rng.integers(5, 30)) for _ in range(25)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    idf = np.log1p((25 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = float(np.mean([len(x) for x in ids]))
+    shard = packing.Shard(ids, idf, mean, terms=10_000)
+    weigh = lambda x, t: idf[t] * (tf := int((x == t).sum())) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    for seed in range(25):
+        want = np.array([sum(weigh(x, t) for t in np.unique(ids[seed])) for x in ids])
+        got = shard.neighbours(seed)
+        assert np.all(np.diff(want[got]) <= 1e-4) and set(got.tolist()) >= {k for k in range(25) if k != seed and want[k] > 1e-6}
+
+
+def test_decontamination(spark, edges):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [(k, " ".join(word() for _ in range(rng.choice([12, 40, 70])))) for k in range(30)]
+    rows = []
+    for k in range(300):
+        body = [word() for _ in range(rng.randint(0, 120))]
+        item = items[k % 30][1].split() if k % 3 == 0 else []
+        if k % 6 == 0 and len(item) > 20:  # a paraphrase: every sixth word is another
+            item = [word() if n % 6 == 3 else w for n, w in enumerate(item)]
+        at = rng.randint(0, len(body))
+        rows.append((k, " ".join(body[:at] + item + body[at:]).upper()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hit_id", F.lit(1))
+    bench = spark.createDataFrame([*items, (99, ""), (98, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.benchmark_hits(docs, bench).collect()}
+    want = {(k, k % 30) for k in range(0, 300, 3)}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()} == set(range(300)) - {d for d, _ in got}
+    assert decontamination.benchmark_hits(edges, bench).count() == 0 and decontamination.benchmark_hits(docs, bench.limit(0)).count() == 0
+
+
+def test_quality(spark, edges):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality_classifier.quality_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) > 0.95 * len(rows)
+    got = quality_classifier.quality_scores(edges, labels.limit(0)).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+    kept = quality_classifier.keep_quality(edges, labels)
+    assert kept.columns == edges.columns and kept.count() <= len(EDGES)
+
+
+def test_discriminant_density():
+    """Differences of log densities are those of the shrunk Gaussians."""
+    rng = np.random.default_rng(1)
+    k = len(quality_classifier.NAMES)
+    x = {c: rng.normal(c, 1 + c, (200, k)) for c in (0, 1)}
+    model = quality_classifier.QuadraticDiscriminant({c: (200.0, v.sum(0), v.T @ v) for c, v in x.items()}, pooled=0.2, ridge=0.1)
+    means = {c: v.mean(0) for c, v in x.items()}
+    spread = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    center = (means[0] + means[1]) / 2
+    within = (spread[0] + spread[1]) / 2
+    scale = np.sqrt(np.diag(within + sum(np.outer(means[c] - center, means[c] - center) for c in (0, 1)) / 2))
+    logs = []
+    for c in (0, 1):
+        s = (0.8 * spread[c] + 0.2 * within) / np.outer(scale, scale)
+        s = 0.9 * s + 0.1 * np.trace(s) / k * np.eye(k)
+        z = (x[1] - means[c]) / scale
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(model.scores(x[1]), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
+
+
+def test_quality_rules(spark, edges):
+    rows = [(i, f"shared line of the host\nown words {' '.join(f'w{i}x{k}' for k in range(12))}", "a") for i in range(30)] + [(100, "Shared  LINE of the host\n" + "b " * 8, "b"), (101, "shared line of the host\n" * 3, "a")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept and got[i].n_frequent_lines == 1 for i in range(30)) and got[100].n_frequent_lines == 0
+    assert not got[101].kept and got[101].n_dup_lines == 2 and got[101].n_repeat_words == 15
+    words = "a b c d e f a b c d e f g".split()
+    assert quality_rules.repeated_words([w.encode() for w in words]) == 12
+    out = quality_rules.quality_rules(edges).collect()
+    assert len(out) == len(EDGES) and all(r.base_failed and not r.kept for r in out if r.doc_id in (1, 2, 3)) and quality_rules.quality_rules(edges.limit(0)).count() == 0
+
+
+def test_rollup(spark, tmp_path, sample, edges):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
+    docs = sample.select("doc_id", "source", "lang", "text")
+    assert rollup.commit("a", docs.withColumn("op", F.lit("insert"))) and not rollup.commit("a", docs.withColumn("op", F.lit("insert")))
+    assert rollup.commit("b", docs.filter("doc_id % 3 = 0").withColumn("text", F.lit("new text")).withColumn("lang", F.lit(None).cast("string")).withColumn("op", F.lit("update")))
+    assert rollup.commit("c", docs.filter("doc_id % 5 = 0").withColumn("op", F.lit("delete"))) and rollup.commit("d", docs.limit(0).withColumn("op", F.lit("insert")))
+    assert not rollup.commit("b", docs.withColumn("op", F.lit("delete")))
+    want: dict = {}
+    for v in token_rollup.VERSIONS:
+        cache = PieceCache(v)
+        for r in docs.collect():
+            if r.doc_id % 5:
+                key, text = ((r.source, None, v), "new text") if r.doc_id % 3 == 0 else ((r.source, r.lang, v), r.text)
+                n, t = want.get(key, (0, 0))
+                want[key] = (n + 1, t + cache.count(text))
+    assert {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in rollup.totals().collect()} == want
+    other = token_rollup.TokenRollup(spark, str(tmp_path / "edges"))
+    other.commit("a", edges.withColumn("op", F.lit(None).cast("string")))
+    assert {r.documents for r in other.totals().collect()} == {5}
+
+
+def test_chat_links(spark):
+    calls = spark.createDataFrame(
+        [(1, "a", 0, "f", '{"y": 1, "x":"q"}', None), (1, "b", 2, "f", '{"x": 5}', ["a"]), (1, "c", 1, "f", "[1]", ["b", "zz"]), (1, "d", 3, "g", "not json", ["e"]), (1, "e", 4, "f", '{"x":"\\u00e9\\"","w":null}', ["d"]), (1, None, 5, "f", "{}", None), (1, "a", 0, "f", '{"y": 1, "x":"q"}', None), (None, "a", 0, "f", "{}", None)],
+        "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>",
+    )
+    results = spark.createDataFrame([(1, "a", 1, "r1"), (1, "a", 2, "r2"), (1, "b", 1, None), (2, "x", 0, "lost")], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("f", "x", "string", True), ("f", "y", "integer", False)], "name string, param string, type string, required boolean")
+    got = {r.call_id: r for r in chat_links.link_calls(calls, results, schemas).collect()}
+    assert set(got) == {"a", "b", "c", "d", "e"}
+    assert [got[c].level for c in "abcde"] == [0, 1, 2, None, None] and [got[c].place for c in "abc"] == [1, 2, 3]
+    assert [got[c].status for c in "abcde"] == ["linked", "early", "unanswered", "unanswered", "unanswered"]
+    assert [got[c].errors for c in "abcde"] == ["", "type:x", "not_an_object", "no_schema,not_an_object", "unknown:w"]
+    assert got["a"].message == '{"arguments":{"x":"q","y":1},"call_id":"a","conv_id":1,"level":0,"name":"f","result":"r1","status":"linked"}'
+    assert chat_links.link_calls(calls.limit(0), results, schemas).count() == 0
+
+
+def test_secrets(spark, edges):
+    rng = random.Random(2)
+    digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'some words token = "{digest()}" more words' if i % 2 else f"call number {rng.randint(10**15, 10**16)} for words") for i in range(200)]
+    got = secret_scan.secret_findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and all(r.is_secret == bool(r.doc_id % 2) for r in got)
+    given = spark.createDataFrame([(i, 20 if i % 2 else 12, i % 2 == 0) for i in range(100)], "doc_id long, start long, is_secret boolean")
+    turned = secret_scan.secret_findings(spark.createDataFrame(rows, "doc_id long, text string"), given).collect()
+    assert sum(r.is_secret == (r.doc_id % 2 == 0) for r in turned) > 190
+    assert secret_scan.secret_findings(edges).count() == 0
