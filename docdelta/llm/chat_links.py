@@ -45,7 +45,7 @@ def _checked(arguments: DataFrame, schemas: DataFrame) -> DataFrame:
     given = arguments.filter(F.expr("schema_of_variant(value) like 'OBJECT%'")).select(*ids, "name", F.expr("from_json(to_json(value), 'map<string,variant>')").alias("m"))
     given = given.select(*ids, "name", F.explode("m").alias("param", "v")).select(*ids, "name", "param", F.expr("schema_of_variant(v)").alias("is"))
     known = schemas.select("name").distinct().withColumn("known", F.lit(True))
-    wanted = arguments.filter("value is not null").select(*ids, "name").join(schemas, "name")
+    wanted = arguments.filter("schema_of_variant(value) like 'OBJECT%'").select(*ids, "name").join(schemas, "name")
     both = wanted.join(given.drop("name"), [*ids, "param"], "left")
     pattern = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))
     fits = F.expr("`is` rlike concat('^', pattern, '$')")
