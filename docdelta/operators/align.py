@@ -26,41 +26,65 @@ def _opcodes(a: list[str], b: list[str]) -> list[tuple]:
     return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
 
-def _similarity(a: str, b: str, least: float = 0.0) -> float:
-    """The matcher's ratio; 0 where bounds of it already lie under ``least``."""
-    if a == b:
-        return 1.0
-    n = len(a) + len(b)
-    if least and 2 * min(len(a), len(b)) < least * n:
-        return 0.0
-    matcher = SequenceMatcher(None, a, b, autojunk=False)
-    return 0.0 if least and matcher.quick_ratio() < least else matcher.ratio()
+def _similarity(a: str, b: str) -> float:
+    return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
+    """For each new unit the old ones that it may be paired with. Each two texts are compared once, and only if
+    bounds of their similarity, by length and by characters, allow a pair; what is kept are the pairs."""
+    by_length: dict[int, list[str]] = {}
+    for a in dict.fromkeys(old):
+        by_length.setdefault(len(a), []).append(a)
+    matcher = SequenceMatcher(None, autojunk=False)
+    found: dict[str, dict[str, float]] = {}
+    for b in dict.fromkeys(new):
+        own = found[b] = {}
+        matcher.set_seq2(b)
+        for n, group in by_length.items():
+            if 2 * min(n, len(b)) < PAIR_THRESHOLD * (n + len(b)):
+                continue
+            for a in group:
+                if a == b:
+                    own[a] = 1.0
+                    continue
+                matcher.set_seq1(a)
+                if matcher.quick_ratio() >= PAIR_THRESHOLD and (value := matcher.ratio()) >= PAIR_THRESHOLD:
+                    own[a] = value
+    return found
 
 
 def _pair_block(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Order-preserving pairs of greatest total similarity; what stays unpaired reads deletions first."""
-    n, m = len(old), len(new)
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    step = [["del"] + ["add"] * m for _ in range(n + 1)]
-    memo: dict[tuple[str, str], float] = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            key = (old[i - 1], new[j - 1])
-            if key not in memo:
-                memo[key] = _similarity(*key, PAIR_THRESHOLD)
-            value, kind = (best[i - 1][j - 1] + memo[key], "pair") if memo[key] >= PAIR_THRESHOLD else (-1.0, "none")
-            if best[i - 1][j] > value:
-                value, kind = best[i - 1][j], "del"
-            if best[i][j - 1] >= value:
-                value, kind = best[i][j - 1], "add"
-            best[i][j], step[i][j] = value, kind
+    """Order-preserving pairs of greatest total similarity; what stays unpaired reads deletions first.
+
+    A byte for each cell says how it was reached; of the totals two rows are held.
+    """
+    pair, gone, come = b"pda"
+    alike, n, m = _alike(old, new), len(old), len(new)
+    columns = [alike[b] for b in new]
+    above = [0.0] * (m + 1)
+    steps = [bytes([come]) * (m + 1)]
+    for a in old:
+        row, step = [0.0], bytearray([gone])
+        for j, scores in enumerate(columns):
+            value, kind = -1.0, gone
+            if a in scores:
+                value, kind = above[j] + scores[a], pair
+            if above[j + 1] > value:
+                value, kind = above[j + 1], gone
+            if row[j] >= value:
+                value, kind = row[j], come
+            row.append(value)
+            step.append(kind)
+        above = row
+        steps.append(bytes(step))
     out, i, j = [], n, m
     while i or j:
-        kind = step[i][j]
-        if kind == "pair":
+        kind = steps[i][j]
+        if kind == pair:
             i, j = i - 1, j - 1
             out.append(("pair", i, j))
-        elif kind == "del":
+        elif kind == gone:
             i -= 1
             out.append(("del", i, None))
         else:
@@ -103,8 +127,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(OPERATION)
 def align_units(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The diff of two arrays of normal forms: type with the place on each side."""
-    return pd.Series([_operations(list(a), list(b)) for a, b in zip(old, new, strict=True)])
+    """The diff of two arrays of normal forms: type with the place on each side. Null if a side is null."""
+    return pd.Series([None if a is None or b is None else _operations(list(a), list(b)) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
 def _escaped(x: str) -> str:
@@ -115,9 +139,12 @@ def _escaped(x: str) -> str:
 
 @F.pandas_udf(HTML)
 def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Both sides with changed pieces in marked spans; a change that is blank on both sides is not marked."""
+    """Both sides with changed pieces in marked spans; a change that is blank on both sides is not marked. Null if a side is null."""
     rows = []
     for a, b in zip(old, new, strict=True):
+        if a is None or b is None:
+            rows.append((None, None))
+            continue
         left, right = [], []
         for tag, i1, i2, j1, j2 in _opcodes(a, b):
             x, y = a[i1:i2], b[j1:j2]
@@ -140,27 +167,29 @@ def paired(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "old_doc_id", "new_doc_id").join(side("old"), "old_doc_id").join(side("new"), "new_doc_id")
 
 
+def _aligned() -> Column:
+    """Operations of a row of ``paired``; null where the normal forms are equal, which are not sent to Python."""
+    differ = F.col("old_norms") != F.col("new_norms")
+    return align_units(F.when(differ, F.col("old_norms")), F.when(differ, F.col("new_norms")))
+
+
 def compare_pairs(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """diff_units: pair_id, seq, type, old_no, new_no, old, new, old_html, new_html.
 
-    Pairs with equal normal forms are not aligned; only modified units get character spans.
+    Pairs with equal normal forms are not aligned; only modified units get character spans. All rows go the
+    same way, so that pairs are joined and aligned once.
     """
-    both = paired(pairs, units)
     equal = F.transform(F.sequence(F.lit(0), F.size("old_norms") - 1), lambda i: F.struct(F.lit("equal").alias("type"), i.cast("int").alias("old_no"), i.cast("int").alias("new_no")))
     equal = F.when(F.size("old_norms") > 0, equal).otherwise(F.array().cast(OPERATION))
-    same, rest = both.filter("old_norms = new_norms"), both.filter("not (old_norms = new_norms)")
-    operations = same.withColumn("op", equal).unionByName(rest.withColumn("op", align_units("old_norms", "new_norms")))
+    operations = paired(pairs, units).withColumn("op", _aligned()).withColumn("op", F.coalesce("op", equal))
     at = lambda side, what: F.get(F.col(f"{side}_{what}"), F.col(f"{side}_no"))
     rows = operations.select("pair_id", "old_units", "new_units", "old_norms", "new_norms", F.posexplode("op").alias("seq", "o")).select("*", "o.*").select(
         "pair_id", "seq", "type", "old_no", "new_no", at("old", "units").alias("old"), at("new", "units").alias("new"),
         F.when(F.col("type") == "modified", at("old", "norms")).alias("old_norm"), F.when(F.col("type") == "modified", at("new", "norms")).alias("new_norm"),
     )
-    changed = rows.filter("type = 'modified'").withColumn("h", char_diff("old_norm", "new_norm"))
-    plain = rows.filter("type <> 'modified'")
-    columns = ["pair_id", "seq", "type", "old_no", "new_no", "old", "new"]
-    return changed.select(*columns, "h.old_html", "h.new_html").unionByName(
-        plain.select(*columns, html_escape(F.col("old")).alias("old_html"), html_escape(F.col("new")).alias("new_html"))
-    )
+    marked = rows.withColumn("h", char_diff("old_norm", "new_norm"))
+    html = lambda side: F.coalesce(F.col(f"h.{side}_html"), html_escape(F.col(side))).alias(f"{side}_html")
+    return marked.select("pair_id", "seq", "type", "old_no", "new_no", "old", "new", html("old"), html("new"))
 
 
 def count_types(operations: Column) -> list[Column]:
@@ -171,8 +200,9 @@ def count_types(operations: Column) -> list[Column]:
 
 def compare_counts(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """diff_stats of each pair without exploding its units."""
-    both = paired(pairs, units)
-    same = both.filter("old_norms = new_norms").select("pair_id", *(F.lit(0).cast("long").alias(c) for c in ("additions", "deletions", "modifications")), F.size("old_norms").cast("long").alias("unchanged"))
-    rest = both.filter("not (old_norms = new_norms)").select("pair_id", align_units("old_norms", "new_norms").alias("op")).select("pair_id", *count_types(F.col("op")))
+    aligned = paired(pairs, units).select("pair_id", F.size("old_norms").cast("long").alias("n"), _aligned().alias("op"))
+    counts = aligned.select("pair_id", "n", F.col("op").isNull().alias("same"), *count_types(F.col("op")))
+    changed = [F.when(F.col("same"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("additions", "deletions", "modifications")]
+    counts = counts.select("pair_id", *changed, F.when(F.col("same"), F.col("n")).otherwise(F.col("unchanged")).alias("unchanged"))
     changes = F.col("additions") + F.col("deletions") + F.col("modifications")
-    return same.unionByName(rest).select("*", (changes + F.col("unchanged")).alias("total"), changes.alias("diff_count"))
+    return counts.select("*", (changes + F.col("unchanged")).alias("total"), changes.alias("diff_count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
+
 
 def layouts(docs: DataFrame) -> DataFrame:
     """Line i of a text on page i div 8; lines 2k and 2k + 1 share their top edge; kinds by (doc_id + i)."""
@@ -38,9 +40,8 @@ def revisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     new = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", after.alias("after")))), lambda x: x["after"]))
     both = rows.groupBy("doc_id").agg(old.alias("old"), new.alias("new"))
     pairs = both.select(F.col("doc_id").alias("pair_id"), (2 * F.col("doc_id")).alias("old_doc_id"), (2 * F.col("doc_id") + 1).alias("new_doc_id"))
-    units = both.select((2 * F.col("doc_id")).alias("doc_id"), F.col("old").alias("units")).unionByName(both.select((2 * F.col("doc_id") + 1).alias("doc_id"), F.col("new").alias("units")))
-    from ..functions.text import normalize
-
+    side = lambda new, units: F.struct((2 * F.col("doc_id") + new).alias("doc_id"), F.col(units).alias("units"))
+    units = both.select(F.inline(F.array(side(0, "old"), side(1, "new"))))
     return pairs, units.withColumn("norms", F.transform("units", normalize))
 
 
