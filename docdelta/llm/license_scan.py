@@ -128,11 +128,15 @@ def chained(matches: list[tuple[int, int, int]], gap: int) -> tuple[int, int, in
     """Best chain of (text start, notice start, length): (words covered, first word, last word)."""
     best: list[tuple[int, int, int]] = []
     top = (0, -1, -1)
+    reach = gap + max((n for _, _, n in matches), default=0)
     for k, (t, p, n) in enumerate(matches):
         own = (n, t, t + n - 1)
-        for (t0, p0, n0), (c, first, _) in zip(matches[:k], best, strict=True):
-            if t0 + n0 <= t <= t0 + n0 + gap and p0 + n0 <= p and c + n > own[0]:
-                own = (c + n, first, t + n - 1)
+        for j in range(k - 1, -1, -1):
+            t0, p0, n0 = matches[j]
+            if t0 < t - reach:  # matches are sorted; what starts earlier ends too early
+                break
+            if t0 + n0 <= t <= t0 + n0 + gap and p0 + n0 <= p and best[j][0] + n >= own[0]:
+                own = (best[j][0] + n, best[j][1], t + n - 1)
         best.append(own)
         top = max(top, own, key=lambda x: (x[0], -x[1]))
     return top
