@@ -1,8 +1,10 @@
 """Benchmark decontamination: latent semantic retrieval with sequence and answer checks.
 
-TF-IDF weights are counted over the whole corpus. A randomised SVD of the benchmark's passages gives the
-latent space; windows of every document are projected into it, and windows whose cosine with a passage is
-high are verified by the longest common subsequence and by the item's answer.
+TF-IDF weights are counted over the whole corpus. A randomised SVD of the benchmark's passages gives latent
+spaces, each of so few passages that it keeps a fixed share of every one of them. Windows of every document,
+as long as the passages, are projected into them; windows whose cosine with a passage is high, and all places
+that share three words in a row with a passage, are verified by the longest common subsequence and by the
+item's answer.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,9 @@ from .common import arrow_map, stored, utf8
 from .license_scan import words_of
 
 PASSAGE, STRIDE, ANSWER = 32, 16, 6
+#: Words in a row that make a place a candidate; share of each passage's squared length that its space keeps at least.
+GRAM, KEPT = 3, 0.5
+HITS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long"
 
 
 def windows(n: int, size: int = PASSAGE, stride: int = STRIDE) -> Iterator[tuple[int, int]]:
@@ -72,15 +78,15 @@ def corpus_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[n
 
 
 def passages_of(items: DataFrame) -> DataFrame:
-    """(item_id, start, words) of the benchmark's passages."""
+    """The benchmark's passages, each with the words that its item has in all and the last ones of them."""
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
         for item_id, text in zip(ids, texts, strict=True):
             words = [w.decode() for w in words_of(text)]
             for a, b in windows(len(words)):
-                yield item_id, a, words[a:b]
+                yield item_id, a, words[a:b], len(words), words[-ANSWER:]
 
-    return arrow_map(items.select("item_id", utf8()), run, "item_id long, start int, words array<string>")
+    return arrow_map(items.select("item_id", utf8()), run, "item_id long, start int, words array<string>, n_words long, answer array<string>")
 
 
 def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
@@ -115,90 +121,176 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
     return basis @ vectors[:, best[values[best] > 1e-9]]
 
 
+@dataclass
+class Space:
+    """Latent space of some passages of like length; ``local`` gives its row of each benchmark word, or -1."""
+
+    size: int
+    local: np.ndarray
+    vectors: np.ndarray
+    latent: np.ndarray
+    passages: np.ndarray
+
+
+@dataclass
+class Grams:
+    """Where runs of ``size`` words stand in the passages, by key in sorted order."""
+
+    size: int
+    keys: np.ndarray
+    passages: np.ndarray
+    places: np.ndarray
+
+
 @dataclass
 class Index:
-    """A block of the benchmark in the latent space."""
+    """A block of the benchmark: its words, passages, latent spaces and runs of words."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
     unknown: float
-    space: np.ndarray
-    owner: np.ndarray
-    latent: np.ndarray
+    owner: list[int]
     passages: list[list[int]]
-    items: dict[int, list[bytes]]
+    n_words: list[int]
+    answers: list[list[bytes]]
+    spaces: list[Space]
+    grams: list[Grams]
 
-    def candidates(self, ids: np.ndarray, cosine: float) -> list[tuple[int, int, int, float]]:
+    def near(self, ids: np.ndarray, cosine: float, rows: int = 512) -> Iterator[tuple[int, int, int, float]]:
         """(window start, end, passage, cosine) of a document given as word numbers, -1 for other words."""
-        n = len(ids)
-        spans = np.array(list(windows(n)), np.int64).reshape(-1, 2)
-        known = ids >= 0
-        weight = np.where(known, self.idf[ids], self.unknown) ** 2
-        energy = np.r_[0, np.cumsum(weight)]
-        own = np.r_[0, np.cumsum(weight * known)]
-        a, b = spans[:, 0], spans[:, 1]
-        # The cosine cannot exceed the share of a window's length that benchmark words make up.
-        maybe = np.flatnonzero((own[b] - own[a]) >= cosine**2 * 0.5 * (energy[b] - energy[a]))
-        out = []
-        for k in maybe.tolist():
-            start, end = int(a[k]), int(b[k])
-            terms, tf = np.unique(ids[start:end], return_counts=True)
-            other = tf[terms < 0].sum() if len(terms) and terms[0] < 0 else 0
-            tf, terms = tf[terms >= 0], terms[terms >= 0]
-            row = tf * self.idf[terms]
-            norm = float(np.sqrt((row**2).sum() + other * self.unknown**2))
-            if not norm or float((row**2).sum()) < (cosine * norm) ** 2:
+        for size in sorted({s.size for s in self.spaces}):
+            spans = np.array(list(windows(len(ids), size, size // 2)), np.int64).reshape(-1, 2)
+            for at in range(0, len(spans), rows):
+                part = spans[at : at + rows]
+                width = int(part[0, 1] - part[0, 0])
+                words = np.sort(ids[part[:, :1] + np.arange(width)], axis=1)
+                first = np.flatnonzero(np.c_[np.ones(len(part), bool), words[:, 1:] != words[:, :-1]])
+                terms, window, tf = words.ravel()[first], first // width, np.diff(np.r_[first, words.size])
+                known = terms >= 0
+                other = np.bincount(window[~known], tf[~known], len(part))
+                terms, window = terms[known], window[known]
+                value = tf[known] * self.idf[terms]
+                norm = np.sqrt(np.bincount(window, value**2, len(part)) + other * self.unknown**2)
+                for space in self.spaces:
+                    if space.size != size:
+                        continue
+                    row = space.local[terms]
+                    # A cosine cannot exceed the share of a window's length that words of the space make up.
+                    own = np.bincount(window, value**2 * (row >= 0), len(part))
+                    use = (row >= 0) & ((own > 0) & (own >= (cosine * norm) ** 2 * (1 - 1e-9)))[window]
+                    if not use.any():
+                        continue
+                    mine, starts = np.unique(window[use], return_index=True)
+                    query = np.add.reduceat(value[use].astype(np.float32)[:, None] * space.vectors[row[use]], starts)
+                    cosines = (query / norm[mine].astype(np.float32)[:, None]) @ space.latent.T
+                    i, j = np.nonzero(cosines >= cosine)
+                    for start, end, p, c in zip(*part[mine[i]].T.tolist(), space.passages[j].tolist(), cosines[i, j].tolist(), strict=True):
+                        yield start, end, p, c
+
+    def shared(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, passage) where a run of a passage's words stands in the document as if the passage began at start."""
+        for grams in self.grams:
+            keys = gram_keys(ids, grams.size, len(self.vocabulary))
+            low, high = np.searchsorted(grams.keys, keys), np.searchsorted(grams.keys, keys, side="right")
+            at = np.flatnonzero(high > low)
+            counts = (high - low)[at]
+            found = np.repeat(low[at] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            starts = np.repeat(at, counts) - grams.places[found]
+            pairs = np.unique(np.c_[starts, grams.passages[found]], axis=0) if len(found) else np.empty((0, 2), np.int64)
+            yield from zip(*pairs.T.tolist(), strict=True)
+
+    def cosine(self, ids: np.ndarray, passage: list[int]) -> float:
+        """Exact cosine of a window with a passage."""
+        own, tf = np.unique(ids, return_counts=True)
+        other = tf[own < 0].sum()
+        tf, own = tf[own >= 0] * self.idf[own[own >= 0]], own[own >= 0]
+        terms, n = np.unique(passage, return_counts=True)
+        n = n * self.idf[terms]
+        _, i, j = np.intersect1d(own, terms, assume_unique=True, return_indices=True)
+        return float((tf[i] * n[j]).sum() / max(np.sqrt(((tf**2).sum() + other * self.unknown**2) * (n**2).sum()), 1e-12))
+
+
+def gram_keys(ids: np.ndarray, size: int, n: int) -> np.ndarray:
+    """A key for each run of ``size`` word numbers; -1 where a word is not of the benchmark. Long keys wrap around."""
+    if len(ids) < size:
+        return np.empty(0, np.int64)
+    runs = np.lib.stride_tricks.sliding_window_view(ids, size)
+    key = np.zeros(len(runs), np.int64)
+    for k in range(size):
+        key = key * n + runs[:, k]
+    return np.where(runs.min(axis=1) < 0, -1, key & (2**63 - 1))
+
+
+def spaces_of(passages: DataFrame, rows: list, numbers: list[list[int]], idf: np.ndarray, rank: int) -> Iterator[Space]:
+    """Spaces for the passages of four or more words, each of about 1.5 ``rank`` passages of one class of lengths."""
+    classes: dict[int, list[int]] = {}
+    for p, r in enumerate(rows):
+        if len(r.words) >= 4:
+            classes.setdefault(r.size, []).append(p)
+    for size, members in sorted(classes.items()):
+        n_spaces = math.ceil(len(members) / (1.5 * rank))
+        for number in range(n_spaces):
+            own = [p for p in members if rows[p].hash % n_spaces == number]
+            if not own:
                 continue
-            near = self.latent @ ((row @ self.space[terms]) / norm)
-            out += [(start, end, p, float(near[p])) for p in np.flatnonzero(near >= cosine).tolist()]
-        return out
-
-
-def indexes(docs: DataFrame, items: DataFrame, rank: int, block: int) -> list[Index]:
-    """The benchmark, in blocks of at most ``block`` items each."""
-    found = []
+            terms = np.unique(np.concatenate([numbers[p] for p in own]))
+            local = np.full(len(idf), -1, np.int32)
+            local[terms] = np.arange(len(terms))
+            vocabulary = {w.encode(): int(local[t]) for p in own for w, t in zip(rows[p].words, numbers[p], strict=True)}
+            table = np.zeros((len(own), len(terms)))
+            for k, p in enumerate(own):
+                np.add.at(table[k], local[numbers[p]], idf[numbers[p]])
+            part = passages.filter((F.col("size") == size) & (F.size("words") >= 4) & (F.pmod("hash", F.lit(n_spaces)) == number))
+            full = min(len(own), len(terms))
+            for width in sorted({min(rank, full), full}):
+                vectors = randomised_svd(part, vocabulary, idf[terms], width)
+                latent = table @ vectors
+                lengths = np.linalg.norm(latent, axis=1)
+                if (lengths**2 >= KEPT * (table**2).sum(axis=1)).all():
+                    break
+            latent /= np.maximum(lengths, 1e-12)[:, None]
+            yield Space(size, local, vectors.astype(np.float32), latent.astype(np.float32), np.array(own))
+
+
+def indexes(docs: DataFrame, items: DataFrame, rank: int, block: int) -> Iterator[Index]:
+    """The benchmark, in blocks of whole items with about ``block`` passages each; one is built at a time."""
     texts = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item_id", "text"]).filter("item_id is not null")
-    n_items = texts.count()
-    n_blocks = max(1, math.ceil(n_items / block))
+    size = F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("words"))))).cast("int")
+    everything = stored(passages_of(texts).withColumn("size", size).withColumn("hash", F.xxhash64("start", "words")), "passages")
+    n_blocks = max(1, math.ceil(everything.count() / block))
     for number in range(n_blocks):
-        part = texts if n_blocks == 1 else texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number)
-        passages = stored(passages_of(part), "passages")
-        rows = sorted((r.item_id, r.start, r.words) for r in passages.collect())  # a block is of bounded size
+        passages = everything.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number)
+        rows = sorted(passages.collect(), key=lambda r: (r.item_id, r.start, r.words))  # a block is of bounded size
         if not rows:
             continue
-        vocabulary = {w: k for k, w in enumerate(sorted({w.encode() for _, _, words in rows for w in words}))}
+        vocabulary = {w: k for k, w in enumerate(sorted({w.encode() for r in rows for w in r.words}))}
         df, n = corpus_frequencies(docs, vocabulary)
         idf = np.log((n + 1) / (df + 0.5)).clip(0.01)
-        space = randomised_svd(passages, vocabulary, idf, min(rank, len(rows), len(vocabulary)))
-        latent = np.zeros((len(rows), space.shape[1]))
-        numbers = [[vocabulary[w.encode()] for w in words] for _, _, words in rows]
-        for k, ids in enumerate(numbers):
-            terms, tf = np.unique(ids, return_counts=True)
-            latent[k] = (tf * idf[terms]) @ space[terms]
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        texts_of: dict[int, dict[int, list]] = {}
-        for item_id, start, words in rows:
-            texts_of.setdefault(item_id, {})[start] = words
-        whole = {}
-        for item_id, parts in texts_of.items():
-            words: list[bytes] = []
-            for start in sorted(parts):
-                words[start:] = [w.encode() for w in parts[start]]
-            whole[item_id] = words
-        found.append(Index(vocabulary, idf, math.log((n + 1) / 0.5), space, np.array([r[0] for r in rows]), latent, numbers, whole))
-    return found
-
-
-def benchmark_hits(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int = 256, least: float = 0.6, with_answer: float = 0.45, block: int = 20_000) -> DataFrame:
+        numbers = [[vocabulary[w.encode()] for w in r.words] for r in rows]
+        grams = []
+        for length in range(1, GRAM + 1):  # shorter passages have to stand as a whole
+            own = [p for p, ids in enumerate(numbers) if min(len(ids), GRAM) == length]
+            if own:
+                keys = [gram_keys(np.array(numbers[p]), length, len(vocabulary)) for p in own]
+                at = np.concatenate([np.c_[np.full(len(k), p), np.arange(len(k))] for p, k in zip(own, keys, strict=True)])
+                order = np.argsort(np.concatenate(keys), kind="stable")
+                grams.append(Grams(length, np.concatenate(keys)[order], at[order, 0], at[order, 1]))
+        spaces = list(spaces_of(passages, rows, numbers, idf, rank))
+        # A word that the benchmark lacks weighs as much as a usual one of its own, in a corpus of any size.
+        yield Index(vocabulary, idf, float(np.median(idf)), [r.item_id for r in rows], numbers, [r.n_words for r in rows], [[w.encode() for w in r.answer] for r in rows], spaces, grams)
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int = 256, least: float = 0.6, with_answer: float = 0.45, block: int = 4_000) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word.
 
-    ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). A candidate window is a
+    ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). Candidates are windows near
+    a passage in the latent space and places that share ``GRAM`` words in a row with one. A candidate is a
     hit if the longest common subsequence with the passage is at least ``least`` of it, or at least
     ``with_answer`` of it while the item's last words, its answer, stand near the window in full. Null and
     empty texts hold nothing; items without words are in no document. A null doc_id is kept; repeated rows
-    give repeated results. Passages with fewer than four words must stand in full.
+    give repeated results. Passages with fewer than four words must stand in full, word after word.
     """
-    out = None
+    parts: list[DataFrame] = []
     for index in indexes(docs, items, rank, block):
 
         def run(ids: list, texts: list, index: Index = index) -> Iterator[tuple]:
@@ -207,25 +299,32 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank:
                 words = words_of(text)
                 numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                 best: dict[int, tuple] = {}
-                for start, end, p, near in index.candidates(numbers, cosine):
-                    passage, item = index.passages[p], int(index.owner[p])
-                    low, high = max(0, start - STRIDE), min(len(words), end + STRIDE)
+
+                def verify(start: int, end: int, p: int, near: float | None) -> None:
+                    passage, item = index.passages[p], index.owner[p]
+                    slack = min(STRIDE, (end - start + 1) // 2) if len(passage) >= 4 else 0
+                    low, high = max(0, start - slack), min(len(words), end + slack)
                     share = lcs_length(passage, numbers[low:high].tolist()) / len(passage)
-                    whole = index.items[item]
-                    answer = whole[-ANSWER:]
-                    around = words[max(0, start - len(whole)) : end + len(whole)]
-                    found = lcs_length(answer, around) == len(answer)
-                    if share >= (least if len(passage) >= 4 else 1) or share >= with_answer and found and len(passage) >= 8:
+                    if share < (min(least, with_answer) if len(passage) >= 8 else least if len(passage) >= 4 else 1):
+                        return
+                    answer, n = index.answers[p], index.n_words[p]
+                    found = lcs_length(answer, words[max(0, start - n) : max(0, end + n)]) == len(answer)
+                    if share >= (least if len(passage) >= 4 else 1) or found:
+                        if near is None:
+                            near = index.cosine(numbers[max(0, start) : max(0, end)], passage)
                         row = (share, near, found, low, high)
                         best[item] = max(best.get(item, row), row)
+
+                for start, end, p, near in index.near(numbers, cosine):
+                    verify(start, end, p, near)
+                for start, p in index.shared(numbers):
+                    verify(start, start + len(index.passages[p]), p, None)
                 for item, (share, near, found, low, high) in sorted(best.items()):
-                    yield doc_id, item, min(1.0, near), share, found, low, high - 1
+                    yield doc_id, item, max(0.0, min(1.0, near)), share, found, low, high - 1
 
-        hits = arrow_map(docs.select("doc_id", utf8()), run, "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long")
-    return out
+        parts[-1:] = [stored(x, "hits") for x in parts[-1:]]  # done before the next block is built
+        parts.append(arrow_map(docs.select("doc_id", utf8()), run, HITS))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], HITS)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
