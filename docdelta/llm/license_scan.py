@@ -7,6 +7,8 @@ in order in the text and in the notice, into the span that a notice covers.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -124,10 +126,9 @@ class Automaton:
                 yield i, state, length
 
 
-def chained(matches: list[tuple[int, int, int]], gap: int) -> tuple[int, int, int]:
-    """Best chain of (text start, notice start, length): (words covered, first word, last word)."""
+def chain_ends(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """For each of the sorted matches (text start, notice start, length) the best chain that ends with it: (words covered, first word, last word)."""
     best: list[tuple[int, int, int]] = []
-    top = (0, -1, -1)
     reach = gap + max((n for _, _, n in matches), default=0)
     for k, (t, p, n) in enumerate(matches):
         own = (n, t, t + n - 1)
@@ -138,8 +139,34 @@ def chained(matches: list[tuple[int, int, int]], gap: int) -> tuple[int, int, in
             if t0 + n0 <= t <= t0 + n0 + gap and p0 + n0 <= p and best[j][0] + n >= own[0]:
                 own = (best[j][0] + n, best[j][1], t + n - 1)
         best.append(own)
-        top = max(top, own, key=lambda x: (x[0], -x[1]))
-    return top
+    return best
+
+
+def chained(matches: list[tuple[int, int, int]], gap: int, least: float) -> tuple[int, list[tuple[int, int]]]:
+    """Most words that a chain covers, and (first word, last word) of chains that cover ``least`` or more.
+
+    These do not overlap: the best goes first, of equal ones the earliest. What it leaves is chained anew on each side of it.
+    """
+    most, spans = 0, []
+    parts = [sorted(matches)]
+    while parts:
+        part = parts.pop()
+        best = chain_ends(part, gap)
+        most = max(most, max((covered for covered, _, _ in best), default=0))
+        taken: list[tuple[int, int]] = []
+        for _, first, last in sorted((x for x in best if x[0] >= least), key=lambda x: (-x[0], x[1])):
+            at = bisect(taken, (first, last))
+            if (not at or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                taken.insert(at, (first, last))
+        if taken:
+            spans += taken
+            left: dict[int, list] = {}
+            for t, p, n in part:
+                at = bisect(taken, (t + n - 1, math.inf))
+                if not at or taken[at - 1][1] < t:
+                    left.setdefault(at, []).append((t, p, n))
+            parts += left.values()
+    return most, sorted(spans)
 
 
 def license_scan(
@@ -154,7 +181,8 @@ def license_scan(
 
     Phrases count at every place where they stand. A notice gives its label when chained matches of
     ``least`` or more words, at most ``gap`` words apart, cover ``coverage`` of it. ``score`` is the best
-    share covered, 1 where a phrase stands. Spans are (label, first word, last word) as ``label:first-last``,
+    share covered, 1 where a phrase stands. Every such chain that overlaps none of its notice gives a span, so a
+    notice that stands often has many. Spans are (label, first word, last word) as ``label:first-last``,
     joined by semicolons. A null or empty text has no words, labels or spans and the score 0; a null doc_id
     is kept; repeated rows give repeated results.
     """
@@ -186,11 +214,9 @@ def license_scan(
                         by_notice.setdefault(n, []).append((i + 1 - length, p + 1 - length, length))
             found, score = [], 1.0 if places else 0.0
             for n, matches in by_notice.items():
-                covered, first, last = chained(sorted(matches), gap)
-                share = min(1.0, covered / len(sequences[n]))
-                score = max(score, share)
-                if share >= coverage:
-                    found.append((order[n][1], first, last))
+                most, spans = chained(matches, gap, coverage * len(sequences[n]) - 1e-9)
+                score = max(score, min(1.0, most / len(sequences[n])))
+                found += [(order[n][1], first, last) for first, last in spans]
             base = sorted({order[n][1] for _, n in places})
             labels = sorted({*base, *(label for label, _, _ in found)})
             starts = [p for p, _ in places]
