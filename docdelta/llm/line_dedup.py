@@ -28,11 +28,12 @@ def _place(df_prefix: str = "") -> Column:
     return F.struct(*(F.col(df_prefix + c).alias(c) for c in ("doc_id", "text_hash", "line_no")))
 
 
-def document_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, chars, h1, h2) for the lines of ``least_chars`` or more characters."""
+def document_lines(docs: DataFrame, least_chars: int, short_copies: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line_no, line, chars, h1, h2) for the lines of ``least_chars`` or more characters; with ``short_copies`` also for shorter ones that are not blank."""
+    own = F.col("chars") >= least_chars
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return (
-        lines.withColumn("chars", F.length("line")).filter(F.col("chars") >= least_chars)
+        lines.withColumn("chars", F.length("line")).filter(own | F.col("line").rlike(r"\S") if short_copies else own)
         .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
     )
 
@@ -177,13 +178,13 @@ def _small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place and number, the lines with an earlier line within one edit)."""
+def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000, least_chars: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(distinct lines with their first place and number, those of ``least_chars`` or more characters with an earlier such line within one edit)."""
     keys = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
     with_keys = lines.withColumn("k", _keys(2)).select(*NODE, "chars", _place().alias("place"), *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
     distinct = stored(with_keys.groupBy(*NODE).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("chars").alias("chars"), *keys), "lines")
     entries = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i % 2 == 0).alias("own"), F.lit(i // 2).alias("region")) for i in range(4)))
-    keyed = distinct.select(*NODE, F.explode(entries).alias("e")).select(*NODE, "e.*")
+    keyed = distinct.filter(F.col("chars") >= least_chars).select(*NODE, F.explode(entries).alias("e")).select(*NODE, "e.*")
     shared = stored(_shared(keyed), "shared")
 
     # Only lines that share a key need their text.
@@ -210,10 +211,10 @@ def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000
     return distinct, reduce(DataFrame.unionByName, found).distinct()
 
 
-def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = False) -> DataFrame:
     """(doc_id, text_hash, removed): the numbers of the lines that go, for texts that lose any."""
-    lines = document_lines(docs, least_chars)
-    distinct, near = near_lines(lines, bucket, broadcast_rows)
+    lines = document_lines(docs, least_chars, short_copies)
+    distinct, near = near_lines(lines, bucket, broadcast_rows, least_chars)
     marked = near.withColumn("near", F.lit(True))
     doubtful = distinct.join(marked, NODE, "left").filter("n > 1 or near").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "place", F.coalesce("near", F.lit(False)).alias("near"))
     doubtful = stored(doubtful, "doubtful")
@@ -224,15 +225,15 @@ def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broa
     return stored(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
-def line_dedup(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+def line_dedup(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = False) -> DataFrame:
     """The rows of ``docs`` with all their columns, ``text`` without repeated lines, and ``removed``.
 
     A line of at least ``least_chars`` characters goes if it stands earlier too, by doc_id and line number, as
     it is or within one edit. ``removed`` holds the numbers of the lines that went (null: none). Shorter lines
-    stay. Null texts stay null, empty ones empty. Null doc_ids come first. Repeated rows (same doc_id and text)
+    stay; with ``short_copies`` those that are not blank go if they stand earlier as they are. Null texts stay null, empty ones empty. Null doc_ids come first. Repeated rows (same doc_id and text)
     count as one text and come out alike. A column named ``removed`` is replaced.
     """
-    gone = removed_lines(docs, least_chars, bucket, broadcast_rows)
+    gone = removed_lines(docs, least_chars, bucket, broadcast_rows, short_copies)
     side = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
     if _small(gone, broadcast_rows):
         side = F.broadcast(side)

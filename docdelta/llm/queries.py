@@ -45,7 +45,7 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), short_copies=True)
     return out.select(
         "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
