@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 U = "(?U)"
 S = r"[\s\x1c-\x1f]"
 H = r"[一-鿿]"
-CUT = "\u0001"
+#: Marks a cut; squeezed texts have no line breaks, so none of their characters is one.
+CUT = "\n"
 
 # Where a text is cut into units (after the match), and markers that extraction is unsure of.
 UNIT_END = U + rf"(?:(?:WARNING:|CAUTION:|NOTE:){S}+(?=[A-Z]))|(?:(?<=\)\d\)|\)[a-z]\)){S}+)|(?:[.。；;！!?？]{S}*(?=[A-Z(]|\d|{H}))"
@@ -119,7 +120,17 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(U + r"[一-鿿]|[A-Za-z]+|\d+"), 0), lambda t: F.lower(t))
 
 
+def known(x: Column) -> Column:
+    """``x``, or unknown where it is missing or empty."""
+    return F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown"))
+
+
 def source_label(backend: Column, version: Column) -> Column:
     """Which engine and version an extraction comes from; what is missing or empty is unknown."""
-    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
-    return F.when(backend == "pdfjs", F.concat(F.lit("pdf.js "), known(version))).otherwise(F.concat(F.lit("MinerU "), known(version), F.lit(" ("), known(backend), F.lit(")")))
+    other = F.concat(F.lit("MinerU "), known(version), F.lit(" ("), known(backend), F.lit(")"))
+    return F.when(backend == "pdfjs", F.concat(F.lit("pdf.js "), known(version))).otherwise(other)
+
+
+def pair_provenance(old: Column, new: Column) -> Column:
+    """One label if both sides of a pair have the same one, else both."""
+    return F.when(old.eqNullSafe(new), old).otherwise(F.concat(F.lit("old "), F.coalesce(old, F.lit("?")), F.lit(" / new "), F.coalesce(new, F.lit("?"))))

@@ -27,7 +27,11 @@ def _opcodes(a: list[str], b: list[str]) -> list[tuple]:
 
 
 def _similarity(a: str, b: str) -> float:
-    return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
+    if a == b:
+        return 1.0
+    if a in b or b in a:  # the shorter one as a whole is the longest run, and nothing is left of it
+        return 2 * min(len(a), len(b)) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
@@ -45,8 +49,8 @@ def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
             if 2 * min(n, len(b)) < PAIR_THRESHOLD * (n + len(b)):
                 continue
             for a in group:
-                if a == b:
-                    own[a] = 1.0
+                if a == b or a in b or b in a:
+                    own[a] = _similarity(a, b)
                     continue
                 matcher.set_seq1(a)
                 if matcher.quick_ratio() >= PAIR_THRESHOLD and (value := matcher.ratio()) >= PAIR_THRESHOLD:
@@ -162,9 +166,16 @@ def document_units(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def paired(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """One row per pair (pair_id, old_doc_id, new_doc_id) with the unit arrays of both sides."""
-    side = lambda s: units.select(F.col("doc_id").alias(f"{s}_doc_id"), F.col("units").alias(f"{s}_units"), F.col("norms").alias(f"{s}_norms"))
-    return pairs.select("pair_id", "old_doc_id", "new_doc_id").join(side("old"), "old_doc_id").join(side("new"), "new_doc_id")
+    """One row per pair (pair_id, old_doc_id, new_doc_id) of which both sides are in ``units``, with their arrays.
+
+    Both sides go through one join, so that units and normal forms are computed once for each document.
+    """
+    side = lambda new, c: F.struct(F.lit(new).alias("new"), F.col(c).alias("doc_id"))
+    wanted = pairs.select("pair_id", "old_doc_id", "new_doc_id", F.explode(F.array(side(False, "old_doc_id"), side(True, "new_doc_id"))).alias("s")).select("*", "s.*")
+    found = wanted.join(units.select("doc_id", "units", "norms"), "doc_id").groupBy("pair_id", "old_doc_id", "new_doc_id").agg(F.array_sort(F.collect_list(F.struct("new", "units", "norms"))).alias("s"))
+    of = lambda k, what: F.get("s", k)[what]
+    sides = [of(k, f"{what}s").alias(f"{name}_{what}s") for k, name in ((0, "old"), (1, "new")) for what in ("unit", "norm")]
+    return found.filter(F.size("s") == 2).select("pair_id", "old_doc_id", "new_doc_id", *sides)
 
 
 def _aligned() -> Column:
@@ -182,11 +193,13 @@ def compare_pairs(pairs: DataFrame, units: DataFrame) -> DataFrame:
     equal = F.transform(F.sequence(F.lit(0), F.size("old_norms") - 1), lambda i: F.struct(F.lit("equal").alias("type"), i.cast("int").alias("old_no"), i.cast("int").alias("new_no")))
     equal = F.when(F.size("old_norms") > 0, equal).otherwise(F.array().cast(OPERATION))
     operations = paired(pairs, units).withColumn("op", _aligned()).withColumn("op", F.coalesce("op", equal))
-    at = lambda side, what: F.get(F.col(f"{side}_{what}"), F.col(f"{side}_no"))
-    rows = operations.select("pair_id", "old_units", "new_units", "old_norms", "new_norms", F.posexplode("op").alias("seq", "o")).select("*", "o.*").select(
-        "pair_id", "seq", "type", "old_no", "new_no", at("old", "units").alias("old"), at("new", "units").alias("new"),
-        F.when(F.col("type") == "modified", at("old", "norms")).alias("old_norm"), F.when(F.col("type") == "modified", at("new", "norms")).alias("new_norm"),
-    )
+
+    def pieces(o: Column) -> Column:
+        at = lambda side, what: F.get(F.col(f"{side}_{what}"), o[f"{side}_no"])
+        norm = lambda side: F.when(o["type"] == "modified", at(side, "norms")).alias(f"{side}_norm")
+        return F.struct(o["type"].alias("type"), o["old_no"].alias("old_no"), o["new_no"].alias("new_no"), at("old", "units").alias("old"), at("new", "units").alias("new"), norm("old"), norm("new"))
+
+    rows = operations.select("pair_id", F.transform("op", pieces).alias("op")).select("pair_id", F.posexplode("op").alias("seq", "o")).select("pair_id", "seq", "o.*")
     marked = rows.withColumn("h", char_diff("old_norm", "new_norm"))
     html = lambda side: F.coalesce(F.col(f"h.{side}_html"), html_escape(F.col(side))).alias(f"{side}_html")
     return marked.select("pair_id", "seq", "type", "old_no", "new_no", "old", "new", html("old"), html("new"))

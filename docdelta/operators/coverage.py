@@ -18,9 +18,14 @@ def token_bag(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def bag_difference(truth: DataFrame, extracted: DataFrame) -> DataFrame:
     """(doc_id, token, t, e): both counts, by one shuffle of signed tokens."""
-    signed = truth.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(1).alias("t"), F.lit(0).alias("e")).unionByName(
-        extracted.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(0).alias("t"), F.lit(1).alias("e"))
-    )
+    return _counted(_tokens(truth, 1, 0).unionByName(_tokens(extracted, 0, 1)))
+
+
+def _tokens(texts: DataFrame, t: int, e: int) -> DataFrame:
+    return texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(t).alias("t"), F.lit(e).alias("e"))
+
+
+def _counted(signed: DataFrame) -> DataFrame:
     return signed.groupBy("doc_id", "token").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
 
 
@@ -30,10 +35,14 @@ def missing_tokens(difference: DataFrame) -> DataFrame:
 
 
 def coverage(truth: DataFrame, extracted: DataFrame) -> DataFrame:
-    """doc_id, recall, missing, total, low for each document of ``truth``; no figure below LEAST tokens."""
-    sums = bag_difference(truth, extracted).groupBy("doc_id").agg(F.sum("t").alias("total"), F.sum(F.greatest(F.col("t") - F.col("e"), F.lit(0))).alias("lost"))
-    known = truth.select("doc_id").distinct().join(sums, "doc_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    enough = F.col("total") >= LEAST
+    """doc_id, recall, missing, total, low for each document of ``truth``; no figure below LEAST tokens.
+
+    A row without a token stands for each document of ``truth``, so that none is lost and no join is needed.
+    """
+    there = truth.select("doc_id", F.lit(None).cast("string").alias("token"), F.lit(0).alias("t"), F.lit(0).alias("e"))
+    counted = _counted(_tokens(truth, 1, 0).unionByName(_tokens(extracted, 0, 1)).unionByName(there))
+    sums = counted.groupBy("doc_id").agg(F.sum("t").alias("total"), F.sum(F.greatest(F.col("t") - F.col("e"), F.lit(0))).alias("lost"), F.count_if(F.col("token").isNull()).alias("here"))
+    known, enough = sums.filter("here > 0"), F.col("total") >= LEAST
     recall = F.when(enough, (F.col("total") - F.col("lost")) / F.col("total"))
     return known.select("doc_id", recall.alias("recall"), F.when(enough, F.col("lost")).otherwise(0).cast("long").alias("missing"), "total", F.coalesce(recall < LOW, F.lit(False)).alias("low"))
 

@@ -55,30 +55,36 @@ def to_fragment(item: str, viewport: str) -> Column:
     return F.struct(x.alias("x"), (x + F.col("width")).alias("right"), baseline.alias("baseline"), F.array(x, baseline - height, x + F.col("width"), baseline).alias("bbox"))
 
 
+def merge_bbox(box: str) -> Column:
+    """The smallest box around all boxes of a group."""
+    at = lambda k: F.get(F.col(box), k)
+    return F.array(F.min(at(0)), F.min(at(1)), F.max(at(2)), F.max(at(3)))
+
+
 def fragments_to_lines(fragments: DataFrame) -> DataFrame:
     """(doc_id, page_idx, line_no, text, bbox) from fragments (doc_id, page_idx, frag_no, str, x, right, baseline, bbox).
 
     Fragments by baseline and x; one belongs to a line while its baseline is near that of the line's first
-    fragment. Only the numbers of lines are folded over a page, the rest is windows.
+    fragment. Each page is gathered once; the fold over it holds only where lines begin, and the windows keep
+    its partitioning.
     """
     shown = fragments.filter(strip_space(F.col("str")) != "")
-    order = F.array_sort(F.collect_list(F.struct("baseline", "x", "frag_no")))
-    state = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("first"), F.array().cast("array<int>").alias("lines"))
+    begin = F.struct(F.array().cast("array<double>").alias("firsts"), F.lit(None).cast("double").alias("first"))
 
-    def fold(s: Column, f: Column) -> Column:
-        new = (s["line"] < 0) | (F.abs(f["baseline"] - s["first"]) > BASELINE_GAP)
-        line = F.when(new, s["line"] + 1).otherwise(s["line"])
-        return F.struct(line.alias("line"), F.when(new, f["baseline"]).otherwise(s["first"]).alias("first"), F.concat(s["lines"], F.array(line)).alias("lines"))
+    def fold(s: Column, baseline: Column) -> Column:
+        new = F.coalesce(F.abs(baseline - s["first"]) > BASELINE_GAP, F.lit(True))
+        return F.when(new, F.struct(F.array_append(s["firsts"], baseline).alias("firsts"), baseline.alias("first"))).otherwise(s)
 
-    folded = shown.groupBy(*KEYS).agg(order.alias("f")).withColumn("l", F.aggregate("f", state, fold, lambda s: s["lines"]))
-    numbers = folded.select(*KEYS, F.explode(F.arrays_zip("f", "l")).alias("z")).select(*KEYS, F.col("z.f.frag_no").alias("frag_no"), F.col("z.l").alias("line"))
+    gathered = shown.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("baseline", "x", "frag_no", "str", "right", "bbox"))).alias("f"))
+    firsts = F.aggregate(F.transform("f", lambda f: f["baseline"]), begin, fold, lambda s: s["firsts"])
+    pages = gathered.select(*KEYS, "f", firsts.alias("firsts")).select(*KEYS, "firsts", F.explode("f").alias("e")).select(*KEYS, "firsts", "e.*")
+    # A fragment's line is as far down as there are lines that begin at its baseline or above.
+    numbered = pages.withColumn("line", F.size(F.filter("firsts", lambda f: f <= F.col("baseline")))).drop("firsts")
     along = Window.partitionBy(*KEYS, "line").orderBy("x", "baseline", "frag_no")
-    rows = shown.join(numbers, [*KEYS, "frag_no"])
-    gap = (F.col("x") - F.lag("right").over(along) > SPACE_GAP) & ~F.col("str").rlike(r"^\s") & ~F.lag("str").over(along).rlike(r"\s$")
-    rows = rows.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "str")).withColumn("at", F.row_number().over(along))
-    edges = [F.min(F.get("bbox", 0)), F.min(F.get("bbox", 1)), F.max(F.get("bbox", 2)), F.max(F.get("bbox", 3))]
+    gap = (F.col("x") - F.lag("right").over(along) > SPACE_GAP) & ~F.startswith("str", F.lit(" ")) & ~F.endswith(F.lag("str").over(along), F.lit(" "))
+    rows = numbered.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "str")).withColumn("at", F.row_number().over(along))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "")
-    lines = rows.groupBy(*KEYS, "line").agg(strip_space(text).alias("text"), F.array(*edges).alias("bbox")).filter("text <> ''")
+    lines = rows.groupBy(*KEYS, "line").agg(strip_space(text).alias("text"), merge_bbox("bbox").alias("bbox")).filter("text <> ''")
     return lines.select(*KEYS, (F.row_number().over(Window.partitionBy(*KEYS).orderBy("line")) - 1).alias("line_no"), "text", "bbox")
 
 
@@ -105,15 +111,16 @@ def truncate_at_image_page(pages: DataFrame, images: DataFrame) -> DataFrame:
 def crop_boxes(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Margins of each page from the rule lines ``found`` (doc_id, page_idx, left, top, right, bottom).
 
-    Page 1 uses its own lines, else those of page 2; later pages use those of page 2. Documents without lines
-    on page 2 get no box.
+    Right and bottom margins are measured in the page whose lines they come from. Page 1 uses its own lines,
+    else the margins of page 2; later pages use those of page 2, whatever their own size. Documents without
+    lines on page 2 get no box.
     """
-    second = found.filter("page_idx = 1").drop("page_idx")
-    first = found.filter("page_idx = 0").select("doc_id", *(F.col(c).alias(f"first_{c}") for c in ("left", "top", "right", "bottom")))
-    rows = pages.join(second, "doc_id").join(page_family(pages), "doc_id").join(first, "doc_id", "left")
-    own = (F.col("page_idx") == 0) & F.col("first_left").isNotNull()
-    line = lambda c: F.when(own, F.col(f"first_{c}")).otherwise(F.col(c))
-    return rows.select(
-        *KEYS, (line("left") + F.col("off_left")).alias("left"), (line("top") + F.col("off_top")).alias("top"),
-        (F.col("width") - line("right") + F.col("off_right")).alias("right"), (F.col("height") - line("bottom") + F.col("off_bottom")).alias("bottom"),
+    measured = found.filter("page_idx < 2").join(pages.select(*KEYS, "width", "height"), KEYS).join(page_family(pages), "doc_id")
+    margins = F.struct(
+        (F.col("left") + F.col("off_left")).alias("left"), (F.col("top") + F.col("off_top")).alias("top"),
+        (F.col("width") - F.col("right") + F.col("off_right")).alias("right"), (F.col("height") - F.col("bottom") + F.col("off_bottom")).alias("bottom"),
     )
+    of_page = lambda k: F.max(F.when(F.col("page_idx") == k, margins))
+    both = measured.groupBy("doc_id").agg(of_page(0).alias("first"), of_page(1).alias("second")).filter("second is not null")
+    own = F.when(F.col("page_idx") == 0, F.coalesce("first", "second")).otherwise(F.col("second"))
+    return pages.join(both, "doc_id").select(*KEYS, own.alias("m")).select(*KEYS, "m.*")

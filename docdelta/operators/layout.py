@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_table_rows, strip_space
+from ..functions.text import html_table_rows, known, strip_space
 
 REGION = "map<int, struct<y_top: double, y_bottom: double>>"
 
@@ -80,12 +80,15 @@ def document_text(layouts: DataFrame, regions: DataFrame | None = None, page_lin
 
 
 def layout_spans(layouts: DataFrame) -> DataFrame:
-    """One row per span in reading order: places, block type, box of the line, and the span."""
-    pages = layouts.select("doc_id", F.posexplode("pdf_info").alias("page_no", "p")).select("doc_id", "page_no", F.posexplode(reading_order(F.col("p"))).alias("block_no", "b"))
-    lines = pages.select("doc_id", "page_no", "block_no", F.col("b.type").alias("block_type"), F.posexplode(block_lines(F.col("b"))).alias("line_no", "l"))
-    return lines.select("doc_id", "page_no", "block_no", "block_type", "line_no", F.col("l.bbox").alias("bbox"), F.posexplode("l.spans").alias("span_no", "s")).select(
-        "doc_id", "page_no", "block_no", "block_type", "line_no", "bbox", "span_no", "s.type", "s.content", "s.html"
-    )
+    """One row per span in reading order: engine and version, places, block type, box of the line, and the span."""
+    who = ["doc_id", known(F.col("_backend")).alias("backend"), known(F.col("_version_name")).alias("version")]
+    pages = layouts.select(*who, F.posexplode("pdf_info").alias("page_no", "p"))
+    keys = ["doc_id", "backend", "version", "page_no"]
+    blocks = pages.select(*keys, F.posexplode(reading_order(F.col("p"))).alias("block_no", "b"))
+    keys += ["block_no", "block_type"]
+    lines = blocks.withColumn("block_type", F.col("b.type")).select(*keys, F.posexplode(block_lines(F.col("b"))).alias("line_no", "l"))
+    spans = lines.select(*keys, "line_no", F.col("l.bbox").alias("bbox"), F.posexplode("l.spans").alias("span_no", "s"))
+    return spans.select(*keys, "line_no", "bbox", "span_no", "s.type", "s.content", "s.html")
 
 
 def parse_page_range(text: str) -> tuple[int, int]:
@@ -108,3 +111,11 @@ def short_documents(pages: DataFrame, text: str) -> DataFrame:
     """(doc_id, n_pages) of the documents that a range goes beyond: an error for them."""
     _, b = parse_page_range(text)
     return pages.groupBy("doc_id").agg((F.max("page_idx") + 1).alias("n_pages")).filter(F.col("n_pages") < b)
+
+
+def slice_layouts(layouts: DataFrame, text: str) -> DataFrame:
+    """Layouts with the pages of an inclusive range only, numbered from 0 again."""
+    a, b = parse_page_range(text)
+    number = lambda p: F.coalesce(p["page_idx"], F.lit(0))
+    kept = F.filter("pdf_info", lambda p: number(p).between(a - 1, b - 1))
+    return layouts.withColumn("pdf_info", F.transform(kept, lambda p: p.withField("page_idx", number(p) - (a - 1))))

@@ -24,10 +24,20 @@ def resolve_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("pair_id", F.coalesce("old_found", F.lit(False)).alias("old_found"), F.coalesce("new_found", F.lit(False)).alias("new_found"))
 
 
-def extraction_scorecard(docs: DataFrame) -> DataFrame:
-    """Per backend and version: documents, characters, LaTeX artefacts, from (backend, version, text)."""
+def extraction_scorecard(docs: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """Per backend and version: documents, characters, LaTeX artefacts, from (doc_id, backend, version, text), and with
+    ``figures`` (doc_id, recall) the mean recall of the documents that have one."""
     latex = F.regexp_count("text", F.lit(r"\\(sim|cdot|circ|math)"))
-    return docs.groupBy("backend", "version").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"), F.sum(latex).alias("artefacts"))
+    rows = docs.select("doc_id", "backend", "version", F.length("text").alias("n"), latex.alias("artefacts"))
+    sums = [F.count("*").alias("documents"), F.sum("n").alias("characters"), F.sum("artefacts").alias("artefacts")]
+    if figures is not None:
+        rows, sums = rows.join(figures.select("doc_id", "recall"), "doc_id", "left"), [*sums, F.avg("recall").alias("mean_recall")]
+    return rows.groupBy("backend", "version").agg(*sums)
+
+
+def label_counters(stats: DataFrame) -> DataFrame:
+    """Sums of diff counters by provenance label (pair_id, label, counters): only those of one label compare."""
+    return stats.groupBy("label").agg(F.count("*").alias("pairs"), *(F.sum(c).alias(c) for c in ("additions", "deletions", "modifications", "unchanged")))
 
 
 def keyword_counts(docs: DataFrame, words: list[str]) -> DataFrame:

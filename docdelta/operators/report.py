@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import html_escape
+
 
 def changed_units(units: DataFrame) -> DataFrame:
     return units.filter(F.col("type") != "equal")
@@ -38,23 +40,39 @@ def diff_navigation(units: DataFrame) -> DataFrame:
 
 
 def report_rows(units: DataFrame) -> DataFrame:
-    """(pair_id, seq, row): a table row with line numbers, classes and content."""
+    """(pair_id, seq, row): a table row with line numbers, classes and content; an absent side is an empty cell."""
     rows = side_by_side(units)
-    cell = lambda line, html, kind: F.concat(F.lit("<td>"), F.coalesce(F.col(line).cast("string"), F.lit("")), F.lit(f'</td><td class="{kind} '), F.col("type"), F.lit('">'), F.coalesce(F.when(F.col(line).isNotNull(), F.col(html)), F.lit("&nbsp;")), F.lit("</td>"))
-    start = F.when(F.col("type") != "equal", "<tr data-diff>").otherwise("<tr>")
-    return rows.select("pair_id", "seq", F.concat(start, cell("old_line", "old_html", "old"), cell("new_line", "new_html", "new"), F.lit("</tr>")).alias("row"))
+
+    def cell(side: str) -> Column:
+        here = F.col(f"{side}_line").isNotNull()
+        kind = F.when(~here, "empty").when(F.col("type") == "equal", "").otherwise(F.col("type"))
+        content = F.coalesce(F.nullif(F.when(here, F.col(f"{side}_html")), F.lit("")), F.lit("&nbsp;"))
+        number = F.coalesce(F.col(f"{side}_line").cast("string"), F.lit(""))
+        return F.concat(F.lit("<td>"), number, F.lit('</td><td class="'), kind, F.lit('">'), content, F.lit("</td>"))
+
+    start = F.when(F.col("type") != "equal", F.concat(F.lit('<tr data-diff="'), F.col("type"), F.lit('">'))).otherwise("<tr>")
+    return rows.select("pair_id", "seq", "type", F.concat(start, cell("old"), cell("new"), F.lit("</tr>")).alias("row"))
 
 
 # Background and text colours by theme.
 THEMES = {"dark": ("#1e1e1e", "#d4d4d4"), "light": ("#ffffff", "#222222")}
 
 
-def render_reports(units: DataFrame, stats: DataFrame, titles: DataFrame, theme: str = "dark") -> DataFrame:
-    """(pair_id, html): rows in order under title, names, counters and provenance (pair_id, old_name, new_name, provenance)."""
+def render_reports(units: DataFrame, titles: DataFrame, theme: str = "dark") -> DataFrame:
+    """(pair_id, html) for each row of ``titles`` (pair_id, old_name, new_name, provenance): rows in order under names,
+    counters and provenance. Counters come with the rows, so ``units`` is read and shuffled once."""
     back, ink = THEMES.get(theme, THEMES["dark"])
-    body = report_rows(units).groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda r: r["row"]), "\n").alias("rows"))
-    joined = stats.join(titles, "pair_id").join(body, "pair_id", "left")
-    note = F.when(F.coalesce("provenance", F.lit("")) == "", "").otherwise(F.concat(F.lit("<p>"), F.col("provenance"), F.lit("</p>")))
-    counters = F.format_string("<p>+%d -%d ~%d =%d, %d units, %d differences</p>", "additions", "deletions", "modifications", "unchanged", "total", "diff_count")
-    head = F.concat(F.lit("<title>"), "old_name", F.lit(" / "), "new_name", F.lit(f'</title><body style="background:{back};color:{ink}"><h1>'), "old_name", F.lit(" / "), "new_name", F.lit("</h1>"))
-    return joined.select("pair_id", F.concat(F.lit("<!DOCTYPE html><html>"), head, counters, note, F.lit("<table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>")).alias("html"))
+    n = lambda t: F.count_if(F.col("type") == t)
+    body = report_rows(units).groupBy("pair_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda r: r["row"]), "\n").alias("rows"),
+        n("added").alias("additions"), n("deleted").alias("deletions"), n("modified").alias("modifications"), n("equal").alias("unchanged"),
+    )
+    joined = titles.join(body, "pair_id", "left").fillna(0, ["additions", "deletions", "modifications", "unchanged"])
+    name = lambda c: html_escape(F.coalesce(c, F.lit("")))
+    note = F.when(name("provenance") == "", "").otherwise(F.concat(F.lit("<p>"), name("provenance"), F.lit("</p>")))
+    changes = F.col("additions") + F.col("deletions") + F.col("modifications")
+    counters = F.format_string("<p>+%d -%d ~%d =%d, %d units, %d differences</p>", "additions", "deletions", "modifications", "unchanged", changes + F.col("unchanged"), changes)
+    both = F.concat(name("old_name"), F.lit(" / "), name("new_name"))
+    head = F.concat(F.lit("<title>"), both, F.lit(f'</title><body style="background:{back};color:{ink}"><h1>'), both, F.lit("</h1>"))
+    table = F.concat(F.lit("<table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"))
+    return joined.select("pair_id", F.concat(F.lit("<!DOCTYPE html><html>"), head, counters, note, table).alias("html"))

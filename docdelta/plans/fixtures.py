@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.text import pair_provenance, source_label, split_units
+from ..sources.layouts import PAGES
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was read in fewer parts than there are cores, dealt to all of them; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def layouts(docs: DataFrame) -> DataFrame:
     """Line i of a text on page i div 8; lines 2k and 2k + 1 share their top edge; kinds by (doc_id + i)."""
     line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', if(k = 5, 'table', 'text'), 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>head</td></tr><tr><td>', x, '</td></tr></table>'), null))))"
-    none = f"array_remove(array({line}), {line})"
     block = f"""named_struct('type', case k when 0 then 'list' when 3 then 'image' when 5 then 'table' else 'text' end, 'bbox', array(50D, y, 550D, y + 12), 'index', cast(i % 3 as int),
       'lines', if(k in (0, 5), null, array({line})), 'blocks', if(k in (0, 5), array(named_struct('type', 'text', 'lines', array({line}))), null))"""
     lines = docs.select("doc_id", F.col("source").alias("_backend"), F.col("lang").alias("_version_name"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x"))
@@ -23,39 +43,62 @@ def layouts(docs: DataFrame) -> DataFrame:
     return pages.select("doc_id", "_backend", "_version_name", page.alias("p")).groupBy("doc_id", "_backend", "_version_name").agg(F.array_sort(F.collect_list("p")).alias("pdf_info"))
 
 
-def unique_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, kind, unit, extra): 12 and more units a document, all different; kind (31 doc_id + i) mod 10 is the edit."""
-    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), 11 + F.col("doc_id") % 20)).alias("i"))
-    name = lambda salt: F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(salt), F.col("i").cast("string")))
-    return rows.select("doc_id", "i", F.pmod(31 * F.col("doc_id") + F.col("i"), F.lit(10)).alias("kind"), name("-").alias("unit"), name("+").alias("extra"))
+#: What an edit puts behind a unit, on the old and on the new side, by kind: forms that are equal once normalised, and
+#: a digit that differs. Kind 6 gets a marker that is noise, on the new side only.
+BEHIND = {4: (", 90^{\\circ} C.", ", 90℃."), 5: (" at 检查 阀门.", " at检查阀门."), 7: (" rev 1.", " rev 2."), 2: ("", " x1."), 8: (", 5 \\sim 10.", ", 5～10.")}
+
+
+def revision_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, h, old, new): the units of every text, numbered, and what an edit makes of them.
+
+    The edit is (31 doc_id + i) mod 10: 0 drops the unit, 1 puts another behind it (h = 1), 2 and 7 change it, 3 to 6
+    and 8 change only what normal forms leave out. A number in front makes the units of a document differ.
+    """
+    rows = docs.select("doc_id", F.posexplode(split_units(F.col("text"))).alias("i", "u")).withColumn("kind", F.pmod(31 * F.col("doc_id") + F.col("i"), F.lit(10)))
+    name = lambda gap, mark: F.concat(F.lit("Entry" + gap), F.col("i").cast("string"), F.lit(", " + mark), F.col("u"), F.lit("."))
+    behind = lambda k: F.coalesce(F.create_map(*(F.lit(x) for kind, v in BEHIND.items() for x in (kind, v[k])))[F.col("kind").cast("int")], F.lit(""))
+    old = F.concat(name(" ", ""), behind(0))
+    new = F.when(F.col("kind") == 3, name("", "")).when(F.col("kind") == 6, name(" ", "note: ")).otherwise(F.concat(name(" ", ""), behind(1)))
+    extra = F.concat(F.lit("Extra "), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("+"), F.col("i").cast("string"))), F.lit("."))
+    main = F.struct(F.lit(0).alias("h"), old.alias("old"), F.when(F.col("kind") != 0, new).alias("new"))
+    after = F.when(F.col("kind") == 1, F.struct(F.lit(1).alias("h"), F.lit(None).cast("string").alias("old"), extra.alias("new")))
+    return rows.select("doc_id", "i", F.inline(F.filter(F.array(main, after), lambda x: x.isNotNull())))
 
 
 def revisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, units) of unique units: kind 0 is dropped, 1 gets a unit after it, 2 changes, 3 gets blanks only."""
-    rows = unique_units(docs)
-    old = F.transform(F.array_sort(F.collect_list(F.struct("i", "unit"))), lambda x: x["unit"])
-    after = F.when(F.col("kind") == 0, F.array().cast("array<string>")).when(F.col("kind") == 1, F.array("unit", "extra")).when(F.col("kind") == 2, F.array(F.concat("unit", F.lit("x1")))).when(
-        F.col("kind") == 3, F.array(F.concat(F.substring("unit", 1, 8), F.lit(" "), F.substring("unit", 9, 24)))
-    ).otherwise(F.array("unit"))
-    new = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", after.alias("after")))), lambda x: x["after"]))
-    both = rows.groupBy("doc_id").agg(old.alias("old"), new.alias("new"))
-    pairs = both.select(F.col("doc_id").alias("pair_id"), (2 * F.col("doc_id")).alias("old_doc_id"), (2 * F.col("doc_id") + 1).alias("new_doc_id"))
-    side = lambda new, units: F.struct((2 * F.col("doc_id") + new).alias("doc_id"), F.col(units).alias("units"))
-    units = both.select(F.inline(F.array(side(0, "old"), side(1, "new"))))
-    return pairs, units.withColumn("norms", F.transform("units", normalize))
-
-
-def natural_pairs(docs: DataFrame) -> DataFrame:
-    """Documents with the same first 40 characters; the one with the smallest id is the old side."""
-    keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.substring("text", 1, 40).alias("k"))
-    first = keyed.groupBy("k").agg(F.min("doc_id").alias("old_doc_id"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(first, "k").filter("doc_id > old_doc_id").select(F.col("doc_id").alias("pair_id"), "old_doc_id", F.col("doc_id").alias("new_doc_id"))
+    """(pairs, layouts) of both sides of every document: units as lines of lists, tables, paragraphs and discarded
+    blocks, out of order inside a page, with an image that is no text. A side without units has no pages."""
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("x")) for k, c in enumerate(("old", "new"))))
+    lines = revision_lines(docs).select("doc_id", "i", "h", F.inline(sides)).filter("x is not null").withColumn("k", F.expr("i % 7"))
+    lines = lines.withColumn("k", F.expr("if(k = 5 and contains(x, '<'), 1, k)")).withColumn("y", F.expr("40D + 80 * (i % 8) + 40 * h"))
+    line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', if(k = 5, 'table', 'text'), 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>', x, '</td></tr></table>'), null))))"
+    block = f"""named_struct('type', case k when 0 then 'list' when 5 then 'table' else 'text' end, 'bbox', array(50D, y, 550D, y + 12), 'index', 0,
+      'lines', if(k in (0, 5), null, array({line})), 'blocks', if(k in (0, 5), array(named_struct('type', 'text', 'lines', array({line}))), null))"""
+    image = F.expr("named_struct('type', 'image', 'bbox', array(0D, 45D, 9D, 60D), 'index', 0, 'lines', array(named_struct('bbox', array(0D, 45D, 9D, 60D), 'spans', array(named_struct('type', 'text', 'content', 'image', 'html', string(null))))), 'blocks', null)")
+    blocks = lines.select("doc_id", "side", F.expr("i div 8").cast("int").alias("page_idx"), F.struct(F.expr("hash(i) as k"), F.expr("i % 5 = 0").alias("out"), F.expr(block).alias("b")).alias("s"))
+    pages = blocks.groupBy("doc_id", "side", "page_idx").agg(F.array_sort(F.collect_list("s")).alias("bs"))
+    of = lambda out: F.transform(F.filter("bs", lambda s: s["out"] if out else ~s["out"]), lambda s: s["b"])
+    page = F.struct("page_idx", F.array(F.lit(612.0), F.lit(792.0)).alias("page_size"), F.array_append(of(False), image).alias("para_blocks"), of(True).alias("discarded_blocks"))
+    made = pages.groupBy("doc_id", "side").agg(F.array_sort(F.collect_list(page)).alias("pdf_info"))
+    known = docs.select("doc_id", "source", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).join(made, ["doc_id", "side"], "left")
+    label = F.expr("if(doc_id % 4 = 0, 'pdfjs', source)").alias("_backend"), F.expr("if(doc_id % 3 = 0, '6.1', if(side = 0, '2.7', '3.4'))").alias("_version_name")
+    layouts = known.select((2 * F.col("doc_id") + F.col("side")).alias("doc_id"), *label, F.coalesce("pdf_info", F.array().cast(PAGES)).alias("pdf_info"))
+    pairs = docs.select(F.col("doc_id").alias("pair_id"), (2 * F.col("doc_id")).alias("old_doc_id"), (2 * F.col("doc_id") + 1).alias("new_doc_id"))
+    return pairs, layouts
+
+
+def natural_pairs(docs: DataFrame, block: int = 1024) -> DataFrame:
+    """Documents with the same first line, in blocks of ids; the smallest id is the old side, of ``block`` - 1 pairs at most."""
+    first_line = F.substring_index("text", "\n", 1)
+    keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64(first_line).alias("k"), F.floor(F.col("doc_id") / block).alias("block"))
+    first = keyed.groupBy("k", "block").agg(F.min("doc_id").alias("old_doc_id"), F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(first, ["k", "block"]).filter("doc_id > old_doc_id").select(F.col("doc_id").alias("pair_id"), "old_doc_id", F.col("doc_id").alias("new_doc_id"))
 
 
 def page_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, width, height): one to four pages, of two sizes."""
+    """(doc_id, page_idx, width, height): one to four pages, of two sizes, which also differ inside a document."""
     rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int"))).alias("page_idx"))
-    b = F.col("doc_id") % 3 == 1
+    b = (F.col("doc_id") + F.col("page_idx")) % 3 == 1
     return rows.withColumn("width", F.when(b, 8.281 * 72).otherwise(612.0)).withColumn("height", F.when(b, 11.427 * 72).otherwise(792.0))
 
 
@@ -79,11 +122,35 @@ def segments(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_idx", "seg_no", x.alias("p1x"), y.alias("p1y"), F.when(flat, x + n).otherwise(x).alias("p2x"), F.when(flat, y).otherwise(y + n).alias("p2y"))
 
 
-def fragments(pages: DataFrame) -> DataFrame:
-    """Twelve fragments a page whose baselines drift; some are blank."""
-    rows = pages.select("doc_id", "page_idx", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("frag_no"))
+def fragments(docs: DataFrame) -> DataFrame:
+    """Twelve fragments a page whose baselines drift: words of the document, some of them blank or with a blank behind."""
+    pages = page_table(docs).join(docs.select("doc_id", F.split("text", " ").alias("words")), "doc_id")
+    rows = pages.select("doc_id", "page_idx", "words", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("frag_no"))
     d = F.col("doc_id") + F.col("page_idx") + F.col("frag_no") * 5
     x, base = (d % 7) * 40.0, 100.0 + 2.0 * (d % 6) + 20.0 * F.floor(F.col("frag_no") / 6)
     width = 20.0 + (d % 3) * 10
-    text = F.when(d % 11 == 0, " ").otherwise(F.concat(F.lit("w"), d.cast("string")))
+    word = F.coalesce(F.get("words", F.col("page_idx") * 12 + F.col("frag_no")), F.lit("w"))
+    text = F.when(d % 11 == 0, " ").when(d % 4 == 0, F.concat(word, F.lit(" "))).otherwise(word)
     return rows.select("doc_id", "page_idx", "frag_no", text.alias("str"), x.alias("x"), (x + width).alias("right"), base.alias("baseline"), F.array(x, base - 8, x + width, base).alias("bbox"))
+
+
+def page_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, line_no, bbox, spans): the lines of each text, eight a page, each in two spans."""
+    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x"))
+    y = 40.0 + 80.0 * (F.col("i") % 8)
+    half = F.floor(F.length("x") / 2).cast("int")
+    spans = F.array(F.substring("x", F.lit(1), half), F.substring("x", half + 1, F.length("x")))
+    return rows.select("doc_id", F.expr("i div 8").cast("int").alias("page_idx"), F.col("i").alias("line_no"), "x", F.array(F.lit(50.0), y, F.lit(550.0), y + 12).alias("bbox"), spans.alias("spans"))
+
+
+def labels(docs: DataFrame) -> DataFrame:
+    """(pair_id, label): the provenance of both sides of the revisions."""
+    backend = F.expr("if(doc_id % 4 = 0, 'pdfjs', source)")
+    version = lambda own: F.expr(f"if(doc_id % 3 = 0, '6.1', '{own}')")
+    return docs.select(F.col("doc_id").alias("pair_id"), pair_provenance(source_label(backend, version("2.7")), source_label(backend, version("3.4"))).alias("label"))
+
+
+def every_page(layouts: DataFrame, top: float, bottom: float) -> DataFrame:
+    """The same region on every page."""
+    pages = layouts.select("doc_id", F.explode("pdf_info").alias("p"))
+    return pages.select("doc_id", F.col("p.page_idx").alias("page_idx"), F.lit(top).alias("y_top"), F.lit(bottom).alias("y_bottom"))

@@ -2,348 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import diff_queries, layout_queries, text_queries
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import text as T
-from ..operators import align, coverage, geometry, layout, metrics, report
-from . import fixtures
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
-
-
-# SQL without lookarounds: cuts are marked one after the other, and the character behind a cut is put back.
-_WS = r"\s+"
-_UNITS = rf"""
-d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t,
-  '(WARNING:|CAUTION:|NOTE:)\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '(\)\d\)|\)[a-z]\))\s+', '\1' || chr(1), 'g'),
-  '([.。；;！!?？])(\s*)([A-Z(]|\d|[一-鿿])', '\1' || chr(1) || '\3', 'g') AS t FROM d),
-p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS us FROM c),
-u AS (SELECT doc_id, generate_subscripts(us, 1) - 1 AS unit_no, unnest(us) AS unit FROM p)"""
-_NOISE = r"trim(regexp_replace(regexp_replace(unit, '(?i)(警告[:：]|警戒[:：]|注意[:：]|注[:：]|WARNING:|CAUTION:|NOTE:)\s*', '', 'g'), '\s+', ' ', 'g'))"
-
-
-@query(rf"WITH {_UNITS} SELECT doc_id, unit_no::INT AS unit_no, unit FROM u")
-def split_units(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(T.split_units(F.col("text"))).alias("unit_no", "unit"))
-
-
-@query(rf"WITH {_UNITS} SELECT doc_id, unit_no::INT AS unit_no, {_NOISE} AS unit FROM u")
-def strip_noise(spark, d):
-    return split_units(spark, d).select("doc_id", "unit_no", T.strip_noise(F.col("unit")).alias("unit"))
-
-
-def _chain(x: str, steps: list[tuple[str, str]]) -> str:
-    for a, b in steps:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-    return x
-
-
-_PLAIN = [
-    (r"([,.''])\s+([A-Za-z0-9])", r"\1\2"), (r"([A-Za-z0-9])\s+([()\[\]])", r"\1\2"), (r"([()\[\]])\s+([A-Za-z0-9])", r"\1\2"), (r"\(\s+\)", "()"), (r"\[\s+\]", "[]"),
-    (r"([A-Za-z0-9])\s+([A-Za-z0-9])", r"\1\2"), (r"([A-Za-z0-9])\s+([A-Za-z0-9])", r"\1\2"), (r"-\s+", "-"), (r"(\d)\s*-\s*(\d)", r"\1-\2"),
-    *((f"(?:{w}){{2,}}", w) for w in ("Table", "Step", "Figure", "Fig", "Task", "Section", "Para", "Chapter")),
-]
-
-
-@query(rf"WITH {_UNITS} SELECT doc_id, unit_no::INT AS unit_no, trim(regexp_replace({_chain('unit', _PLAIN)}, '\s+', ' ', 'g')) AS norm FROM u")
-def normalize(spark, d):
-    """The documents have none of the rare characters, so the SQL has the plain steps only."""
-    return split_units(spark, d).select("doc_id", "unit_no", T.normalize(F.col("unit")).alias("norm"))
-
-
-@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
-def html_escape(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
-
-
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
-def strip_tags(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.strip_tags(F.col("html")).alias("text"))
-
-
-@query(r"""SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(replace(replace(html, '<li', '<tr'), '</li>', '</tr>'), '(?s)<tr[^>]*>(.*?)</tr>', 1),
-  lambda r: trim(regexp_replace(regexp_replace(r, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), lambda r: r <> '')) AS row_text FROM pages""")
-def html_table_rows(spark, d):
-    """The pages have lists and no tables; their items are made rows."""
-    html = F.replace(F.replace("html", F.lit("<li"), F.lit("<tr")), F.lit("</li>"), F.lit("</tr>"))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(T.html_table_rows(html)).alias("row_text"))
-
-
-@query("SELECT a.doc_id, replace(a.text, ' ', '') = replace(regexp_replace(a.text, ' +', '  ', 'g'), ' ', '') AS same FROM documents a")
-def same_ignoring_spaces(spark, d):
-    return _docs(spark, d).select("doc_id", T.same_ignoring_spaces(F.col("text"), F.regexp_replace("text", " +", "  ")).alias("same"))
-
-
-_BAG = "SELECT doc_id, lower(unnest(regexp_extract_all({0}, '[一-鿿]|[A-Za-z]+|\\d+'))) AS token FROM {1}"
-
-
-@query(f"SELECT doc_id, token, count(*) AS n FROM ({_BAG.format('text', 'documents')}) GROUP BY ALL")
-def token_bag(spark, d):
-    return coverage.token_bag(_docs(spark, d))
-
-
-def _truth(spark, d):
-    return _docs(spark, d).select("doc_id", "text")
-
-
-def _extracted(spark, d):
-    """What an extraction kept: the text without its longer numbers and without the last quarter of some documents."""
-    part = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(text, 1, cast(length(text) * 3 div 4 as int))")).otherwise(F.regexp_replace("text", "[0-9]{3,}", ""))
-    return _docs(spark, d).select("doc_id", part.alias("text"))
-
-
-_COVER = f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, (length(text) * 3) // 4) ELSE regexp_replace(text, '[0-9]{{3,}}', '', 'g') END AS text FROM documents),
-s AS (SELECT doc_id, token, sum(t)::BIGINT AS t, sum(e)::BIGINT AS e FROM (
-  SELECT doc_id, token, 1 AS t, 0 AS e FROM ({_BAG.format('text', 'documents')}) UNION ALL SELECT doc_id, token, 0, 1 FROM ({_BAG.format('text', 'e')})) GROUP BY ALL),
-g AS (SELECT d.doc_id, coalesce(sum(t), 0)::BIGINT AS total, coalesce(sum(greatest(t - e, 0)), 0)::BIGINT AS lost FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id)"""
-
-
-@query(f"{_COVER} SELECT doc_id, token, t, e FROM s")
-def bag_difference(spark, d):
-    return coverage.bag_difference(_truth(spark, d), _extracted(spark, d))
-
-
-@query(f"{_COVER} SELECT doc_id, token, t - e AS missing FROM s WHERE t > e")
-def missing_tokens(spark, d):
-    return coverage.missing_tokens(bag_difference(spark, d))
-
-
-@query(f"{_COVER} SELECT doc_id, CASE WHEN total >= 200 THEN round((total - lost) / total, 9) END AS recall, CASE WHEN total >= 200 THEN lost ELSE 0 END AS missing, total, coalesce(total >= 200 AND (total - lost) / total < 0.95, false) AS low FROM g")
-def coverage_figures(spark, d):
-    return coverage.coverage(_truth(spark, d), _extracted(spark, d)).withColumn("recall", F.round("recall", 9))
-
-
-@query(f"""{_COVER} SELECT doc_id, CASE WHEN total < 200 THEN 'no text layer, skipped' ELSE 'coverage ' || printf('%.1f', round((total - lost) / total * 100, 1)) || '% (missing ' || lost || '/' || total || ' tokens)'
-  || CASE WHEN (total - lost) / total < 0.95 THEN ' low: content may be lost' ELSE '' END END AS message FROM g""")
-def coverage_message(spark, d):
-    return coverage.coverage_message(coverage.coverage(_truth(spark, d), _extracted(spark, d)))
-
-
-_LAYOUT = r"""WITH l AS (SELECT doc_id, source, lang, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS x FROM (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-o AS (SELECT *, i // 8 AS page_no, (doc_id + i) % 7 AS k, 40 + 80 * ((i % 8) // 2) AS y, ((doc_id + i) % 5 = 0)::INT AS out FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, i % 3, out, i) - 1 AS block_no FROM o),
-pieces AS (
-  SELECT doc_id, page_no, block_no, 0 AS n, regexp_replace(x, '^\s+|\s+$', '', 'g') AS piece FROM r WHERE k NOT IN (3, 5)
-  UNION ALL SELECT doc_id, page_no, block_no, 0, 'head' FROM r WHERE k = 5
-  UNION ALL SELECT doc_id, page_no, block_no, 1, trim(regexp_replace(regexp_replace('<td>' || x || '</td>', '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) FROM r WHERE k = 5),
-texts AS (SELECT d.doc_id, coalesce(string_agg(piece, ' ' ORDER BY page_no, block_no, n) FILTER (WHERE piece <> ''), '') AS text FROM documents d LEFT JOIN pieces USING (doc_id) GROUP BY d.doc_id)"""
-
-
-@query(f"{_LAYOUT} SELECT doc_id, text, length(text)::INT AS n_chars FROM texts")
-def document_text(spark, d):
-    return layout.document_text(fixtures.layouts(_docs(spark, d)))
-
-
-@query(f"""{_LAYOUT} SELECT doc_id, page_no::INT AS page_no, block_no::INT AS block_no, CASE k WHEN 0 THEN 'list' WHEN 3 THEN 'image' WHEN 5 THEN 'table' ELSE 'text' END AS block_type, 0 AS line_no, 0 AS span_no,
-  CASE WHEN k = 5 THEN 'table' ELSE 'text' END AS type, CASE WHEN k = 5 THEN '' ELSE x END AS content, CASE WHEN k = 5 THEN '<table><tr><td>head</td></tr><tr><td>' || x || '</td></tr></table>' ELSE '' END AS html, y::DOUBLE AS y0 FROM r""")
-def layout_spans(spark, d):
-    rows = layout.layout_spans(fixtures.layouts(_docs(spark, d)))
-    return rows.select("doc_id", "page_no", "block_no", "block_type", "line_no", "span_no", "type", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("html", F.lit("")).alias("html"), F.get("bbox", 1).alias("y0"))
-
-
-@query(f"{_LAYOUT}, q AS (SELECT doc_id, page_no, block_no, string_agg(piece, ' ' ORDER BY n) FILTER (WHERE piece <> '') AS p FROM pieces JOIN r USING (doc_id, page_no, block_no) WHERE y + 12 > 100 AND y < 280 GROUP BY ALL) SELECT d.doc_id, coalesce(string_agg(p, ' ' ORDER BY page_no, block_no), '') AS text FROM documents d LEFT JOIN q USING (doc_id) GROUP BY d.doc_id")
-def region_text(spark, d):
-    """Every page has the region 100 to 280; its borders touch lines."""
-    rows = fixtures.layouts(_docs(spark, d))
-    regions = rows.select("doc_id", F.explode("pdf_info").alias("p")).select("doc_id", F.col("p.page_idx").alias("page_idx"), F.lit(100.0).alias("y_top"), F.lit(280.0).alias("y_bottom"))
-    return layout.document_text(rows, regions).select("doc_id", "text")
-
-
-@query("SELECT doc_id, CASE WHEN source = 'pdfjs' THEN 'pdf.js ' || lang ELSE 'MinerU ' || coalesce(nullif(lang, ''), 'unknown') || ' (' || coalesce(nullif(source, ''), 'unknown') || ')' END AS label FROM documents")
-def source_label(spark, d):
-    return _docs(spark, d).select("doc_id", T.source_label(F.col("source"), F.col("lang")).alias("label"))
-
-
-_PAGES = "pg AS (SELECT doc_id, unnest(range(0, doc_id % 4 + 1)) AS page_idx, CASE WHEN doc_id % 3 = 1 THEN 8.281 * 72 ELSE 612 END::DOUBLE AS width, CASE WHEN doc_id % 3 = 1 THEN 11.427 * 72 ELSE 792 END::DOUBLE AS height FROM documents)"
-_GEO = f"""WITH {_PAGES},
-an AS (SELECT doc_id, page_idx, 'top' AS anchor, h AS hit_no, 90.0::DOUBLE AS x0, (60 + 40 * h)::DOUBLE AS y0 FROM pg, (VALUES (0), (1)) v(h) WHERE (doc_id + page_idx) % 5 <> 0 UNION ALL SELECT doc_id, page_idx, 'bottom', 0, 100, 600 FROM pg),
-sg AS (SELECT *, CASE WHEN s % 2 = 0 THEN 40 + (d % 9) * 10 ELSE 150 + (d % 6) * 10 END::DOUBLE AS x, CASE WHEN s % 2 = 0 THEN 50 + (d % 25) * 8 ELSE 580 + (d % 4) * 8 END::DOUBLE AS y, (20 + (d % 5) * 40)::DOUBLE AS n
-  FROM (SELECT doc_id, page_idx, s, doc_id * 7 + page_idx * 3 + s * 13 AS d FROM pg, range(0, 12) t(s))),
-tops AS (SELECT a.doc_id, a.page_idx, min(y) AS y_top FROM an a JOIN sg USING (doc_id, page_idx) WHERE anchor = 'top' AND hit_no = 0 AND s % 2 = 0 AND n > 50 AND y > y0 + 10 AND x0 + 30 BETWEEN x AND x + n GROUP BY ALL),
-bots AS (SELECT a.doc_id, a.page_idx, arg_min(y, x * 100 + s) AS y_bottom FROM an a JOIN sg USING (doc_id, page_idx) WHERE anchor = 'bottom' AND s % 2 = 1 AND n > 20 AND x > x0 + 60 AND y0 + 5 BETWEEN y AND y + n GROUP BY ALL)"""
-
-
-def _geometry(spark, d):
-    pages = fixtures.page_table(_docs(spark, d))
-    return pages, fixtures.anchors(pages), fixtures.segments(pages)
-
-
-@query(f"{_GEO} SELECT doc_id, page_idx::INT AS page_idx, y_top FROM tops")
-def rule_below_anchor(spark, d):
-    _, a, s = _geometry(spark, d)
-    return geometry.rule_below_anchor(a, s)
-
-
-@query(f"{_GEO} SELECT doc_id, page_idx::INT AS page_idx, y_bottom FROM bots")
-def rule_right_of_anchor(spark, d):
-    _, a, s = _geometry(spark, d)
-    return geometry.rule_right_of_anchor(a, s)
-
-
-@query(f"{_GEO} SELECT doc_id, page_idx::INT AS page_idx, y_top, y_bottom FROM tops JOIN bots USING (doc_id, page_idx) WHERE y_top < y_bottom")
-def content_regions(spark, d):
-    _, a, s = _geometry(spark, d)
-    return geometry.content_regions(a, s)
-
-
-@query(f"""{_GEO} SELECT doc_id, page_idx::INT AS page_idx, s AS line_no, 'w' || s || page_idx AS text FROM (SELECT *, 40 * s AS c FROM pg, range(0, 20) t(s)) JOIN tops USING (doc_id, page_idx) JOIN bots USING (doc_id, page_idx)
-  WHERE y_top < y_bottom AND c BETWEEN y_top AND y_bottom""")
-def content_page_lines(spark, d):
-    pages, a, s = _geometry(spark, d)
-    c = 40.0 * F.col("line_no")
-    lines = pages.select("doc_id", "page_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("line_no"))
-    lines = lines.select("*", F.array(F.lit(50.0), c - 6, F.lit(500.0), c + 6).alias("bbox"), F.array(F.concat(F.lit(" w"), F.col("line_no").cast("string")), F.concat(F.col("page_idx").cast("string"), F.lit(" "))).alias("spans"))
-    return geometry.content_page_lines(lines, geometry.content_regions(a, s))
-
-
-@query()
-def fragments_to_lines(spark, d):
-    return geometry.fragments_to_lines(fixtures.fragments(fixtures.page_table(_docs(spark, d))))
-
-
-@query(f"WITH {_PAGES} SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'B' ELSE 'A' END AS family, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 0.56 END::DOUBLE AS off_left, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 0.2 END::DOUBLE AS off_top, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 0.74 END::DOUBLE AS off_right, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END::DOUBLE AS off_bottom FROM pg WHERE page_idx = 1")
-def page_family(spark, d):
-    return geometry.page_family(fixtures.page_table(_docs(spark, d)))
-
-
-@query(f"WITH {_PAGES}, im AS (SELECT doc_id, min(page_idx) AS cut FROM pg WHERE (doc_id + page_idx) % 6 = 0 GROUP BY doc_id) SELECT doc_id, page_idx::INT AS page_idx FROM pg LEFT JOIN im USING (doc_id) WHERE cut IS NULL OR page_idx < cut")
-def truncate_at_image_page(spark, d):
-    """Images of 30 % of the page on some pages, of less on the others."""
-    pages = fixtures.page_table(_docs(spark, d))
-    w = F.when((F.col("doc_id") + F.col("page_idx")) % 6 == 0, F.col("width") * 0.5).otherwise(F.col("width") * 0.25)
-    images = pages.select("doc_id", "page_idx", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), w.alias("x1"), (F.col("height") * 0.75).alias("y1"))
-    return geometry.truncate_at_image_page(pages, images).select("doc_id", "page_idx")
-
-
-@query(f"""WITH {_PAGES}, f AS (SELECT doc_id, page_idx, 20.0 + page_idx AS l, 50.0 + page_idx AS t, 500.0 + page_idx AS r, 700.0 + page_idx AS b FROM pg WHERE NOT (page_idx = 0 AND doc_id % 2 = 0))
-SELECT p.doc_id, p.page_idx::INT AS page_idx, round(coalesce(g.l, f.l) + CASE WHEN p.doc_id % 3 = 1 THEN 0 ELSE 0.56 END, 6)::DOUBLE AS "left", round(coalesce(g.t, f.t) + CASE WHEN p.doc_id % 3 = 1 THEN 0 ELSE 0.2 END, 6)::DOUBLE AS top,
-  round(width - coalesce(g.r, f.r) + CASE WHEN p.doc_id % 3 = 1 THEN 0 ELSE 0.74 END, 6)::DOUBLE AS "right", round(height - coalesce(g.b, f.b) + CASE WHEN p.doc_id % 3 = 1 THEN 0 ELSE 2 END, 6)::DOUBLE AS bottom
-FROM pg p JOIN f ON f.doc_id = p.doc_id AND f.page_idx = 1 LEFT JOIN f g ON g.doc_id = p.doc_id AND g.page_idx = 0 AND p.page_idx = 0""")
-def crop_boxes(spark, d):
-    pages = fixtures.page_table(_docs(spark, d))
-    at = F.col("page_idx")
-    found = pages.filter("not (page_idx = 0 and doc_id % 2 = 0)").select("doc_id", "page_idx", (20.0 + at).alias("left"), (50.0 + at).alias("top"), (500.0 + at).alias("right"), (700.0 + at).alias("bottom"))
-    boxes = geometry.crop_boxes(pages, found)
-    return boxes.select("doc_id", "page_idx", *(F.round(c, 6).alias(c) for c in ("left", "top", "right", "bottom")))
-
-
-@query(f"WITH {_PAGES} SELECT doc_id, (page_idx - 1)::INT AS page_idx FROM pg WHERE page_idx BETWEEN 1 AND 2")
-def slice_pages(spark, d):
-    return layout.slice_pages(fixtures.page_table(_docs(spark, d)), "2-3").select("doc_id", "page_idx")
-
-
-@query(f"WITH {_PAGES} SELECT doc_id, (max(page_idx) + 1)::INT AS n_pages FROM pg GROUP BY doc_id HAVING max(page_idx) + 1 < 3")
-def short_documents(spark, d):
-    return layout.short_documents(fixtures.page_table(_docs(spark, d)), "2-3")
-
-
-# Of unique units the edit rule tells the diff: a unit that was added stands right behind its neighbour.
-_DIFF = """WITH u AS (SELECT doc_id, i, (31 * doc_id + i) % 10 AS kind, md5(doc_id || '-' || i) AS unit, md5(doc_id || '+' || i) AS extra FROM (SELECT doc_id, unnest(range(0, 12 + doc_id % 20)) AS i FROM documents)),
-e AS (SELECT doc_id, i, 0 AS h, CASE kind WHEN 0 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'equal' END AS type, unit AS old, CASE kind WHEN 0 THEN NULL WHEN 2 THEN unit || 'x1' WHEN 3 THEN substr(unit, 1, 8) || ' ' || substr(unit, 9) ELSE unit END AS new FROM u
-  UNION ALL SELECT doc_id, i, 1, 'added', NULL, extra FROM u WHERE kind = 1),
-q AS (SELECT doc_id AS pair_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, h) - 1 AS seq, type, old, new FROM e)"""
-
-
-def _units(spark, d):
-    return align.compare_pairs(*fixtures.revisions(_docs(spark, d)))
-
-
-@query(f"{_DIFF} SELECT pair_id, seq::INT AS seq, type, old, new FROM q")
-def diff_units(spark, d):
-    return _units(spark, d).select("pair_id", "seq", "type", "old", "new")
-
-
-_STATS = "pair_id, count(*) FILTER (WHERE type = 'added') AS additions, count(*) FILTER (WHERE type = 'deleted') AS deletions, count(*) FILTER (WHERE type = 'modified') AS modifications, count(*) FILTER (WHERE type = 'equal') AS unchanged, count(*) AS total, count(*) FILTER (WHERE type <> 'equal') AS diff_count"
-
-
-@query(f"{_DIFF} SELECT {_STATS} FROM q GROUP BY pair_id")
-def diff_stats(spark, d):
-    return metrics.diff_stats(_units(spark, d))
-
-
-@query(f"{_DIFF} SELECT {_STATS} FROM q GROUP BY pair_id")
-def compare_counts(spark, d):
-    return align.compare_counts(*fixtures.revisions(_docs(spark, d)))
-
-
-@query()
-def natural_diff(spark, d):
-    """Revision counters of documents that begin alike."""
-    docs = _docs(spark, d)
-    return align.compare_counts(fixtures.natural_pairs(docs), align.document_units(docs))
-
-
-@query(f"{_DIFF} SELECT pair_id, seq::INT AS seq, type FROM q WHERE type <> 'equal'")
-def changed_units(spark, d):
-    return report.changed_units(_units(spark, d)).select("pair_id", "seq", "type")
-
-
-@query(f"{_DIFF} SELECT pair_id, seq::INT AS seq FROM q WHERE contains(lower(coalesce(old, '')), 'ab1') OR contains(lower(coalesce(new, '')), 'ab1')")
-def search_units(spark, d):
-    return report.search_units(_units(spark, d), "AB1").select("pair_id", "seq")
-
-
-@query(f"""{_DIFF}, n AS (SELECT *, sum((old IS NOT NULL)::INT) OVER w AS o, sum((new IS NOT NULL)::INT) OVER w AS n FROM q WINDOW w AS (PARTITION BY pair_id ORDER BY seq))
-SELECT pair_id, seq::INT AS seq, coalesce(CASE WHEN old IS NOT NULL THEN o END, 0)::BIGINT AS old_line, coalesce(CASE WHEN new IS NOT NULL THEN n END, 0)::BIGINT AS new_line FROM n""")
-def side_by_side(spark, d):
-    rows = report.side_by_side(_units(spark, d))
-    return rows.select("pair_id", "seq", F.coalesce("old_line", F.lit(0)).cast("long").alias("old_line"), F.coalesce("new_line", F.lit(0)).cast("long").alias("new_line"))
-
-
-@query(f"""{_DIFF}, c AS (SELECT pair_id, seq FROM q WHERE type <> 'equal')
-SELECT pair_id, seq::INT AS seq, row_number() OVER w AS k, count(*) OVER (PARTITION BY pair_id) AS n, coalesce(lag(seq) OVER w, max(seq) OVER (PARTITION BY pair_id))::INT AS previous_seq, coalesce(lead(seq) OVER w, min(seq) OVER (PARTITION BY pair_id))::INT AS next_seq
-FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY seq)""")
-def diff_navigation(spark, d):
-    return report.diff_navigation(_units(spark, d))
-
-
-@query()
-def render_reports(spark, d):
-    units = _units(spark, d)
-    titles = units.select("pair_id").distinct().select("pair_id", F.concat(F.lit("old "), F.col("pair_id").cast("string")).alias("old_name"), F.concat(F.lit("new "), F.col("pair_id").cast("string")).alias("new_name"), F.lit("").alias("provenance"))
-    return report.render_reports(units, metrics.diff_stats(units), titles)
-
-
-@query("SELECT doc_id AS pair_id, true AS old_found, EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = a.doc_id + 7) AS new_found FROM documents a")
-def resolve_pairs(spark, d):
-    docs = _docs(spark, d)
-    return metrics.resolve_pairs(docs.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc_id"), (F.col("doc_id") + 7).alias("new_doc_id")), docs)
-
-
-@query("SELECT source AS backend, lang AS version, count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(len(regexp_extract_all(text, '\\\\(sim|cdot|circ|math)')))::BIGINT AS artefacts FROM documents GROUP BY ALL")
-def extraction_scorecard(spark, d):
-    return metrics.extraction_scorecard(_docs(spark, d).select(F.col("source").alias("backend"), F.col("lang").alias("version"), "text"))
-
-
-@query("SELECT source AS backend, word, sum((length(text) - length(replace(text, word, ''))) // length(word))::BIGINT AS n FROM documents, (VALUES ('the'), ('License'), ('une')) w(word) GROUP BY ALL")
-def keyword_counts(spark, d):
-    return metrics.keyword_counts(_docs(spark, d).select(F.col("source").alias("backend"), "text"), ["the", "License", "une"])
-
-
-@query(f"""{_DIFF}, s AS (SELECT {_STATS} FROM q GROUP BY pair_id) SELECT pair_id, source AS label, total > 15 AS enough_units, additions + deletions <= 4 AS unpaired_ok, diff_count <= 6 AS diffs_ok FROM s JOIN documents ON doc_id = pair_id""")
-def regression_gate(spark, d):
-    docs = _docs(spark, d)
-    stats = metrics.diff_stats(_units(spark, d)).join(docs.select(F.col("doc_id").alias("pair_id"), F.col("source").alias("label")), "pair_id")
-    limits = docs.select(F.col("source").alias("label")).distinct().select("label", F.lit(15).alias("min_units"), F.lit(4).alias("max_unpaired"), F.lit(6).alias("max_diffs"))
-    return metrics.regression_gate(stats, limits)
+__all__ = ["ORACLES", "QUERIES", "diff_queries", "layout_queries", "text_queries"]

@@ -74,6 +74,35 @@ def test_invariants(spark):
             assert numbers == list(range(len(numbers)))
     stats = {r.pair_id: r for r in metrics.diff_stats(units).collect()}
     assert all(s.total == s.unchanged + s.diff_count for s in stats.values())
-    html = report.render_reports(units, metrics.diff_stats(units), units.select("pair_id", F.lit("a").alias("old_name"), F.lit("b").alias("new_name"), F.lit("p").alias("provenance")).distinct()).collect()
-    assert all(r.html.count("data-diff") == stats[r.pair_id].diff_count for r in html)
+    titles = units.select("pair_id", F.lit("a<script>").alias("old_name"), F.lit("b & c").alias("new_name"), F.lit("<p>").alias("provenance")).distinct()
+    html = report.render_reports(units, titles).collect()
+    assert all("<script>" not in r.html and "a&lt;script&gt; / b &amp; c" in r.html and "<p>&lt;p&gt;</p>" in r.html for r in html)
+    assert all(r.html.count("data-diff=") == stats[r.pair_id].diff_count for r in html)
     assert report.search_units(units, "u").count() == 0 and report.search_units(units, "uNIT").count() == len(rows)
+
+
+def test_report_of_a_pair_without_units(spark):
+    units = compare(spark, [""], [""])
+    titles = spark.createDataFrame([(0, "a", "b", None)], "pair_id long, old_name string, new_name string, provenance string")
+    html = report.render_reports(units, titles).first().html
+    assert "0 units, 0 differences" in html and "<tr" not in html
+
+
+def test_absent_side_is_an_empty_cell(spark):
+    rows = [r.row for r in report.report_rows(compare(spark, ["Alpha beta gamma"], ["Quite something else"])).orderBy("seq").collect()]
+    assert 'class="deleted">Alpha beta gamma</td><td></td><td class="empty">&nbsp;</td>' in rows[0] and rows[1].startswith('<tr data-diff="added"><td></td><td class="empty">&nbsp;')
+
+
+def test_contained_texts_like_the_matcher():
+    rng = random.Random(4)
+    for _ in range(500):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))
+        b = "".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) + a + "".join(rng.choice("ab") for _ in range(rng.randint(0, 4)))
+        assert align._similarity(a, b) == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
+def test_pairs_need_both_sides(spark):
+    units = align.document_units(spark.createDataFrame([(1, "One. Two"), (2, None)], "doc_id long, text string"))
+    pairs = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 9)], "pair_id long, old_doc_id long, new_doc_id long")
+    got = {r.pair_id: (r.unchanged, r.deletions) for r in align.compare_counts(pairs, units).collect()}
+    assert got == {1: (2, 0), 2: (0, 2)}

@@ -68,7 +68,7 @@ def lines_of(rows):
         line.sort(key=lambda r: (r["x"], r["baseline"], r["frag_no"]))
         text = ""
         for k, r in enumerate(line):
-            if k and r["x"] - line[k - 1]["right"] > 1 and not r["str"][0].isspace() and not line[k - 1]["str"][-1].isspace():
+            if k and r["x"] - line[k - 1]["right"] > 1 and r["str"][0] != " " and line[k - 1]["str"][-1] != " ":
                 text += " "
             text += r["str"]
         texts.append(text.strip())
@@ -76,13 +76,43 @@ def lines_of(rows):
 
 
 def test_fragments(spark):
-    rows = [(1, 0, i, s, x, x + 10, b) for i, (s, x, b) in enumerate([("a", 0.0, 10.0), ("b", 11.0, 12.0), ("c", 22.1, 14.0), ("d", 5.0, 12.6), (" ", 0.0, 30.0), ("e ", 0.0, 40.0), ("f", 30.0, 40.0)])]
+    rows = [(1, 0, i, s, x, x + 10, b) for i, (s, x, b) in enumerate([("a", 0.0, 10.0), ("b", 11.0, 12.0), ("c", 22.1, 14.0), ("d", 5.0, 12.6), (" ", 0.0, 30.0), ("e ", 0.0, 40.0), ("f", 30.0, 40.0), ("g\t", 0.0, 60.0), ("h", 30.0, 60.0)])]
     df = spark.createDataFrame(rows, "doc_id long, page_idx int, frag_no int, str string, x double, right double, baseline double").withColumn("bbox", F.array("x", "baseline", "right", "baseline"))
     got = [r.text for r in geometry.fragments_to_lines(df).orderBy("line_no").collect()]
-    assert got == lines_of([r.asDict() for r in df.collect()]) == ["a b", "dc", "e f"] or got == lines_of([r.asDict() for r in df.collect()])
+    assert got == lines_of([r.asDict() for r in df.collect()]) == ["ab", "d c", "e f", "g\t h"]
 
 
 def test_fragment_matrix(spark):
     df = spark.createDataFrame([([1.0, 0.0, 0.0, -1.0, 0.0, 100.0], [2.0, 0.0, 0.0, 8.0, 10.0, 20.0], 30.0, 0.0)], "v array<double>, m array<double>, width double, height double")
     f = df.select(geometry.to_fragment("m", "v").alias("f")).first().f
     assert (f.x, f.right, f.baseline, f.bbox) == (10.0, 40.0, 80.0, [10.0, 72.0, 40.0, 80.0])
+
+
+def test_crop_margins_of_pages_of_other_sizes(spark):
+    """Later pages, and a first page without lines, take the margins that were measured in page 2."""
+    pages = spark.createDataFrame([(1, 0, 700.0, 900.0), (1, 1, 612.0, 792.0), (1, 2, 800.0, 1000.0), (2, 0, 700.0, 900.0), (2, 1, 612.0, 792.0), (3, 0, 612.0, 792.0)], "doc_id long, page_idx int, width double, height double")
+    found = spark.createDataFrame([(1, 1, 10.0, 20.0, 500.0, 700.0), (2, 0, 11.0, 21.0, 600.0, 800.0), (2, 1, 10.0, 20.0, 500.0, 700.0), (3, 0, 1.0, 1.0, 2.0, 2.0)], "doc_id long, page_idx int, left double, top double, right double, bottom double")
+    got = {(r.doc_id, r.page_idx): tuple(round(x, 2) for x in r[2:]) for r in geometry.crop_boxes(pages, found).collect()}
+    second = (10.56, 20.2, 112.74, 94.0)
+    assert got == {(1, 0): second, (1, 1): second, (1, 2): second, (2, 0): (11.56, 21.2, 100.74, 102.0), (2, 1): second}
+
+
+def test_spans_and_layouts_from_files(spark, tmp_path):
+    page = {"page_idx": 0, "para_blocks": [BLOCK(1, "one")], "discarded_blocks": []}
+    (tmp_path / "a.json").write_text(json.dumps({"_backend": "hybrid", "_version_name": "2.7", "pdf_info": [page]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"pdf_info": [page, page | {"page_idx": 1}]}, indent=1))
+    read = layouts.read_layouts(spark, str(tmp_path / "*.json"))
+    layouts.write_layout_spans(layout.layout_spans(read), str(tmp_path / "spans"))
+    back = spark.read.parquet(str(tmp_path / "spans")).select("doc_id", "backend", "version", "page_no", "content").collect()
+    assert sorted((r.doc_id[-6:], r.backend, str(r.version), r.page_no, r.content) for r in back) == [
+        ("a.json", "hybrid", "2.7", 0, "one"), ("b.json", "unknown", "unknown", 0, "one"), ("b.json", "unknown", "unknown", 1, "one"),
+    ]
+    cut = {r.doc_id[-6:]: [p.page_idx for p in r.pdf_info] for r in layout.slice_layouts(read, "2").collect()}
+    assert cut == {"a.json": [], "b.json": [0]}
+
+
+def test_truth_of_pages_with_and_without_region(spark):
+    whole = spark.createDataFrame([(1, 0, "head a foot"), (1, 1, "b")], "doc_id long, page_idx int, text string")
+    lines = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "not")], "doc_id long, page_idx int, line_no int, text string")
+    regions = spark.createDataFrame([(1, 0, 1.0, 9.0)], "doc_id long, page_idx int, y_top double, y_bottom double")
+    assert coverage.truth_text(whole, lines, regions).first().text == "a b"

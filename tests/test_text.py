@@ -21,6 +21,7 @@ def one(spark, f, x):
         ("(1) Turn left", ["(1) Turn left"]),
         ("WARNING: Hot\nsurface", ["WARNING:", "Hot surface"]),
         ("关闭阀门。检查", ["关闭阀门。", "检查"]),
+        ("one\u0001two\u0002 three", ["one\u0001two\u0002 three"]),
         ("", []),
         (None, None),
     ],
@@ -79,3 +80,8 @@ def test_html(spark):
 def test_empty_document_has_no_units(spark):
     rows = document_units(spark.createDataFrame([(1, None), (2, "NOTE:")], "doc_id long, text string")).collect()
     assert [list(r.units) for r in rows] == [[], []]
+
+
+def test_provenance(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), (None, None)], "o string, n string").select(T.pair_provenance(F.col("o"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in rows] == ["a", "old a / new b", None]
