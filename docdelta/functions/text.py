@@ -18,42 +18,42 @@ CUT = "\n"
 UNIT_END = U + rf"(?:(?:WARNING:|CAUTION:|NOTE:){S}+(?=[A-Z]))|(?:(?<=\)\d\)|\)[a-z]\)){S}+)|(?:[.。；;！!?？]{S}*(?=[A-Z(]|\d|{H}))"
 MARKERS = [r"警告[:：]", r"警戒[:：]", r"注意[:：]", r"注[:：]", r"WARNING:", r"CAUTION:", r"NOTE:"]
 
-# The normal form, step by step; ``$1$2`` keeps captures, so each step is one pass.
+# The normal form of a squeezed unit, step by step; ``$1$2`` keeps captures, so each step is one pass.
 LATEX = [("\\sim", "~"), ("\\cdot", "·"), ("\\circ", "°")]
 LATEX_STEPS = [
     (r"\\math[\p{L}\p{N}_]+", ""),
     (r"(?<![\p{L}\p{N}_])circ(?![\p{L}\p{N}_])", "°"),
     (r"[{}]", ""),
-    (rf"\^?{S}*°{S}*C(?![a-z])", "℃"),
-    (rf"\^?{S}*°{S}*F(?![a-z])", "℉"),
+    (r"\^? *° *C(?![a-z])", "℃"),
+    (r"\^? *° *F(?![a-z])", "℉"),
 ]
 IDEOGRAPH_STEPS = [
-    (rf"({H})-{S}*", "$1"),
-    (rf"({H}){S}+({H})", "$1$2"),
-    (rf"([，。；：！？、）】]){S}+", "$1"),
-    (rf"{S}+([，。；：！？、【（])", "$1"),
-    (rf"({H}){S}+([A-Za-z0-9()\[\]])", "$1$2"),
-    (rf"([A-Za-z0-9()\[\]]){S}+({H})", "$1$2"),
+    (rf"({H})- *", "$1"),
+    (rf"({H}) +({H})", "$1$2"),
+    (r"([，。；：！？、）】]) +", "$1"),
+    (r" +([，。；：！？、【（])", "$1"),
+    (rf"({H}) +([A-Za-z0-9()\[\]])", "$1$2"),
+    (rf"([A-Za-z0-9()\[\]]) +({H})", "$1$2"),
 ]
 BRACKET_STEPS = [
-    (rf"([,.']){S}+([A-Za-z0-9])", "$1$2"),
-    (rf"([A-Za-z0-9]){S}+([()\[\]])", "$1$2"),
-    (rf"([()\[\]]){S}+([A-Za-z0-9])", "$1$2"),
+    (r"([,.']) +([A-Za-z0-9])", "$1$2"),
+    (r"([A-Za-z0-9]) +([()\[\]])", "$1$2"),
+    (r"([()\[\]]) +([A-Za-z0-9])", "$1$2"),
 ]
-DEGREE_STEPS = [(rf"(\d){S}+(℃)", "$1$2"), (rf"([’ʼ]){S}+([A-Za-z0-9])", "$1$2")]
-EMPTY_STEPS = [(rf"\({S}+\)", "()"), (rf"\[{S}+\]", "[]")]
+DEGREE_STEPS = [(r"(\p{Nd}) +(℃)", "$1$2"), (r"([’ʼ]) +([A-Za-z0-9])", "$1$2")]
+EMPTY_STEPS = [(r"\( +\)", "()"), (r"\[ +\]", "[]")]
 WIDE, NARROW = "～，；：！？、（）【】。", "~,;:!?,()[]."
 TILDE_STEPS = [
-    (rf"~({S}*~)+", "~"),
-    (rf"{S}+~{S}*(?=[A-Za-z℃℉°])", " "),
-    (rf"{S}*~{S}*(?=[)\]])", ""),
-    (rf"{S}+~{S}*$", ""),
-    (rf"{S}*~{S}*", "~"),
+    (r"~( *~)+", "~"),
+    (r" +~ *(?=[A-Za-z℃℉°])", " "),
+    (r" *~ *(?=[)\]])", ""),
+    (r" +~ *$", ""),
+    (r" *~ *", "~"),
 ]
 LAST_STEPS = [
-    (rf"(?<=[A-Za-z0-9]){S}+(?=[A-Za-z0-9])", ""),
-    (rf"-{S}+", "-"),
-    (rf"(\d){S}*-{S}*(\d)", "$1-$2"),
+    (r"(?<=[A-Za-z0-9]) +(?=[A-Za-z0-9])", ""),
+    (r"- +", "-"),
+    (r"(\p{Nd}) *- *(\p{Nd})", "$1-$2"),
     (r"(Table|Step|Figure|Fig|Task|Section|Para|Chapter)\1+", "$1"),
     (r"Referto(?:Figure|Fig|Table|Step|Task)?(?=Referto)", ""),
 ]
@@ -62,7 +62,7 @@ RARE = rf"[\\{{}}°{H[1:-1]}，。；：！？、）】【（℃’ʼ～~]|circ"
 
 
 def _steps(x: Column, steps: list[tuple[str, str]]) -> Column:
-    return reduce(lambda y, s: F.regexp_replace(y, U + s[0], s[1]), steps, x)
+    return reduce(lambda y, s: F.regexp_replace(y, s[0], s[1]), steps, x)
 
 
 def squeeze(x: Column) -> Column:
@@ -88,11 +88,16 @@ def strip_noise(unit: Column) -> Column:
 
 def normalize(unit: Column) -> Column:
     """The form in which extraction artefacts vanish. Not idempotent: most steps are a single pass."""
-    x = reduce(lambda y, r: F.replace(y, F.lit(r[0]), F.lit(r[1])), LATEX, unit)
-    x = _steps(x, [*LATEX_STEPS, *IDEOGRAPH_STEPS, *BRACKET_STEPS, *DEGREE_STEPS, *EMPTY_STEPS])
-    full = _steps(F.translate(x, WIDE, NARROW), [*TILDE_STEPS, *LAST_STEPS])
-    plain = _steps(unit, [*BRACKET_STEPS, *EMPTY_STEPS, *LAST_STEPS])
-    return squeeze(F.when(unit.rlike(RARE), full).otherwise(plain))
+    return normal_form(F.regexp_replace(unit, U + S + "+", " "))
+
+
+def normal_form(x: Column) -> Column:
+    """``normalize`` of a text whose white space is single blanks: every step takes white space in runs."""
+    full = reduce(lambda y, r: F.replace(y, F.lit(r[0]), F.lit(r[1])), LATEX, x)
+    full = _steps(full, [*LATEX_STEPS, *IDEOGRAPH_STEPS, *BRACKET_STEPS, *DEGREE_STEPS, *EMPTY_STEPS])
+    full = _steps(F.translate(full, WIDE, NARROW), [*TILDE_STEPS, *LAST_STEPS])
+    plain = _steps(x, [*BRACKET_STEPS, *EMPTY_STEPS, *LAST_STEPS])
+    return F.trim(F.regexp_replace(F.when(x.rlike(RARE), full).otherwise(plain), "  +", " "))
 
 
 def html_escape(x: Column) -> Column:

@@ -7,13 +7,14 @@ has partitioned; a row holds the two sides of one pair, or one modified unit.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import html_escape, normalize, split_units, strip_noise
+from ..functions.text import html_escape, normal_form, split_units, strip_noise
 
 #: Fixed value: units less alike than this are never paired.
 PAIR_THRESHOLD = 0.85
@@ -22,8 +23,27 @@ OPERATION = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.S
 HTML = T.StructType([T.StructField("old_html", T.StringType()), T.StructField("new_html", T.StringType())])
 
 
-def _opcodes(a: list[str], b: list[str]) -> list[tuple]:
-    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+def _front(a: str, b: str, most: int = 6) -> int:
+    """Length of the common front of two texts if it surely is their longest common run, else 0.
+
+    The texts may go on for ``most`` characters behind it, so that all longer runs can be tried.
+    """
+    n, m = len(a), len(b)
+    front = len(commonprefix((a, b)))
+    if n - front > most or m - front > most:
+        return 0
+    for k in range(front + 1, min(n, m) + 1):
+        if any(a[i : i + k] == b[j : j + k] for i in range(n - k + 1) for j in range(m - k + 1)):
+            return 0
+    return front
+
+
+def _opcodes(a: list[str] | str, b: list[str] | str) -> list[tuple]:
+    """The matcher's runs. A common front that is the longest run is taken off first, which changes nothing."""
+    front = _front(a, b) if isinstance(a, str) else 0
+    rest = SequenceMatcher(None, a[front:], b[front:], autojunk=False).get_opcodes()
+    ahead = [("equal", 0, front, 0, front)] if front else []
+    return ahead + [(tag, i1 + front, i2 + front, j1 + front, j2 + front) for tag, i1, i2, j1, j2 in rest]
 
 
 def _similarity(a: str, b: str) -> float:
@@ -31,7 +51,17 @@ def _similarity(a: str, b: str) -> float:
         return 1.0
     if a in b or b in a:  # the shorter one as a whole is the longest run, and nothing is left of it
         return 2 * min(len(a), len(b)) / (len(a) + len(b))
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    front = _front(a, b)
+    blocks = SequenceMatcher(None, a[front:], b[front:], autojunk=False).get_matching_blocks()
+    return 2 * (front + sum(x.size for x in blocks)) / (len(a) + len(b))
+
+
+def _pairable(a: str, b: str) -> bool:
+    """Whether two units are alike enough. A common front or back is a lower bound of what the matcher finds."""
+    least = PAIR_THRESHOLD * (len(a) + len(b)) / 2
+    if min(len(a), len(b)) < least:
+        return False
+    return len(commonprefix((a, b))) >= least or len(commonprefix((a[::-1], b[::-1]))) >= least or _similarity(a, b) >= PAIR_THRESHOLD
 
 
 def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
@@ -53,7 +83,7 @@ def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
                     own[a] = _similarity(a, b)
                     continue
                 matcher.set_seq1(a)
-                if matcher.quick_ratio() >= PAIR_THRESHOLD and (value := matcher.ratio()) >= PAIR_THRESHOLD:
+                if matcher.quick_ratio() >= PAIR_THRESHOLD and (value := _similarity(a, b)) >= PAIR_THRESHOLD:
                     own[a] = value
     return found
 
@@ -64,7 +94,10 @@ def _pair_block(old: list[str], new: list[str]) -> list[tuple[str, int | None, i
     A byte for each cell says how it was reached; of the totals two rows are held.
     """
     pair, gone, come = b"pda"
-    alike, n, m = _alike(old, new), len(old), len(new)
+    n, m = len(old), len(new)
+    if n == m == 1:  # how alike they are matters only between several pairs
+        return [("pair", 0, 0)] if _pairable(old[0], new[0]) else [("del", 0, None), ("add", None, 0)]
+    alike = _alike(old, new)
     columns = [alike[b] for b in new]
     above = [0.0] * (m + 1)
     steps = [bytes([come]) * (m + 1)]
@@ -162,7 +195,7 @@ def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
 def document_units(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, units, norms): the units without markers, and their normal forms, once for each document."""
     units = F.filter(F.transform(split_units(F.coalesce(text, F.lit(""))), strip_noise), lambda u: u != "")
-    return docs.select("doc_id", units.alias("units")).withColumn("norms", F.transform("units", normalize))
+    return docs.select("doc_id", units.alias("units")).withColumn("norms", F.transform("units", normal_form))
 
 
 def paired(pairs: DataFrame, units: DataFrame) -> DataFrame:

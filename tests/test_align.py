@@ -106,3 +106,15 @@ def test_pairs_need_both_sides(spark):
     pairs = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 9)], "pair_id long, old_doc_id long, new_doc_id long")
     got = {r.pair_id: (r.unchanged, r.deletions) for r in align.compare_counts(pairs, units).collect()}
     assert got == {1: (2, 0), 2: (0, 2)}
+
+
+def test_runs_like_the_matcher():
+    """Common fronts and contained texts are short cuts only."""
+    rng = random.Random(6)
+    for _ in range(3000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
+        b = a[: rng.randint(0, len(a))] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+        plain = SequenceMatcher(None, a, b, autojunk=False)
+        assert align._opcodes(a, b) == plain.get_opcodes()
+        if a or b:
+            assert align._similarity(a, b) == pytest.approx(plain.ratio()) and align._pairable(a, b) == (plain.ratio() >= 0.85)

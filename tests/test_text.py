@@ -55,11 +55,12 @@ def plain_normal(x):
     x = s(r"\bcirc\b", "°", x)
     py = [*T.LATEX_STEPS[2:], *T.IDEOGRAPH_STEPS, *T.BRACKET_STEPS, *T.DEGREE_STEPS, *T.EMPTY_STEPS]
     turn = lambda b: b.replace("$1", r"\1").replace("$2", r"\2")
+    python = lambda a: a.replace(" ", r"\s").replace(r"\p{Nd}", r"\d")
     for a, b in py:
-        x = s(a.replace(r"[\s\x1c-\x1f]", r"\s"), turn(b), x)
+        x = s(python(a), turn(b), x)
     x = x.translate(str.maketrans(T.WIDE, T.NARROW))
     for a, b in [*T.TILDE_STEPS, *T.LAST_STEPS]:
-        x = s(a.replace(r"[\s\x1c-\x1f]", r"\s"), turn(b), x)
+        x = s(python(a), turn(b), x)
     return s(r"\s+", " ", x).strip()
 
 
@@ -85,3 +86,14 @@ def test_empty_document_has_no_units(spark):
 def test_provenance(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), (None, None)], "o string, n string").select(T.pair_provenance(F.col("o"), F.col("n")).alias("p")).collect()
     assert [r.p for r in rows] == ["a", "old a / new b", None]
+
+
+def test_forms_of_squeezed_units(spark):
+    rng = random.Random(8)
+    parts = ["a", "B", "7", " ", "\t", "~", " ~ ", "note: ", "WARNING: ", "警告：", ".", ". A", ")1) ", "阀", "- ", "(", " )", "\\circ", "circ", "Table", "Table", "\u0085", "\u2028", "；5"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    one_by_one = F.filter(F.transform(T.split_units(F.col("text")), T.strip_noise), lambda u: u != "")
+    want = {r.doc_id: (r.u, r.n) for r in df.select("doc_id", one_by_one.alias("u")).withColumn("n", F.transform("u", T.normalize)).collect()}
+    got = {r.doc_id: (r.units, r.norms) for r in document_units(df).collect()}
+    assert got == want
