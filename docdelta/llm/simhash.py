@@ -39,14 +39,14 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. A null or empty text has fingerprint 0."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long. A null or empty text has fingerprint 0."""
 
-    def run(ids: list, texts: list) -> Iterator[tuple]:
-        for doc_id, text in zip(ids, texts, strict=True):
+    def run(ids: list, hashes: list, texts: list) -> Iterator[tuple]:
+        for doc_id, text_hash, text in zip(ids, hashes, texts, strict=True):
             fp = fingerprint(text, size)
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, text_hash, fp - (1 << 64) if fp >> 63 else fp
 
-    return arrow_map(docs.select("doc_id", utf8()), run, "doc_id long, fp long")
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8()), run, "doc_id long, text_hash long, fp long")
 
 
 def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,21 @@ def near_links(fps: DataFrame, distance: int = 3, bucket: int = 2048) -> DataFra
     return found
 
 
+def grouped(own: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """Per fingerprint of ``own`` (doc_id, text_hash, fp): n rows, component_id, and the component's first row.
+
+    Rows come in the order of doc_id, nulls last, and text_hash. ``first`` is the fingerprint's own first row,
+    ``keeper`` that of its component.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = stored(own.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")), "distinct")
+    label = components(near_links(distinct.select("fp"), distance, bucket).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tied = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
+    least = tied.groupBy("root").agg(F.min("first").alias("keeper"))
+    joined = tied.join(least, "root").select("fp", "keeper")
+    return distinct.join(joined, "fp", "left").withColumn("keeper", F.coalesce("keeper", "first")).withColumn("component_id", F.col("keeper.doc_id"))
+
+
 def simhash_groups(docs: DataFrame, distance: int = 3, size: int = 3, bucket: int = 2048) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -206,11 +221,26 @@ def simhash_groups(docs: DataFrame, distance: int = 3, size: int = 3, bucket: in
     null component_id. Repeated rows give repeated results.
     """
     own = stored(fingerprints(docs, size), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    label = components(near_links(distinct.select("fp"), distance, bucket).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    tied = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
-    least = tied.groupBy("root").agg(F.min("first_id").alias("root_id"))
-    joined = tied.join(least, "root").select("fp", "root_id", F.lit(True).alias("tied"))
-    by_fp = distinct.join(joined, "fp", "left").select("fp", F.when(F.col("tied"), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
-    # As a table of its own, so that Spark can split a fingerprint that very many documents have.
-    return own.join(stored(by_fp, "by-fingerprint"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = stored(grouped(own, distance, bucket).select("fp", "n", "component_id"), "by-fingerprint")
+    # Fingerprints of more than a thousandth of all rows are fewer than a thousand, so they are broadcast;
+    # without them no key of the other join has more rows than that.
+    hot = F.col("n") * 1000 > own.count()
+    looked = own.select("doc_id", "fp").join(F.broadcast(by_fp.filter(hot).select("fp", "component_id", F.lit(True).alias("found"))), "fp", "left")
+    rest = looked.filter("found is null").select("doc_id", "fp").join(by_fp.filter(~hot).select("fp", "component_id"), "fp")
+    both = looked.filter("found").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 3, size: int = 3, bucket: int = 2048) -> DataFrame:
+    """One row of ``docs`` for each component of ``simhash_groups``, with all its columns.
+
+    It is the row with the smallest doc_id, then the smallest hash of its text; rows without an id come last,
+    so that one stays only where no row of the component has an id. Of rows with equal id and text one stays.
+    """
+    own = stored(fingerprints(docs, size), "fingerprints")
+    first = grouped(own, distance, bucket).filter("first = keeper")
+    keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")}
+    kept = first.select(F.col("keeper.no_id").alias("_no_id"), F.coalesce("keeper.doc_id", F.lit(0)).alias("_id"), F.col("keeper.text_hash").alias("_hash"))
+    # The join leaves its rows by these keys, so that texts move once.
+    rows = docs.select("*", *(c.alias(k) for k, c in keys.items())).join(stored(kept, "first"), list(keys), "left_semi")
+    return rows.dropDuplicates(list(keys)).select(*docs.columns)
