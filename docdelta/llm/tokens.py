@@ -5,11 +5,11 @@ from __future__ import annotations
 import base64
 import functools
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: A blank before other white space or at the end belongs to a longer run of white space.
-UNCUTTABLE = re.compile(r" (?:\s|\Z)")
+LONG_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 @functools.cache
@@ -23,33 +23,38 @@ def encoder(name: str = "byte_bpe_50k"):
     return tiktoken.Encoding(name, pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class PieceCache:
-    """Encodes texts piece by piece and remembers the pieces.
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 16-bit numbers (all vocabularies here are below 2**16)."""
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class PieceCache(dict):
+    """Encodes texts piece by piece and remembers the pieces: a part behind a blank -> its ids.
 
     The pattern always starts a new pre-token at a blank that stands between two other characters of which
     the second is no white space, so a text can be cut there and the parts encoded one by one.
     """
 
     def __init__(self, name: str, most: int = 400_000):
+        super().__init__()
         self.encode = encoder(name).encode_ordinary
         self.most = most
-        self.ids: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = packed_ids(self.encode(" " + part))
+        return ids
 
     def pieces(self, text: str) -> list[bytes]:
-        """Parts of the id sequence, as little-endian unsigned 16-bit ids (all vocabularies here are below 2**16)."""
-        known = self.ids
-        if len(known) > self.most:
-            known.clear()
+        """Parts of the id sequence, as ``packed_ids``."""
+        if len(self) > self.most:
+            self.clear()
+        if LONG_SPACE.search(text):
+            return [packed_ids(self.encode(text))]
         first, *rest = text.split(" ")
-        if not all(rest) or any(p[0] in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" or (p[0] >= " " and p[0].isspace()) for p in rest if not p[0].isalnum()):
-            return [np.array(self.encode(text), "<u2").tobytes()]
-        out = [np.array(self.encode(first), "<u2").tobytes()]
-        for part in rest:
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = np.array(self.encode(" " + part), "<u2").tobytes()
-            out.append(ids)
-        return out
+        return [packed_ids(self.encode(first)), *map(self.__getitem__, rest)]
 
     def packed(self, text: str) -> bytes:
         return b"".join(self.pieces(text))
