@@ -131,13 +131,15 @@ class QuadraticDiscriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
-def fitted(features: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
-    """Learn from every labelled row that is not held out. Labels other than 0 and 1 and null ids are left out;
-    several labels of a document count as their mean, ties as 1."""
-    learnt = (
-        labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    )
+def learnt_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of every labelled row that is not held out. Labels other than 0 and 1 and null ids are left
+    out; several labels of a document count as their mean, ties as 1."""
+    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+
+
+def fitted(features: DataFrame, learnt: DataFrame) -> QuadraticDiscriminant:
+    """Learn from every row of ``features`` (doc_id, x) that has a label in ``learnt``."""
     return QuadraticDiscriminant(class_moments(features.join(learnt, "doc_id").select("label", "x")))
 
 
@@ -148,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     alike. Without labels every score is 0.5. Other columns of either table are not read.
     """
     features = stored(featured(docs), "features")
-    model = fitted(features, labels)
+    model = fitted(features, learnt_labels(labels))
 
     def run(ids: list, xs: list) -> Iterator[tuple]:
         if ids:
@@ -158,10 +160,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    scratch = stored(featured(docs), "features")
-    model = fitted(scratch, labels)
+def keep_quality(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns and in any order.
+
+    Nulls, empty texts and repeated rows are scored as by ``quality_scores``; an empty table gives none. Only
+    labelled documents are read for learning; their ids are broadcast if they are ``broadcast_rows`` at most.
+    """
+    learnt = stored(learnt_labels(labels), "learnt")
+    wanted = learnt.select("doc_id")
+    if learnt.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    model = fitted(stored(featured(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "features"), learnt)
 
     def run(batches):
         import pyarrow as pa
