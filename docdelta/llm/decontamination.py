@@ -25,7 +25,7 @@ from .license_scan import words_of
 PASSAGE, STRIDE, ANSWER = 32, 16, 6
 #: Words in a row that make a place a candidate; share of each passage's squared length that its space keeps at least.
 GRAM, KEPT = 3, 0.5
-HITS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long"
+HITS = "doc_id long, text_hash long, item_key long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long"
 
 
 def windows(n: int, size: int = PASSAGE, stride: int = STRIDE) -> Iterator[tuple[int, int]]:
@@ -80,13 +80,13 @@ def corpus_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[n
 def passages_of(items: DataFrame) -> DataFrame:
     """The benchmark's passages, each with the words that its item has in all and the last ones of them."""
 
-    def run(ids: list, texts: list) -> Iterator[tuple]:
-        for item_id, text in zip(ids, texts, strict=True):
+    def run(keys: list, ids: list, texts: list) -> Iterator[tuple]:
+        for key, item_id, text in zip(keys, ids, texts, strict=True):
             words = [w.decode() for w in words_of(text)]
             for a, b in windows(len(words)):
-                yield item_id, a, words[a:b], len(words), words[-ANSWER:]
+                yield key, item_id, a, words[a:b], len(words), words[-ANSWER:]
 
-    return arrow_map(items.select("item_id", utf8()), run, "item_id long, start int, words array<string>, n_words long, answer array<string>")
+    return arrow_map(items.select("item_key", "item_id", utf8()), run, "item_key long, item_id long, start int, words array<string>, n_words long, answer array<string>")
 
 
 def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
@@ -149,7 +149,7 @@ class Index:
     vocabulary: dict[bytes, int]
     idf: np.ndarray
     unknown: float
-    owner: list[int]
+    owner: list[tuple[int, int | None]]
     passages: list[list[int]]
     n_words: list[int]
     answers: list[list[bytes]]
@@ -253,14 +253,17 @@ def spaces_of(passages: DataFrame, rows: list, numbers: list[list[int]], idf: np
 
 
 def indexes(docs: DataFrame, items: DataFrame, rank: int, block: int) -> Iterator[Index]:
-    """The benchmark, in blocks of whole items with about ``block`` passages each; one is built at a time."""
-    texts = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item_id", "text"]).filter("item_id is not null")
+    """The benchmark in blocks of about ``block`` passages, whatever items they are of; one is built at a time.
+
+    So a block has at most about ``block`` x PASSAGE words, and vectors of ``rank`` numbers for each.
+    """
+    texts = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item_key", F.xxhash64(F.coalesce("item_id", F.lit(-1)), F.col("item_id").isNull(), "text"))
     size = F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("words"))))).cast("int")
     everything = stored(passages_of(texts).withColumn("size", size).withColumn("hash", F.xxhash64("start", "words")), "passages")
     n_blocks = max(1, math.ceil(everything.count() / block))
     for number in range(n_blocks):
-        passages = everything.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number)
-        rows = sorted(passages.collect(), key=lambda r: (r.item_id, r.start, r.words))  # a block is of bounded size
+        passages = everything.filter(F.pmod(F.xxhash64("item_key", "start"), F.lit(n_blocks)) == number)
+        rows = sorted(passages.collect(), key=lambda r: (r.item_key, r.start))  # a block is of bounded size
         if not rows:
             continue
         vocabulary = {w: k for k, w in enumerate(sorted({w.encode() for r in rows for w in r.words}))}
@@ -277,28 +280,22 @@ def indexes(docs: DataFrame, items: DataFrame, rank: int, block: int) -> Iterato
                 grams.append(Grams(length, np.concatenate(keys)[order], at[order, 0], at[order, 1]))
         spaces = list(spaces_of(passages, rows, numbers, idf, rank))
         # A word that the benchmark lacks weighs as much as a usual one of its own, in a corpus of any size.
-        yield Index(vocabulary, idf, float(np.median(idf)), [r.item_id for r in rows], numbers, [r.n_words for r in rows], [[w.encode() for w in r.answer] for r in rows], spaces, grams)
+        yield Index(vocabulary, idf, float(np.median(idf)), [(r.item_key, r.item_id) for r in rows], numbers, [r.n_words for r in rows], [[w.encode() for w in r.answer] for r in rows], spaces, grams)
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int = 256, least: float = 0.6, with_answer: float = 0.45, block: int = 4_000) -> DataFrame:
-    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word.
-
-    ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). Candidates are windows near
-    a passage in the latent space and places that share ``GRAM`` words in a row with one. A candidate is a
-    hit if the longest common subsequence with the passage is at least ``least`` of it, or at least
-    ``with_answer`` of it while the item's last words, its answer, stand near the window in full. Null and
-    empty texts hold nothing; items without words are in no document. A null doc_id is kept; repeated rows
-    give repeated results. Passages with fewer than four words must stand in full, word after word.
-    """
+def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int = 256, least: float = 0.6, with_answer: float = 0.45, block: int = 4_000) -> DataFrame:
+    """``benchmark_hits`` with the hash of the document's text and a key of the item's id and text."""
     parts: list[DataFrame] = []
     for index in indexes(docs, items, rank, block):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(ids: list, texts: list, index: Index = index) -> Iterator[tuple]:
+        def run(ids: list, hashes: list, texts: list, shared=shared) -> Iterator[tuple]:
+            index = shared.value
             get = index.vocabulary.get
-            for doc_id, text in zip(ids, texts, strict=True):
+            for doc_id, text_hash, text in zip(ids, hashes, texts, strict=True):
                 words = words_of(text)
                 numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                best: dict[int, tuple] = {}
+                best: dict[tuple, tuple] = {}
 
                 def verify(start: int, end: int, p: int, near: float | None) -> None:
                     passage, item = index.passages[p], index.owner[p]
@@ -319,15 +316,34 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank:
                     verify(start, end, p, near)
                 for start, p in index.shared(numbers):
                     verify(start, start + len(index.passages[p]), p, None)
-                for item, (share, near, found, low, high) in sorted(best.items()):
-                    yield doc_id, item, max(0.0, min(1.0, near)), share, found, low, high - 1
+                for item, (share, near, found, low, high) in best.items():
+                    yield doc_id, text_hash, *item, max(0.0, min(1.0, near)), share, found, low, high - 1
 
         parts[-1:] = [stored(x, "hits") for x in parts[-1:]]  # done before the next block is built
-        parts.append(arrow_map(docs.select("doc_id", utf8()), run, HITS))
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], HITS)
+        parts.append(arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8()), run, HITS))
+    found = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], HITS)
+    # Passages of an item may lie in several blocks.
+    best = F.max(F.struct("lcs", "cosine", "answer_found", "first_word", "last_word")).alias("best")
+    return found.groupBy("doc_id", "text_hash", "item_key", "item_id").agg(best).select("doc_id", "text_hash", "item_key", "item_id", "best.*")
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word.
+
+    ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). Candidates are windows near
+    a passage in the latent space (``cosine``, ``rank``) and places that share ``GRAM`` words in a row with one. A
+    candidate is a hit if the longest common subsequence with the passage is at least ``least`` of it, or at least
+    ``with_answer`` of it while the item's last words, its answer, stand near the window in full. Null and
+    empty texts hold nothing; items without words are in no document. Null doc_ids and item_ids are kept: a row
+    is known by its id and text, an item by its id and text too, so that an id with two texts is two items.
+    Repeated rows count once. Passages with fewer than four words must stand in full, word after word.
+    """
+    return found_rows(docs, items, **options).select("doc_id", "item_id", "cosine", "lcs", "answer_found", "first_word", "last_word")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns. A null doc_id with a hit takes all null ones with it."""
-    hits = stored(benchmark_hits(docs, items, **options).select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits.hit_id), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Rows go by their own text: others with
+    the same id, or without one, stay."""
+    rows = found_rows(docs.select("doc_id", "text"), items, **options)
+    hits = stored(rows.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct(), "hits")
+    return docs.join(hits, docs.doc_id.eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs.text) == F.col("_hit_hash")), "left_anti")
