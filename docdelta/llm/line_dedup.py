@@ -28,7 +28,7 @@ def _place(df_prefix: str = "") -> Column:
     return F.struct(*(F.col(df_prefix + c).alias(c) for c in ("doc_id", "text_hash", "line_no")))
 
 
-def document_lines(docs: DataFrame, least_chars: int, short_copies: bool = False) -> DataFrame:
+def document_lines(docs: DataFrame, least_chars: int, short_copies: bool = True) -> DataFrame:
     """(doc_id, text_hash, line_no, line, chars, h1, h2) for the lines of ``least_chars`` or more characters; with ``short_copies`` also for shorter ones that are not blank."""
     own = F.col("chars") >= least_chars
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -211,7 +211,7 @@ def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000
     return distinct, reduce(DataFrame.unionByName, found).distinct()
 
 
-def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = True) -> DataFrame:
     """(doc_id, text_hash, removed): the numbers of the lines that go, for texts that lose any."""
     lines = document_lines(docs, least_chars, short_copies)
     distinct, near = near_lines(lines, bucket, broadcast_rows, least_chars)
@@ -225,12 +225,13 @@ def removed_lines(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broa
     return stored(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
-def line_dedup(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadcast_rows: int = 200_000, short_copies: bool = True) -> DataFrame:
     """The rows of ``docs`` with all their columns, ``text`` without repeated lines, and ``removed``.
 
     A line of at least ``least_chars`` characters goes if it stands earlier too, by doc_id and line number, as
     it is or within one edit. ``removed`` holds the numbers of the lines that went (null: none). Shorter lines
-    stay; with ``short_copies`` those that are not blank go if they stand earlier as they are. Null texts stay null, empty ones empty. Null doc_ids come first. Repeated rows (same doc_id and text)
+    go if they stand earlier as they are, but for blank ones (one edit makes most short lines alike, so the
+    threshold is none for them); without ``short_copies`` they all stay. Null texts stay null, empty ones empty. Null doc_ids come first. Repeated rows (same doc_id and text)
     count as one text and come out alike. A column named ``removed`` is replaced.
     """
     gone = removed_lines(docs, least_chars, bucket, broadcast_rows, short_copies)

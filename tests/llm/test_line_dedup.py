@@ -57,9 +57,9 @@ def test_like_all_pairs(spark, bucket):
     for i in range(40):
         lines = [rng.choice(bases) for _ in range(rng.randint(1, 3))]
         rows.append((i, "\n".join(changed(rng, x) if rng.random() < 0.7 else x for x in lines)))
-    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=8, bucket=bucket).collect()
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=8, bucket=bucket, short_copies=False).collect()
     assert {(r.doc_id, r.text) for r in got} == plain(rows, 8)
-    wide = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=8, bucket=bucket, broadcast_rows=0).collect()
+    wide = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=8, bucket=bucket, broadcast_rows=0, short_copies=False).collect()
     assert sorted(wide) == sorted(got)
 
 
@@ -67,7 +67,7 @@ def test_edges(spark):
     long = "x" * 40
     rows = [(None, long), (3, None), (4, ""), (5, f"{long}\nkeep\n{long[1:]}"), (5, f"{long}\nkeep\n{long[1:]}"), (6, "short\nshort")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit(1)).withColumn("key", F.lit("k")).withColumn("removed", F.lit(0)).withColumn("place", F.lit(2))
-    got = L.line_dedup(docs)
+    got = L.line_dedup(docs, short_copies=False)
     assert got.columns == ["doc_id", "text", "h1", "key", "place", "removed"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, long), (3, None), (4, ""), (5, "keep"), (5, "keep"), (6, "short\nshort")], key=str)
     assert L.line_dedup(docs.limit(0)).count() == 0
