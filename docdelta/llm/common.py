@@ -35,7 +35,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``stored`` table that no later step reads."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, flush: int = 8192) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v, long): root is the smallest node of its component.
 
     Each round keeps an edge table no larger than the one before and is written to the shared folder.
-    Loops and repeated links are harmless; rows with a null end are left out. An empty table gives none.
+    Loops and repeated links are harmless; rows with a null end are left out. An empty table gives none. Rounds
+    grow with the logarithm of the longest chain; if ``most`` do not settle it, that is an error.
     """
     edges = stored(
         links.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
@@ -30,7 +31,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u")
         small = down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "links")
+        last, edges = edges, stored(small.distinct(), "links")
+        discard(last)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
