@@ -81,22 +81,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_links": """
 WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-lv(conv_id, turn, level) AS (
-  SELECT u.conv_id, u.turn, 0 FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = (u.turn // 4) * 2 AND u.turn > 0 WHERE p.turn IS NULL
-  UNION ALL
-  SELECT u.conv_id, u.turn, lv.level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND (u.turn // 4) * 2 = lv.turn AND u.turn > 0
+dep AS (
+  SELECT u.conv_id, u.turn, p.turn AS needed FROM u JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2 AND u.turn > 0
+  UNION SELECT u.conv_id, u.turn, p.turn FROM u JOIN u p ON p.conv_id = u.conv_id AND p.turn = (u.turn // 4) * 2 AND u.turn > 0 AND u.turn % 6 = 0
 ),
+path(conv_id, turn, steps) AS (
+  SELECT conv_id, turn, 0 FROM u
+  UNION SELECT dep.conv_id, dep.turn, steps + 1 FROM path JOIN dep ON dep.conv_id = path.conv_id AND dep.needed = path.turn
+),
+lv AS (SELECT conv_id, turn, max(steps)::BIGINT AS level FROM path GROUP BY ALL),
 j AS (
-  SELECT u.conv_id, 'call_' || u.conv_id || '_' || u.turn AS call_id, u.turn, u.text, a.turn AS result_turn, a.text AS result, lv.level
+  SELECT u.conv_id, 'call_' || u.conv_id || '_' || u.turn AS call_id, u.turn, u.text, a.turn AS result_turn, a.text AS result, lv.level,
+    CASE WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    CASE WHEN u.turn % 7 = 0 THEN '{"chars":"' || length(u.text) || '","text":' || to_json(u.text)::VARCHAR || ',"turn":' || u.turn || '}'
+      WHEN u.turn % 5 = 0 THEN '{"chars":' || length(u.text) || ',"more":1,"text":' || to_json(u.text)::VARCHAR || '}'
+      ELSE '{"chars":' || length(u.text) || ',"text":' || to_json(u.text)::VARCHAR || ',"turn":' || u.turn || '}' END AS arguments
   FROM u JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn
   LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn - 1 = u.turn
 )
-SELECT conv_id, call_id, turn, 'reply' AS name, CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results,
-  CASE WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, '' AS errors, level,
+SELECT conv_id, call_id, turn, 'reply' AS name, CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, status,
+  CASE WHEN turn % 7 = 0 THEN 'type:chars' WHEN turn % 5 = 0 THEN 'missing:turn,unknown:more' ELSE '' END AS errors, level,
   row_number() OVER (PARTITION BY conv_id ORDER BY level, turn // 1024, turn, call_id) AS place,
-  '{"arguments":{"chars":' || length(text) || ',"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"call_id":"' || call_id || '","conv_id":' || conv_id
-  || ',"level":' || level || ',"name":"reply","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"'
-  || CASE WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END || '"}' AS message
+  '{"arguments":' || arguments || ',"call_id":"' || call_id || '","conv_id":' || conv_id
+  || ',"level":' || level || ',"name":"reply","result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' || status || '"}' AS message
 FROM j
 """,
     "op9_quality_rules": r"""

@@ -254,6 +254,48 @@ def test_chat_links(spark):
     assert chat_links.link_calls(calls.limit(0), results, schemas).count() == 0
 
 
+def chained_calls(spark, depends, arguments="{}"):
+    rows = [(c, k, str(c), k, "f", arguments, needs) for k, (c, needs) in enumerate(depends.items())]
+    calls = spark.createDataFrame([(1, r[2], r[3], r[4], r[5], r[6]) for r in rows], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    return calls.withColumn("level", F.lit(7)).withColumn("m", F.lit("x"))
+
+
+def test_levels_like_the_longest_path(spark):
+    """Chains, several dependencies, cycles and what stands behind them."""
+    rng = random.Random(3)
+    depends = {str(k): [str(k - 1)] if k else None for k in range(40)}
+    for k in range(100, 160):
+        depends[str(k)] = [str(x) for x in rng.sample(range(100, k), min(k - 100, rng.choice([0, 1, 1, 2, 3])))] + (["39"] if k % 9 == 0 else [])
+    depends |= {"x": ["y"], "y": ["z"], "z": ["x"], "behind": ["x"], "far": ["behind", "3"], "self": ["self"]}
+    level: dict = {}
+    while True:
+        more = {c: max((level[d] + 1 for d in needs or []), default=0) for c, needs in depends.items() if c not in level and all(d in level for d in needs or [])}
+        if not more:
+            break
+        level |= more
+    calls = chained_calls(spark, depends)
+    got = {r.call_id: r.level for r in chat_links.topological_levels(calls).collect()}
+    assert got == level
+    empty = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("f", None, None, None)], "name string, param string, type string, required boolean")
+    linked = chat_links.link_calls(calls, empty, schemas).collect()
+    turn = {c: k for k, c in enumerate(depends)}
+    want = sorted(depends, key=lambda c: (level.get(c, 10**9), turn[c]))
+    assert [r.call_id for r in sorted(linked, key=lambda r: r.place)] == want and {r.errors for r in linked} == {""}
+
+
+def test_canonical_arguments(spark):
+    forms = ['{"x": 100}', '{"x":1e2}', '{"x": 100.0}', '{"x":1.00E2}', '{"x":[1.50,"1.50",-0.0,0.25e1]}', '{"x":12345678901234567890}', '{"x":1e-12}', '{"x":1,"x":2}', '{"x":"a\\"1.0"}', '{"x":null}', "[1.0]", "no json", None]
+    calls = spark.createDataFrame([(1, str(k), k, "f", a, None) for k, a in enumerate(forms)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    empty = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("f", "x", "integer", True)], "name string, param string, type string, required boolean")
+    got = {int(r.call_id): (r.message[len('{"arguments":') : r.message.index(',"call_id"')], r.errors) for r in chat_links.link_calls(calls, empty, schemas).collect()}
+    assert {got[k] for k in range(4)} == {('{"x":100}', "")}
+    assert got[4] == ('{"x":[1.5,"1.50",0,2.5]}', "type:x") and got[5] == ('{"x":12345678901234567890}', "") and got[6] == ('{"x":1.0E-12}', "type:x")
+    assert got[7] == ('{"x":1,"x":2}', "repeated:x") and got[8] == ('{"x":"a\\"1.0"}', "type:x") and got[9] == ('{"x":null}', "type:x")
+    assert got[10] == ("[1]", "not_an_object") and got[11] == ("null", "not_an_object") == got[12]
+
+
 def test_secrets(spark, edges):
     rng = random.Random(2)
     digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
