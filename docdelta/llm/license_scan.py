@@ -22,22 +22,34 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Notices of well-known licences, in words. A label may have several.
+# Licence texts and notices, in words, and the words that tell a licence from its like.
+_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_ENDORSE = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GNU = "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1}general public license as published by the free software foundation either version {2} of the license or at your option any later version {0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {1}general public license for more details"
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ()),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ()),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ()),
+    ("bsd-2", f"{_BSD} {_AS_IS}", ()),
+    ("bsd-3", f"{_BSD} {_ENDORSE} {_AS_IS}", ("neither the name",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ()),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("license version 2",)),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ("license version 2",)),
+    *((f"{name}-{version.replace(' ', '.').removesuffix('.0')}", _GNU.format("this program" if name == "gpl" else "this library" if name == "lgpl" else "this program", kind, version), (f"either version {version}", f"gnu {kind}general"))
+      for name, kind, versions in (("gpl", "", ("2", "3")), ("lgpl", "lesser ", ("2 1", "3")), ("agpl", "affero ", ("3",))) for version in versions),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("license v 2",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ()),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ()),
+    ("mit", "released under the mit license", ("mit",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("version 2",)),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("by nc",)),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("noncommercial",)),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("attribution 4",)),
+    *((f"{name}-{version}", f"licensed under the gnu {kind}general public license version {version}", (f"version {version}", f"gnu {kind}general"))
+      for name, kind, versions in (("gpl", "", "23"), ("lgpl", "lesser ", "23"), ("agpl", "affero ", "3")) for version in versions),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("v 2",)),
+    *((label, f"spdx license identifier {words}", (f"identifier {words}",)) for label, words in (("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("isc", "isc"), ("mpl-2", "mpl 2 0"))),
 ]
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -142,8 +154,8 @@ def chain_ends(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int,
     return best
 
 
-def chained(matches: list[tuple[int, int, int]], gap: int, least: float) -> tuple[int, list[tuple[int, int]]]:
-    """Most words that a chain covers, and (first word, last word) of chains that cover ``least`` or more.
+def chained(matches: list[tuple[int, int, int]], gap: int, least: float) -> tuple[int, list[tuple[int, int, int]]]:
+    """Most words that a chain covers, and (words covered, first word, last word) of chains that cover ``least`` or more.
 
     These do not overlap: the best goes first, of equal ones the earliest. What it leaves is chained anew on each side of it.
     """
@@ -154,41 +166,63 @@ def chained(matches: list[tuple[int, int, int]], gap: int, least: float) -> tupl
         best = chain_ends(part, gap)
         most = max(most, max((covered for covered, _, _ in best), default=0))
         taken: list[tuple[int, int]] = []
-        for _, first, last in sorted((x for x in best if x[0] >= least), key=lambda x: (-x[0], x[1])):
+        for covered, first, last in sorted((x for x in best if x[0] >= least), key=lambda x: (-x[0], x[1])):
             at = bisect(taken, (first, last))
             if (not at or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
                 taken.insert(at, (first, last))
+                spans.append((covered, first, last))
         if taken:
-            spans += taken
             left: dict[int, list] = {}
             for t, p, n in part:
                 at = bisect(taken, (t + n - 1, math.inf))
                 if not at or taken[at - 1][1] < t:
                     left.setdefault(at, []).append((t, p, n))
             parts += left.values()
-    return most, sorted(spans)
+    return most, sorted(spans, key=lambda x: x[1:])
+
+
+def best_notices(spans: list[tuple[int, int, int, float, int]]) -> list[tuple[int, int, int, float, int]]:
+    """Of spans (words covered, first word, last word, share covered, notice) that overlap, the one that covers most
+    words stays, then that of the greatest share, then the earliest of the first notice."""
+    taken: list[tuple[int, int, int, float, int]] = []
+    starts: list[tuple[int, int]] = []
+    for span in sorted(spans, key=lambda x: (-x[0], -x[3], x[1], x[4])):
+        _, first, last, _, _ = span
+        at = bisect(starts, (first, last))
+        if (not at or starts[at - 1][1] < first) and (at == len(starts) or last < starts[at][0]):
+            starts.insert(at, (first, last))
+            taken.append(span)
+    return taken
+
+
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    """Whether the words of a phrase stand consecutively."""
+    return any(words[k : k + len(phrase)] == phrase for k, word in enumerate(words) if word == phrase[0])
 
 
 def license_scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
-    notices: list[tuple[str, str]] = NOTICES,
+    notices: list[tuple[str, str, tuple[str, ...]]] = NOTICES,
     least: int = 4,
     gap: int = 12,
     coverage: float = 0.7,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text); other columns are left out.
 
-    Phrases count at every place where they stand. A notice gives its label when chained matches of
-    ``least`` or more words, at most ``gap`` words apart, cover ``coverage`` of it. ``score`` is the best
-    share covered, 1 where a phrase stands. Every such chain that overlaps none of its notice gives a span, so a
-    notice that stands often has many. Spans are (label, first word, last word) as ``label:first-last``,
-    joined by semicolons. A null or empty text has no words, labels or spans and the score 0; a null doc_id
-    is kept; repeated rows give repeated results.
+    Phrases count at every place where they stand. A notice (label, words, needed phrases) is found where chained
+    matches of ``least`` or more words, at most ``gap`` words apart, cover ``coverage`` of it and all its needed
+    phrases stand in the span or the three words behind it. Of notices found at overlapping places the best one
+    counts (``best_notices``) and gives its label and a span, so a notice that stands often has many. ``score`` is
+    the best share covered of any notice, 1 where a phrase stands. Spans are (label, first word, last word) as
+    ``label:first-last``, joined by semicolons. A null or empty text has no words, labels or spans and the score
+    0; a null doc_id is kept; repeated rows give repeated results.
     """
-    for text in (*phrases, *(n for _, n in notices)):
+    for text in (*phrases, *(n[1] for n in notices)):
         if not text.split():
             raise ValueError("a phrase or notice has no words")
+    needed = [[x.encode().split() for x in n[2]] for n in notices]
+    notices = [n[:2] for n in notices]
     order = [*phrases.items(), *((text, label) for label, text in notices)]
     sequences = [text.encode().split() for text, _ in order]
     n_phrases = len(phrases)
@@ -212,11 +246,16 @@ def license_scan(
                 for n, p in machine.ends[state]:
                     if n >= n_phrases:
                         by_notice.setdefault(n, []).append((i + 1 - length, p + 1 - length, length))
-            found, score = [], 1.0 if places else 0.0
+            chains, score = [], 1.0 if places else 0.0
             for n, matches in by_notice.items():
-                most, spans = chained(matches, gap, coverage * len(sequences[n]) - 1e-9)
-                score = max(score, min(1.0, most / len(sequences[n])))
-                found += [(order[n][1], first, last) for first, last in spans]
+                size = len(sequences[n])
+                most, spans = chained(matches, gap, coverage * size - 1e-9)
+                score = max(score, min(1.0, most / size))
+                for covered, first, last in spans:
+                    near = words[first : last + 4]
+                    if all(holds(near, phrase) for phrase in needed[n - n_phrases]):
+                        chains.append((covered, first, last, covered / size, n))
+            found = [(order[n][1], first, last) for _, first, last, _, n in best_notices(chains)]
             base = sorted({order[n][1] for _, n in places})
             labels = sorted({*base, *(label for label, _, _ in found)})
             starts = [p for p, _ in places]
