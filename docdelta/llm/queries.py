@@ -61,7 +61,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_findings(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_findings(table(spark, sf_dir, "documents"), path="source")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
