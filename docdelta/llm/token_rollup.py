@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored
+from .common import arrow_map, discard, stored
 from .tokens import piece_cache
 
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -19,12 +20,14 @@ class TokenRollup:
 
     A batch of changes (doc_id, source, lang, text, op) becomes signed rows: an insert or update adds the new
     counts and takes back what earlier batches added for that document, a delete only takes back. The rows of
-    a batch lie in a folder named after its id, and its totals, written last, commit it: a batch that is
-    committed again changes nothing, and one that broke off is written anew. One writer at a time.
+    a batch lie in a folder named after its id, in ``buckets`` parts by a hash of doc_id, and its totals, written
+    last, commit it: a batch that is committed again changes nothing, and one that broke off is written anew. A
+    batch reads earlier rows only of the parts that its documents are in. One writer at a time, and ``buckets``
+    stays as it was at the first batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, versions: tuple[str, ...] = VERSIONS):
-        self.spark, self.path, self.versions = spark, path.rstrip("/"), versions
+    def __init__(self, spark: SparkSession, path: str, versions: tuple[str, ...] = VERSIONS, buckets: int = 64):
+        self.spark, self.path, self.versions, self.buckets = spark, path.rstrip("/"), versions, buckets
 
     def committed(self) -> list[str]:
         """Ids of the committed batches."""
@@ -34,14 +37,19 @@ class TokenRollup:
         if not fs.exists(root):
             return []
         done = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
-        return sorted(p.getName().removeprefix("batch=") for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(unquote(p.getName().removeprefix("batch=")) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def _read(self, kind: str, batches: list[str], schema: str) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/batch={b}" for b in batches))
+        folders = [self._folder(kind, b) for b in batches]
+        names = [part.split()[0] for part in schema.split(", ")]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*folders).select(*names)
 
-    ROWS = "doc_id long, source string, lang string, version string, documents long, tokens long"
+    def _folder(self, kind: str, batch: str) -> str:
+        return f"{self.path}/{kind}/batch={quote(batch, safe='')}"
+
+    ROWS = "doc_id long, source string, lang string, version string, documents long, tokens long, bucket int"
     TOTALS = "source string, lang string, version string, documents long, tokens long"
 
     def counted(self, changes: DataFrame) -> DataFrame:
@@ -69,19 +77,22 @@ class TokenRollup:
         before = self.committed()
         if batch in before:
             return False
-        now = self.counted(changes)
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        now = stored(self.counted(changes), "counted")  # used twice; texts are cut into tokens once
         added = now.filter("op <> 'delete'").select("doc_id", "source", "lang", F.posexplode("n").alias("at", "tokens")).select(
             "doc_id", "source", "lang", F.element_at(F.array(*map(F.lit, self.versions)), F.col("at") + 1).alias("version"), F.lit(1).cast("long").alias("documents"), "tokens"
         )
         rows = added
         if before:
-            named = now.select("doc_id")
-            held = self._read("rows", before, self.ROWS).join(named, "doc_id", "left_semi")
+            named = [r.bucket for r in now.select(bucket).distinct().collect()]  # ``buckets`` numbers at most
+            held = self._read("rows", before, self.ROWS).filter(F.col("bucket").isin(named)).join(now.select("doc_id"), "doc_id", "left_semi")
             rows = added.unionByName(held.select("doc_id", *KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
         rows = rows.groupBy("doc_id", *KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents <> 0 or tokens <> 0")
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/rows/batch={batch}")
+        by_bucket = rows.select("*", bucket).repartition("bucket")
+        by_bucket.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(self._folder("rows", batch))
         delta = self._read("rows", [batch], self.ROWS).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        delta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
+        delta.coalesce(1).write.mode("overwrite").parquet(self._folder("totals", batch))
+        discard(now)
         return True
 
     def totals(self) -> DataFrame:

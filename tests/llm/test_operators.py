@@ -222,7 +222,7 @@ def test_rollup(spark, tmp_path, sample, edges):
     docs = sample.select("doc_id", "source", "lang", "text")
     assert rollup.commit("a", docs.withColumn("op", F.lit("insert"))) and not rollup.commit("a", docs.withColumn("op", F.lit("insert")))
     assert rollup.commit("b", docs.filter("doc_id % 3 = 0").withColumn("text", F.lit("new text")).withColumn("lang", F.lit(None).cast("string")).withColumn("op", F.lit("update")))
-    assert rollup.commit("c", docs.filter("doc_id % 5 = 0").withColumn("op", F.lit("delete"))) and rollup.commit("d", docs.limit(0).withColumn("op", F.lit("insert")))
+    assert rollup.commit("c/2=x%", docs.filter("doc_id % 5 = 0").withColumn("op", F.lit("delete"))) and rollup.committed() == ["a", "b", "c/2=x%"] and rollup.commit("d", docs.limit(0).withColumn("op", F.lit("insert")))
     assert not rollup.commit("b", docs.withColumn("op", F.lit("delete")))
     want: dict = {}
     for v in token_rollup.VERSIONS:
