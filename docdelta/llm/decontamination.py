@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -158,34 +159,35 @@ class Index:
 
     def near(self, ids: np.ndarray, cosine: float, rows: int = 512) -> Iterator[tuple[int, int, int, float]]:
         """(window start, end, passage, cosine) of a document given as word numbers, -1 for other words."""
-        for size in sorted({s.size for s in self.spaces}):
-            spans = np.array(list(windows(len(ids), size, size // 2)), np.int64).reshape(-1, 2)
-            for at in range(0, len(spans), rows):
-                part = spans[at : at + rows]
-                width = int(part[0, 1] - part[0, 0])
-                words = np.sort(ids[part[:, :1] + np.arange(width)], axis=1)
-                first = np.flatnonzero(np.c_[np.ones(len(part), bool), words[:, 1:] != words[:, :-1]])
-                terms, window, tf = words.ravel()[first], first // width, np.diff(np.r_[first, words.size])
-                known = terms >= 0
-                other = np.bincount(window[~known], tf[~known], len(part))
-                terms, window = terms[known], window[known]
-                value = tf[known] * self.idf[terms]
-                norm = np.sqrt(np.bincount(window, value**2, len(part)) + other * self.unknown**2)
+        for size in sorted({s.size for s in self.spaces}) if len(ids) else ():
+            width, last = min(size, len(ids)), max(0, len(ids) - size)
+            starts = np.append(np.arange(0, last, size // 2), last)
+            for at in range(0, len(starts), rows):
+                part = starts[at : at + rows]
+                # How often each window holds each word. A window's vector is the sum of its words' vectors.
+                terms, column = np.unique(ids[part[0] : part[-1] + width], return_inverse=True)
+                cells = column[(part - part[0])[:, None] + np.arange(width)] + np.arange(len(part))[:, None] * len(terms)
+                tf = np.bincount(cells.ravel(), minlength=len(part) * len(terms)).reshape(len(part), -1).astype(np.float32)
+                other = tf[:, terms < 0].sum(axis=1)
+                tf, terms = tf[:, terms >= 0], terms[terms >= 0]
+                weight = self.idf[terms].astype(np.float32)
+                squares = (tf * weight) ** 2
+                norm = np.sqrt(squares.sum(axis=1) + other * np.float32(self.unknown) ** 2)
                 for space in self.spaces:
                     if space.size != size:
                         continue
                     row = space.local[terms]
+                    use = row >= 0
                     # A cosine cannot exceed the share of a window's length that words of the space make up.
-                    own = np.bincount(window, value**2 * (row >= 0), len(part))
-                    use = (row >= 0) & ((own > 0) & (own >= (cosine * norm) ** 2 * (1 - 1e-9)))[window]
-                    if not use.any():
+                    own = squares @ use.astype(np.float32)
+                    mine = np.flatnonzero((own > 0) & (own >= (cosine * norm) ** 2 * (1 - 1e-4)))
+                    if not len(mine):
                         continue
-                    mine, starts = np.unique(window[use], return_index=True)
-                    query = np.add.reduceat(value[use].astype(np.float32)[:, None] * space.vectors[row[use]], starts)
-                    cosines = (query / norm[mine].astype(np.float32)[:, None]) @ space.latent.T
+                    query = (tf[mine][:, use] * weight[use]) @ space.vectors[row[use]]
+                    cosines = (query / norm[mine, None]) @ space.latent.T
                     i, j = np.nonzero(cosines >= cosine)
-                    for start, end, p, c in zip(*part[mine[i]].T.tolist(), space.passages[j].tolist(), cosines[i, j].tolist(), strict=True):
-                        yield start, end, p, c
+                    for start, p, c in zip(part[mine[i]].tolist(), space.passages[j].tolist(), cosines[i, j].tolist(), strict=True):
+                        yield start, start + width, p, c
 
     def shared(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, passage) where a run of a passage's words stands in the document as if the passage began at start."""
@@ -193,11 +195,12 @@ class Index:
             keys = gram_keys(ids, grams.size, len(self.vocabulary))
             low, high = np.searchsorted(grams.keys, keys), np.searchsorted(grams.keys, keys, side="right")
             at = np.flatnonzero(high > low)
+            if not len(at):
+                continue
             counts = (high - low)[at]
-            found = np.repeat(low[at] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            found = np.repeat(low[at] + counts - np.cumsum(counts), counts) + np.arange(counts.sum())
             starts = np.repeat(at, counts) - grams.places[found]
-            pairs = np.unique(np.c_[starts, grams.passages[found]], axis=0) if len(found) else np.empty((0, 2), np.int64)
-            yield from zip(*pairs.T.tolist(), strict=True)
+            yield from sorted(set(zip(starts.tolist(), grams.passages[found].tolist(), strict=True)))
 
     def cosine(self, ids: np.ndarray, passage: list[int]) -> float:
         """Exact cosine of a window with a passage."""
@@ -294,15 +297,19 @@ def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int
             get = index.vocabulary.get
             for doc_id, text_hash, text in zip(ids, hashes, texts, strict=True):
                 words = words_of(text)
-                numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 best: dict[tuple, tuple] = {}
 
                 def verify(start: int, end: int, p: int, near: float | None) -> None:
                     passage, item = index.passages[p], index.owner[p]
                     slack = min(STRIDE, (end - start + 1) // 2) if len(passage) >= 4 else 0
                     low, high = max(0, start - slack), min(len(words), end + slack)
-                    share = lcs_length(passage, numbers[low:high].tolist()) / len(passage)
-                    if share < (min(least, with_answer) if len(passage) >= 8 else least if len(passage) >= 4 else 1):
+                    asked = min(least, with_answer) if len(passage) >= 8 else least if len(passage) >= 4 else 1
+                    place = numbers[low:high].tolist()
+                    if sum(map(set(place).__contains__, passage)) < asked * len(passage):
+                        return  # a common subsequence has no more words than the two share
+                    share = lcs_length(passage, place) / len(passage)
+                    if share < asked:
                         return
                     answer, n = index.answers[p], index.n_words[p]
                     found = lcs_length(answer, words[max(0, start - n) : max(0, end + n)]) == len(answer)
