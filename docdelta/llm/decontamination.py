@@ -10,6 +10,7 @@ item's answer.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -56,16 +57,15 @@ def corpus_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[n
     """In how many documents each benchmark word stands, and how many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocabulary), np.int64)
-        n = 0
+        df: Counter = Counter()
         known = vocabulary.keys()
+        n = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                for word in known & set(words_of(text)):
-                    df[vocabulary[word]] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["term", "n"])
+                df.update(known & set(words_of(text)))
+        terms = [-1, *(vocabulary[word] for word in df)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array([n, *df.values()], pa.int64())], names=["term", "n"])
 
     rows = docs.select(utf8()).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary))
@@ -124,7 +124,11 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
 
 @dataclass
 class Space:
-    """Latent space of some passages of like length; ``local`` gives its row of each benchmark word, or -1."""
+    """Latent space of some passages of like length.
+
+    ``local`` gives the row of each benchmark word in ``vectors``, the weighted latent vectors of the words; for
+    other words -1, the last row, which is zero.
+    """
 
     size: int
     local: np.ndarray
@@ -168,37 +172,37 @@ class Index:
                 terms, column = np.unique(ids[part[0] : part[-1] + width], return_inverse=True)
                 cells = column[(part - part[0])[:, None] + np.arange(width)] + np.arange(len(part))[:, None] * len(terms)
                 tf = np.bincount(cells.ravel(), minlength=len(part) * len(terms)).reshape(len(part), -1).astype(np.float32)
-                other = tf[:, terms < 0].sum(axis=1)
-                tf, terms = tf[:, terms >= 0], terms[terms >= 0]
-                weight = self.idf[terms].astype(np.float32)
-                squares = (tf * weight) ** 2
-                norm = np.sqrt(squares.sum(axis=1) + other * np.float32(self.unknown) ** 2)
+                lacking = int(terms[0] < 0)  # the words that the benchmark lacks come first, as one
+                other, tf, terms = tf[:, :lacking].sum(axis=1), tf[:, lacking:], terms[lacking:]
+                weight = (self.idf[terms] ** 2).astype(np.float32)
+                squares = tf * tf
+                norm = np.sqrt(squares @ weight + other * np.float32(self.unknown) ** 2)
                 for space in self.spaces:
                     if space.size != size:
                         continue
                     row = space.local[terms]
-                    use = row >= 0
                     # A cosine cannot exceed the share of a window's length that words of the space make up.
-                    own = squares @ use.astype(np.float32)
+                    own = squares @ (weight * (row >= 0))
                     mine = np.flatnonzero((own > 0) & (own >= (cosine * norm) ** 2 * (1 - 1e-4)))
                     if not len(mine):
                         continue
-                    query = (tf[mine][:, use] * weight[use]) @ space.vectors[row[use]]
-                    cosines = (query / norm[mine, None]) @ space.latent.T
-                    i, j = np.nonzero(cosines >= cosine)
-                    for start, p, c in zip(part[mine[i]].tolist(), space.passages[j].tolist(), cosines[i, j].tolist(), strict=True):
+                    dots = tf[mine] @ space.vectors[row] @ space.latent.T
+                    i, j = np.nonzero(dots >= np.float32(cosine) * norm[mine, None])
+                    for start, p, c in zip(part[mine[i]].tolist(), space.passages[j].tolist(), (dots[i, j] / norm[mine[i]]).tolist(), strict=True):
                         yield start, start + width, p, c
 
     def shared(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(start, passage) where a run of a passage's words stands in the document as if the passage began at start."""
         for grams in self.grams:
             keys = gram_keys(ids, grams.size, len(self.vocabulary))
-            low, high = np.searchsorted(grams.keys, keys), np.searchsorted(grams.keys, keys, side="right")
-            at = np.flatnonzero(high > low)
+            at = np.flatnonzero(keys >= 0)
+            low = np.searchsorted(grams.keys, keys[at])
+            same = grams.keys[np.minimum(low, len(grams.keys) - 1)] == keys[at]
+            at, low = at[same], low[same]
             if not len(at):
                 continue
-            counts = (high - low)[at]
-            found = np.repeat(low[at] + counts - np.cumsum(counts), counts) + np.arange(counts.sum())
+            counts = np.searchsorted(grams.keys, keys[at], side="right") - low
+            found = np.repeat(low + counts - np.cumsum(counts), counts) + np.arange(counts.sum())
             starts = np.repeat(at, counts) - grams.places[found]
             yield from sorted(set(zip(starts.tolist(), grams.passages[found].tolist(), strict=True)))
 
@@ -217,11 +221,13 @@ def gram_keys(ids: np.ndarray, size: int, n: int) -> np.ndarray:
     """A key for each run of ``size`` word numbers; -1 where a word is not of the benchmark. Long keys wrap around."""
     if len(ids) < size:
         return np.empty(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(ids, size)
-    key = np.zeros(len(runs), np.int64)
+    key = np.zeros(len(ids) - size + 1, np.int64)
+    known = np.ones(len(key), bool)
     for k in range(size):
-        key = key * n + runs[:, k]
-    return np.where(runs.min(axis=1) < 0, -1, key & (2**63 - 1))
+        word = ids[k : k + len(key)]
+        key = key * n + word
+        known &= word >= 0
+    return np.where(known, key & (2**63 - 1), -1)
 
 
 def spaces_of(passages: DataFrame, rows: list, numbers: list[list[int]], idf: np.ndarray, rank: int) -> Iterator[Space]:
@@ -252,7 +258,8 @@ def spaces_of(passages: DataFrame, rows: list, numbers: list[list[int]], idf: np
                 if (lengths**2 >= KEPT * (table**2).sum(axis=1)).all():
                     break
             latent /= np.maximum(lengths, 1e-12)[:, None]
-            yield Space(size, local, vectors.astype(np.float32), latent.astype(np.float32), np.array(own))
+            weighted = np.vstack([vectors * idf[terms, None], np.zeros((1, vectors.shape[1]))])
+            yield Space(size, local, weighted.astype(np.float32), latent.astype(np.float32), np.array(own))
 
 
 def indexes(docs: DataFrame, items: DataFrame, rank: int, block: int) -> Iterator[Index]:
