@@ -67,27 +67,32 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
-    least_documents: int = 20,
-    share: float = 0.01,
+    most_documents: int = 20,
     least_words: int = 10,
     least_left: float = 0.2,
     repeat_share: int = 20,
 ) -> DataFrame:
     """Base measures and the verdict of the line frequency, one row per row of ``docs`` (doc_id, text, host).
 
-    A normalised line is over the limit of its host if more of the host's documents hold it than
-    ``least_documents`` and than ``share`` of them. Without such lines a document needs ``least_words`` words
-    and ``least_left`` of its own words. Hosts that are null count as one host, documents are rows. A null or
+    A normalised line is over the limit if more than ``most_documents`` documents of one host hold it, however
+    large the host is. Without such lines a document needs ``least_words`` words and ``least_left`` of its own
+    words. Hosts that are null count as one host, documents are rows. A null or
     empty text has no words and fails the base rule; a null doc_id is kept; repeated rows count as documents.
     """
     own = stored(measured(docs, host), "rules")
-    limits = own.groupBy("host").agg(F.greatest(F.lit(float(least_documents)), F.count("*") * F.lit(share)).alias("most"))
     lines = own.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > least_documents)
-    # Over its limit, a line is in a fixed share of a host's documents: a host has few such lines.
-    over = counted.join(limits, counted.host.eqNullSafe(limits.host)).filter("documents > most").select(counted.host.alias("over_host"), F.col("line").alias("over_line"))
+    over = stored(lines.groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > most_documents), "over")
+    # Lines with more than a thousandth of all rows are fewer than a thousand, so they are broadcast; without
+    # them no key of the other join has more rows than that.
+    total = own.agg(F.sum(F.size("lines"))).first()[0] or 0
+    hot = F.col("documents") * 1000 > total
+    limits = over.select(F.col("host").alias("over_host"), F.col("line").alias("over_line"), "documents")
+    same = lines.host.eqNullSafe(F.col("over_host")) & (F.col("line") == F.col("over_line"))
+    looked = lines.join(F.broadcast(limits.filter(hot).drop("documents")), same, "left")
+    rest = looked.filter("over_line is null").select("row", "host", "line", "words")
+    rest = rest.join(limits.filter(~hot), rest.host.eqNullSafe(F.col("over_host")) & (F.col("line") == F.col("over_line")))
     lost = (
-        lines.join(over, lines.host.eqNullSafe(F.col("over_host")) & (F.col("line") == F.col("over_line")))
+        looked.filter("over_line is not null").select("row", "words").unionByName(rest.select("row", "words"))
         .groupBy("row").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"))
     )
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))

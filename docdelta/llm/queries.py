@@ -122,8 +122,7 @@ n AS (
   SELECT r, source, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(ws)) AS words
   FROM l WHERE len(ws) > 0 GROUP BY ALL
 ),
-lim AS (SELECT source, greatest(20.0, count(*) * 0.01) AS most FROM d GROUP BY source),
-c AS (SELECT source, line FROM n GROUP BY source, line HAVING count(*) > (SELECT most FROM lim WHERE lim.source IS NOT DISTINCT FROM n.source)),
+c AS (SELECT source, line FROM n GROUP BY source, line HAVING count(*) > 20),
 lost AS (SELECT n.r, sum(words)::BIGINT AS words, count(*) AS lines FROM n JOIN c ON c.source IS NOT DISTINCT FROM n.source AND c.line = n.line GROUP BY n.r),
 m AS (
   SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

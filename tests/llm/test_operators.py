@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,6 +212,10 @@ def test_quality_rules(spark, edges):
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].kept and got[i].n_frequent_lines == 1 for i in range(30)) and got[100].n_frequent_lines == 0
     assert not got[101].kept and got[101].n_dup_lines == 2 and got[101].n_repeat_words == 15
+    # The limit does not rise with the host: 21 of 2,500 documents are over it, 20 are not; null is a host.
+    rare = [(i, f"{'rare line' if i < 21 else 'rarer line' if i < 41 else f'line {i}'} of {host}\n{' '.join(f'w{i}x{k}' for k in range(12))}", host) for host in ("big", None) for i in range(2500)]
+    big = quality_rules.quality_rules(spark.createDataFrame(rare, "doc_id long, text string, source string")).collect()
+    assert len(big) == 5000 and Counter(r.doc_id for r in big if r.n_frequent_lines) == {i: 2 for i in range(21)} and all(r.kept for r in big)
     words = "a b c d e f a b c d e f g".split()
     assert quality_rules.repeated_words([w.encode() for w in words]) == 12
     out = quality_rules.quality_rules(edges).collect()
