@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, stored, utf8
 from .components import components
+from .similar_texts import band_keys, shingles, similar_links
 
 #: Per level: width of the free part that is cut into halves. 64 bits, then the 32 and 16 bits left over.
 LEVELS = (64, 32, 16)
@@ -49,6 +50,17 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8()), run, "doc_id long, text_hash long, fp long")
 
 
+def sketches(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``fingerprints`` with ``bands``, the keys by which similar texts are found."""
+
+    def run(ids: list, hashes: list, texts: list) -> Iterator[tuple]:
+        for doc_id, text_hash, text in zip(ids, hashes, texts, strict=True):
+            fp = fingerprint(text, size)
+            yield doc_id, text_hash, fp - (1 << 64) if fp >> 63 else fp, band_keys(shingles(text.lower().split()))
+
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8()), run, "doc_id long, text_hash long, fp long, bands array<long>")
+
+
 def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Components of the links of one task: (node, smallest node) for each node that is not the smallest."""
     nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -197,15 +209,19 @@ def near_links(fps: DataFrame, distance: int = 3, bucket: int = 2048) -> DataFra
     return found
 
 
-def grouped(own: DataFrame, distance: int, bucket: int) -> DataFrame:
+def grouped(own: DataFrame, distance: int, bucket: int, more: DataFrame | None = None) -> DataFrame:
     """Per fingerprint of ``own`` (doc_id, text_hash, fp): n rows, component_id, and the component's first row.
 
+    ``more`` are links (a, b) between fingerprints beside those within the distance.
+
     Rows come in the order of doc_id, nulls last, and text_hash. ``first`` is the fingerprint's own first row,
     ``keeper`` that of its component.
     """
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = stored(own.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")), "distinct")
-    label = components(near_links(distinct.select("fp"), distance, bucket).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = near_links(distinct.select("fp"), distance, bucket)
+    links = links if more is None else links.unionByName(more)
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     tied = distinct.join(label.withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("keeper"))
     joined = tied.join(least, "root").select("fp", "keeper")
@@ -231,14 +247,16 @@ def simhash_groups(docs: DataFrame, distance: int = 3, size: int = 3, bucket: in
     return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 3, size: int = 3, bucket: int = 2048) -> DataFrame:
-    """One row of ``docs`` for each component of ``simhash_groups``, with all its columns.
+def one_of_each(docs: DataFrame, distance: int = 3, size: int = 3, bucket: int = 2048, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, with all its columns.
 
-    It is the row with the smallest doc_id, then the smallest hash of its text; rows without an id come last,
-    so that one stays only where no row of the component has an id. Of rows with equal id and text one stays.
+    Groups are the components of ``simhash_groups``, joined where two texts have a Jaccard ``similarity`` of their
+    five-word shingles or more. The row with the smallest doc_id stays, then the smallest hash of its text; rows without
+    an id come last, so that one stays only where no row of the group has an id. Of rows with equal id and text
+    one stays. Null, empty and blank texts are one group.
     """
-    own = stored(fingerprints(docs, size), "fingerprints")
-    first = grouped(own, distance, bucket).filter("first = keeper")
+    own = stored(sketches(docs, size), "fingerprints")
+    first = grouped(own, distance, bucket, similar_links(docs, own, similarity)).filter("first = keeper")
     keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")}
     kept = first.select(F.col("keeper.no_id").alias("_no_id"), F.coalesce("keeper.doc_id", F.lit(0)).alias("_id"), F.col("keeper.text_hash").alias("_hash"))
     # The join leaves its rows by these keys, so that texts move once.

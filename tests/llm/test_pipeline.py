@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docdelta.llm import packing, quality_classifier, simhash
+from docdelta.llm import packing, quality_classifier, similar_texts, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = "/root/testdata/sf0.001"
@@ -103,6 +103,8 @@ def plain_copies(rows):
     own = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, signed_hash(x[1])))
     fp = np.array([simhash.fingerprint((t or "").encode()) for _, t in own], np.uint64)
     close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    runs = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").encode().lower().split() for _, t in own)]
+    close |= np.array([[len(a & b) >= 0.8 * len(a | b) > 0 for b in runs] for a in runs])
     label = np.arange(len(own))
     while (new := np.array([label[close[k]].min() for k in range(len(own))])).tolist() != label.tolist():
         label = new
@@ -162,6 +164,32 @@ def test_rows_of_one_id_are_rows_of_their_own(spark):
         assert rows_of(corpus_pipeline.near_copies(spark, docs, "")) == Counter({(1, a): 1, (1, b): 1, (None, b + " " + a): 1})
 
 
+def test_copies_that_are_like_their_source_only(spark):
+    """Copies with scattered changes, similar to their source but not to each other, are one group; others stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    source = [word() for _ in range(200)]
+    rows = [(500, " ".join(source))]
+    for k in range(150):
+        copy = list(source)
+        for place in range(4):
+            copy[50 * place + rng.randrange(5, 45)] = word()
+        rows.append((k, " ".join(copy)))
+    half = [(1000 + k, " ".join(source[:100] + [word() for _ in range(100)])) for k in range(20)]
+    five = [(2000, "one two three four five"), (2001, "One  two three four\tfive"), (2002, "one two three four six"), (2003, "one two"), (2004, "two one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + half + five], SCHEMA).withColumn("text_hash", F.lit(1)).withColumn("bands", F.lit(2))
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert got == {0, 2000, 2002, 2003, 2004} | {i for i, _ in half}
+
+
+def test_similarity_of_sets():
+    b = [f"w{k}".encode() for k in range(40)]
+    assert not len(similar_texts.shingles([])) and similar_texts.band_keys(similar_texts.shingles(b[:4])) == []
+    x, y = np.unique(similar_texts.shingles(b)), np.unique(similar_texts.shingles(b[:20] + [b"x"] + b[21:]))
+    assert similar_texts.jaccard(x, y) == 31 / 41 and similar_texts.jaccard(x, x) == 1 and similar_texts.jaccard(x[:0], x[:0]) == 0
+    assert len(set(similar_texts.band_keys(x))) == similar_texts.BANDS
+
+
 def test_benchmark_by_row(spark, tmp_path):
     """Items without an id count; a hit takes its own row only."""
     rng = random.Random(8)
