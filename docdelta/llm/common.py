@@ -69,7 +69,7 @@ def arrow_map(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str,
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-    "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
+    "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()),
 }
 
 

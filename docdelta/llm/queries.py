@@ -1,4 +1,4 @@
-"""Queries of the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""Queries of the operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_links, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_rollup
+from . import chat_links, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_rollup, toxicity
 from .common import scratch_root, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_findings(table(spark, sf_dir, "documents"), path="source")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_links, op2_token_rollup, op3_license_scan, op4_simhash_groups, op5_benchmark_hits, op6_retrieval_packing, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_secret_findings, pipeline,
+        op8_quality_classifier, op9_quality_rules, op10_secret_findings, op13_toxicity, pipeline,
     )
 }
 
