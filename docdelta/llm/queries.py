@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_links, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, token_rollup, toxicity
+from . import chat_links, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, spelling, token_rollup, toxicity
 from .common import scratch_root, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_findings(table(spark, sf_dir, "documents"), path="source")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_links, op2_token_rollup, op3_license_scan, op4_simhash_groups, op5_benchmark_hits, op6_retrieval_packing, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_secret_findings, op13_toxicity, pipeline,
+        op8_quality_classifier, op9_quality_rules, op10_secret_findings, op12_spelling_variants, op13_toxicity, pipeline,
     )
 }
 
@@ -137,5 +141,39 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 10 AND words_left >= 0.2 * n_words AS kept, n_frequent_lines, words_left
 FROM m
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+),
+bytes AS (
+  SELECT run, c, list_transform(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)), lambda b: b::BIGINT) AS b FROM runs
+),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+w AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+),
+gaps AS (SELECT word, n, i, substr(word, 1, i::INT - 1) AS p, substr(word, i::INT + 1) AS s FROM w, range(1, length(word) + 1) AS r(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM gaps a JOIN w ON a.p || a.s = w.word
+  UNION SELECT w.word, a.word, a.n FROM gaps a JOIN w ON a.p || a.s = w.word
+),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM near GROUP BY word),
+f AS (
+  SELECT w.word, CASE WHEN top >= 2 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)
+),
+walk(word, reached, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = walk.reached WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(reached, k) AS root FROM walk GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
 """,
 }
