@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_links, decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, spelling, token_rollup, toxicity
+from . import chat_links, decontamination, divergence, license_scan, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, spelling, token_rollup, toxicity
 from .common import scratch_root, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_findings(table(spark, sf_dir, "documents"), path="source")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_links, op2_token_rollup, op3_license_scan, op4_simhash_groups, op5_benchmark_hits, op6_retrieval_packing, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_secret_findings, op12_spelling_variants, op13_toxicity, pipeline,
+        op8_quality_classifier, op9_quality_rules, op10_secret_findings, op11_source_divergence, op12_spelling_variants, op13_toxicity, pipeline,
     )
 }
 
@@ -141,6 +145,31 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 10 AND words_left >= 0.2 * n_words AS kept, n_frequent_lines, words_left
 FROM m
+""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+x AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+),
+k AS (SELECT lang, term, count(*) AS in_lang FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(in_lang)::HUGEINT AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + 5 * v.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.in_lang + 5)) // (v.n + 5 * v.v))::BIGINT AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+f AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  )
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM f
+) WHERE part = 'pair' OR rank <= 50
 """,
     "op12_spelling_variants": r"""
 WITH RECURSIVE steps(i, k, v) AS (
