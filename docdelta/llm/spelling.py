@@ -129,7 +129,7 @@ def trie_paths(words: DataFrame, n_words: int, a_part: int = 50_000) -> DataFram
 
     Keys are dealt into ranges of about ``a_part`` by bounds from an even sample, one bound a range on the driver.
     """
-    parts = -(-n_words // a_part)
+    parts = max(1, -(-n_words // a_part))
     every = max(1, n_words // (32 * parts))
     sample = sorted(r.key for r in words.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").collect()) if parts > 1 else []
     bounds = sorted(set(sample[:: max(1, len(sample) // parts)][1:parts]))
@@ -162,7 +162,7 @@ def trie_paths(words: DataFrame, n_words: int, a_part: int = 50_000) -> DataFram
             yield out()
 
     dealt = arrow_map(words.select("key", "n", "word_id"), ranges, "part long, key string, n long, word_id long")
-    dealt = dealt.repartition(max(parts, 1), "part").sortWithinPartitions("part", "key")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(number, "id long, starts array<int>, bases array<long>, deep int, key string, n long, word_id long")
 
 
