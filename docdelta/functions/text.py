@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 U = "(?U)"
 S = r"[\s\x1c-\x1f]"
 H = r"[一-鿿]"
+#: All of ``(?U)`` + S, as a class of its own, which is matched faster.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that is not a single blank: what squeezing has to change.
+UNEVEN = rf"[{SPACES}]{{2,}}|[{SPACES}&&[^ ]]"
 #: Marks a cut; squeezed texts have no line breaks, so none of their characters is one.
 CUT = "\n"
 
 # Where a text is cut into units (after the match), and markers that extraction is unsure of.
-UNIT_END = U + rf"(?:(?:WARNING:|CAUTION:|NOTE:){S}+(?=[A-Z]))|(?:(?<=\)\d\)|\)[a-z]\)){S}+)|(?:[.。；;！!?？]{S}*(?=[A-Z(]|\d|{H}))"
+# In a squeezed text the only white space is a blank.
+UNIT_END = rf"(?:(?:WARNING:|CAUTION:|NOTE:) +(?=[A-Z]))|(?:(?<=\)\p{{Nd}}\)|\)[a-z]\)) +)|(?:[.。；;！!?？] *(?=[A-Z(]|\p{{Nd}}|{H}))"
 MARKERS = [r"警告[:：]", r"警戒[:：]", r"注意[:：]", r"注[:：]", r"WARNING:", r"CAUTION:", r"NOTE:"]
 
 # The normal form of a squeezed unit, step by step; ``$1$2`` keeps captures, so each step is one pass.
@@ -50,15 +55,14 @@ TILDE_STEPS = [
     (r" +~ *$", ""),
     (r" *~ *", "~"),
 ]
+REFERENCES = ["Table", "Step", "Figure", "Fig", "Task", "Section", "Para", "Chapter"]
 LAST_STEPS = [
     (r"(?<=[A-Za-z0-9]) +(?=[A-Za-z0-9])", ""),
     (r"- +", "-"),
     (r"(\p{Nd}) *- *(\p{Nd})", "$1-$2"),
-    (r"(Table|Step|Figure|Fig|Task|Section|Para|Chapter)\1+", "$1"),
+    (rf"({'|'.join(REFERENCES)})\1+", "$1"),
     (r"Referto(?:Figure|Fig|Table|Step|Task)?(?=Referto)", ""),
 ]
-#: Only units with one of these can be changed by the LaTeX, ideograph, degree, width and tilde steps.
-RARE = rf"[\\{{}}°{H[1:-1]}，。；：！？、）】【（℃’ʼ～~]|circ"
 
 
 def _steps(x: Column, steps: list[tuple[str, str]]) -> Column:
@@ -67,7 +71,7 @@ def _steps(x: Column, steps: list[tuple[str, str]]) -> Column:
 
 def squeeze(x: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(x, U + S + "+", " "))
+    return F.trim(F.regexp_replace(x, UNEVEN, " "))
 
 
 def strip_space(x: Column) -> Column:
@@ -83,21 +87,65 @@ def split_units(text: Column) -> Column:
 
 def strip_noise(unit: Column) -> Column:
     """Without warning, caution and note markers, wherever they stand."""
-    return squeeze(reduce(lambda y, m: F.regexp_replace(y, "(?iuU)" + m + S + "*", ""), MARKERS, squeeze(unit)))
+    return squeeze(_without_markers(squeeze(unit)))
 
 
-def normalize(unit: Column) -> Column:
-    """The form in which extraction artefacts vanish. Not idempotent: most steps are a single pass."""
-    return normal_form(F.regexp_replace(unit, U + S + "+", " "))
+def _without_markers(x: Column) -> Column:
+    return reduce(lambda y, m: F.regexp_replace(y, "(?iuU)" + m + S + "*", ""), MARKERS, x)
+
+
+def clean_units(units: Column) -> Column:
+    """The units of ``split_units`` without noise; those that were nothing else go. Every marker ends in a colon."""
+    marked = lambda u: _holds(u, ":", "：")
+    return F.filter(F.transform(units, lambda u: F.when(marked(u), squeeze(_without_markers(u))).otherwise(u)), lambda u: u != "")
+
+
+def _holds(x: Column, *any_of: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(x, F.lit(part)) for part in any_of))
+
+
+def _wide(x: Column, pattern: str) -> Column:
+    """Whether ``pattern``, which only characters beyond ASCII match, stands in ``x``."""
+    return (F.octet_length(x) > F.length(x)) & x.rlike(pattern)
+
+
+def normal_forms(units: Column) -> Column:
+    """The normal form of every unit of an array, whose white space is single blanks.
+
+    The steps go over the array one after another, each group of them only over units that hold what it looks for: a search
+    for a literal costs a small part of a regular expression. Not idempotent: most steps are a single pass.
+    """
+    literal = lambda y: reduce(lambda z, r: F.replace(z, F.lit(r[0]), F.lit(r[1])), LATEX, y)
+    groups = [
+        (lambda u: _holds(u, "\\"), lambda u: _steps(literal(u), LATEX_STEPS[:1])),
+        (lambda u: _holds(u, "circ"), lambda u: _steps(u, LATEX_STEPS[1:2])),
+        (lambda u: _holds(u, "{", "}"), lambda u: F.translate(u, "{}", "")),
+        (lambda u: _holds(u, "°"), lambda u: _steps(u, LATEX_STEPS[3:])),
+        (lambda u: _wide(u, rf"[{H[1:-1]}，。；：！？、）】【（]"), lambda u: _steps(u, IDEOGRAPH_STEPS)),
+        (lambda u: _holds(u, ", ", ". ", "' "), lambda u: _steps(u, BRACKET_STEPS[:1])),
+        (lambda u: _holds(u, " (", " )", " [", " ]"), lambda u: _steps(u, BRACKET_STEPS[1:2])),
+        (lambda u: _holds(u, "( ", ") ", "[ ", "] "), lambda u: _steps(u, [*BRACKET_STEPS[2:], *EMPTY_STEPS])),
+        (lambda u: _holds(u, "℃", "’", "ʼ"), lambda u: _steps(u, DEGREE_STEPS)),
+        (lambda u: _wide(u, f"[{WIDE}]"), lambda u: F.translate(u, WIDE, NARROW)),
+        (lambda u: _holds(u, "~"), lambda u: _steps(u, TILDE_STEPS)),
+        (lambda u: _holds(u, " "), lambda u: _steps(u, LAST_STEPS[:1])),
+        (lambda u: _holds(u, "-"), lambda u: _steps(u, LAST_STEPS[1:3])),
+        (lambda u: _holds(u, *(w + w for w in REFERENCES)), lambda u: _steps(u, LAST_STEPS[3:4])),
+        (lambda u: _holds(u, "Referto"), lambda u: _steps(u, LAST_STEPS[4:])),
+        (lambda u: _holds(u, "  "), lambda u: F.regexp_replace(u, "  +", " ")),
+    ]
+    where = lambda guard, change: lambda u: F.when(guard(u), change(u)).otherwise(u)
+    return F.transform(reduce(lambda us, g: F.transform(us, where(*g)), groups, units), lambda u: F.trim(u))
 
 
 def normal_form(x: Column) -> Column:
-    """``normalize`` of a text whose white space is single blanks: every step takes white space in runs."""
-    full = reduce(lambda y, r: F.replace(y, F.lit(r[0]), F.lit(r[1])), LATEX, x)
-    full = _steps(full, [*LATEX_STEPS, *IDEOGRAPH_STEPS, *BRACKET_STEPS, *DEGREE_STEPS, *EMPTY_STEPS])
-    full = _steps(F.translate(full, WIDE, NARROW), [*TILDE_STEPS, *LAST_STEPS])
-    plain = _steps(x, [*BRACKET_STEPS, *EMPTY_STEPS, *LAST_STEPS])
-    return F.trim(F.regexp_replace(F.when(x.rlike(RARE), full).otherwise(plain), "  +", " "))
+    """``normal_forms`` of one text."""
+    return F.get(normal_forms(F.array(x)), 0)
+
+
+def normalize(unit: Column) -> Column:
+    """The form in which extraction artefacts vanish."""
+    return normal_form(F.regexp_replace(unit, UNEVEN, " "))
 
 
 def html_escape(x: Column) -> Column:

@@ -1,171 +1,104 @@
-"""Alignment of unit sequences: the part that built-in functions cannot express.
+"""Alignment of unit sequences of revision pairs.
 
-The stdlib matcher defines what a longest common run is, so it is used inside pandas UDFs, on rows that Spark
-has partitioned; a row holds the two sides of one pair, or one modified unit.
+Every pair is a row with the arrays of both sides. The common runs of its units are found inside the row, and small
+blocks of changed units are paired there too; the cells of a large block become rows of their own, which are pruned
+before they leave the JVM, scored and brought together again as numbers.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from os.path import commonprefix
+import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import html_escape, normal_form, split_units, strip_noise
+from ..functions.matching import as_characters, best_pairs, edits, ratio
+from ..functions.text import clean_units, html_escape, normal_forms, same_ignoring_spaces, split_units
+from ..scratch import stored
 
 #: Fixed value: units less alike than this are never paired.
 PAIR_THRESHOLD = 0.85
+#: Blocks of more cells than this leave their row.
+INLINE_CELLS = 4096
+_NUMBERS = [T.StructField(c, T.IntegerType()) for c in ("old_no", "new_no")]
 OPCODE = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2"))]))
-OPERATION = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("old_no", T.IntegerType()), T.StructField("new_no", T.IntegerType())]))
+OPERATION = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), *_NUMBERS]))
+#: A step of an alignment: an operation, or a large block (type ``block``) that ends before ``old_end`` and ``new_end``.
+STEP = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), *_NUMBERS, *(T.StructField(c, T.IntegerType()) for c in ("old_end", "new_end"))]))
 HTML = T.StructType([T.StructField("old_html", T.StringType()), T.StructField("new_html", T.StringType())])
 
 
-def _front(a: str, b: str, most: int = 6) -> int:
-    """Length of the common front of two texts if it surely is their longest common run, else 0.
-
-    The texts may go on for ``most`` characters behind it, so that all longer runs can be tried.
-    """
-    n, m = len(a), len(b)
-    front = len(commonprefix((a, b)))
-    if n - front > most or m - front > most:
-        return 0
-    for k in range(front + 1, min(n, m) + 1):
-        if any(a[i : i + k] == b[j : j + k] for i in range(n - k + 1) for j in range(m - k + 1)):
-            return 0
-    return front
-
-
-def _opcodes(a: list[str] | str, b: list[str] | str) -> list[tuple]:
-    """The matcher's runs. A common front that is the longest run is taken off first, which changes nothing."""
-    front = _front(a, b) if isinstance(a, str) else 0
-    rest = SequenceMatcher(None, a[front:], b[front:], autojunk=False).get_opcodes()
-    ahead = [("equal", 0, front, 0, front)] if front else []
-    return ahead + [(tag, i1 + front, i2 + front, j1 + front, j2 + front) for tag, i1, i2, j1, j2 in rest]
-
-
-def _similarity(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if a in b or b in a:  # the shorter one as a whole is the longest run, and nothing is left of it
-        return 2 * min(len(a), len(b)) / (len(a) + len(b))
-    front = _front(a, b)
-    blocks = SequenceMatcher(None, a[front:], b[front:], autojunk=False).get_matching_blocks()
-    return 2 * (front + sum(x.size for x in blocks)) / (len(a) + len(b))
-
-
-def _pairable(a: str, b: str) -> bool:
-    """Whether two units are alike enough. A common front or back is a lower bound of what the matcher finds."""
-    least = PAIR_THRESHOLD * (len(a) + len(b)) / 2
-    if min(len(a), len(b)) < least:
-        return False
-    return len(commonprefix((a, b))) >= least or len(commonprefix((a[::-1], b[::-1]))) >= least or _similarity(a, b) >= PAIR_THRESHOLD
-
-
 def _alike(old: list[str], new: list[str]) -> dict[str, dict[str, float]]:
-    """For each new unit the old ones that it may be paired with. Each two texts are compared once, and only if
-    bounds of their similarity, by length and by characters, allow a pair; what is kept are the pairs."""
-    by_length: dict[int, list[str]] = {}
-    for a in dict.fromkeys(old):
-        by_length.setdefault(len(a), []).append(a)
-    matcher = SequenceMatcher(None, autojunk=False)
+    """For each old unit the new ones that it may be paired with. Each two texts are compared once, and only if
+    bounds of their similarity, by length and by characters, allow a pair."""
+    texts = [(b, len(b), Counter(b)) for b in dict.fromkeys(new)]
     found: dict[str, dict[str, float]] = {}
-    for b in dict.fromkeys(new):
-        own = found[b] = {}
-        matcher.set_seq2(b)
-        for n, group in by_length.items():
-            if 2 * min(n, len(b)) < PAIR_THRESHOLD * (n + len(b)):
-                continue
-            for a in group:
-                if a == b or a in b or b in a:
-                    own[a] = _similarity(a, b)
-                    continue
-                matcher.set_seq1(a)
-                if matcher.quick_ratio() >= PAIR_THRESHOLD and (value := _similarity(a, b)) >= PAIR_THRESHOLD:
-                    own[a] = value
+    for a in dict.fromkeys(old):
+        own, n, bag = {}, len(a), Counter(a)
+        for b, m, other in texts:
+            least = PAIR_THRESHOLD * (n + m)
+            if a == b:
+                own[b] = 1.0
+            elif 2 * min(n, m) >= least and 2 * sum(min(k, other[c]) for c, k in bag.items() if c in other) >= least and (value := ratio(a, b)) >= PAIR_THRESHOLD:
+                own[b] = value
+        found[a] = own
     return found
 
 
 def _pair_block(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Order-preserving pairs of greatest total similarity; what stays unpaired reads deletions first.
-
-    A byte for each cell says how it was reached; of the totals two rows are held.
-    """
-    pair, gone, come = b"pda"
-    n, m = len(old), len(new)
-    if n == m == 1:  # how alike they are matters only between several pairs
-        return [("pair", 0, 0)] if _pairable(old[0], new[0]) else [("del", 0, None), ("add", None, 0)]
+    """Order-preserving pairs of greatest total similarity; what stays unpaired reads deletions first."""
     alike = _alike(old, new)
-    columns = [alike[b] for b in new]
-    above = [0.0] * (m + 1)
-    steps = [bytes([come]) * (m + 1)]
-    for a in old:
-        row, step = [0.0], bytearray([gone])
-        for j, scores in enumerate(columns):
-            value, kind = -1.0, gone
-            if a in scores:
-                value, kind = above[j] + scores[a], pair
-            if above[j + 1] > value:
-                value, kind = above[j + 1], gone
-            if row[j] >= value:
-                value, kind = row[j], come
-            row.append(value)
-            step.append(kind)
-        above = row
-        steps.append(bytes(step))
-    out, i, j = [], n, m
-    while i or j:
-        kind = steps[i][j]
-        if kind == pair:
-            i, j = i - 1, j - 1
-            out.append(("pair", i, j))
-        elif kind == gone:
-            i -= 1
-            out.append(("del", i, None))
-        else:
-            j -= 1
-            out.append(("add", None, j))
-    return out[::-1]
+    places: dict[str, list[int]] = {}
+    for j, b in enumerate(new):
+        places.setdefault(b, []).append(j)
+    cells = {i: sorted((j, value) for b, value in alike[a].items() for j in places[b]) for i, a in enumerate(old) if alike[a]}
+    return best_pairs(cells, len(old), len(new))
 
 
-def _operations(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None]]:
-    out: list[tuple[str, int | None, int | None]] = []
-    for tag, i1, i2, j1, j2 in _opcodes(old, new):
+def _steps(old: list[str], new: list[str], inline_cells: int) -> list[tuple]:
+    out: list[tuple] = []
+    for tag, i1, i2, j1, j2 in edits(*as_characters(old, new)):
         if tag == "equal":
-            out += [("equal", i1 + k, j1 + k) for k in range(i2 - i1)]
+            out += [("equal", i1 + k, j1 + k, None, None) for k in range(i2 - i1)]
         elif tag == "delete":
-            out += [("deleted", i, None) for i in range(i1, i2)]
+            out += [("deleted", i, None, None, None) for i in range(i1, i2)]
         elif tag == "insert":
-            out += [("added", None, j) for j in range(j1, j2)]
+            out += [("added", None, j, None, None) for j in range(j1, j2)]
+        elif (i2 - i1) * (j2 - j1) > inline_cells:
+            out.append(("block", i1, j1, i2, j2))
         else:
             for kind, i, j in _pair_block(old[i1:i2], new[j1:j2]):
-                if kind == "del":
-                    out.append(("deleted", i1 + i, None))
-                elif kind == "add":
-                    out.append(("added", None, j1 + j))
-                else:
+                if kind == "pair":
                     same = old[i1 + i].replace(" ", "") == new[j1 + j].replace(" ", "")
-                    out.append(("equal" if same else "modified", i1 + i, j1 + j))
+                    out.append(("equal" if same else "modified", i1 + i, j1 + j, None, None))
+                else:
+                    out.append(("deleted", i1 + i, None, None, None) if kind == "del" else ("added", None, j1 + j, None, None))
     return out
 
 
 @F.pandas_udf(OPCODE)
 def align_opcodes(old: pd.Series, new: pd.Series) -> pd.Series:
     """Equal, replace, delete and insert runs over two arrays of normal forms."""
-    return pd.Series([_opcodes(list(a), list(b)) for a, b in zip(old, new, strict=True)])
+    return pd.Series([edits(*as_characters(list(a), list(b))) for a, b in zip(old, new, strict=True)])
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    """Share of the characters of two texts that lie in their common runs."""
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
 
+def align_units(old: Column, new: Column, inline_cells: int = INLINE_CELLS) -> Column:
+    """The steps from one array of normal forms to another; null if a side is null."""
 
-@F.pandas_udf(OPERATION)
-def align_units(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The diff of two arrays of normal forms: type with the place on each side. Null if a side is null."""
-    return pd.Series([None if a is None or b is None else _operations(list(a), list(b)) for a, b in zip(old, new, strict=True)], dtype=object)
+    @F.pandas_udf(STEP)
+    def run(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _steps(list(a), list(b), inline_cells) for a, b in zip(old, new, strict=True)], dtype=object)
+
+    return run(old, new)
 
 
 def _escaped(x: str) -> str:
@@ -183,7 +116,7 @@ def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
             rows.append((None, None))
             continue
         left, right = [], []
-        for tag, i1, i2, j1, j2 in _opcodes(a, b):
+        for tag, i1, i2, j1, j2 in edits(a, b):
             x, y = a[i1:i2], b[j1:j2]
             mark = tag != "equal" and (x.strip() or y.strip())
             left.append(f'<span class="deleted-word">{_escaped(x)}</span>' if mark and x else _escaped(x))
@@ -194,38 +127,146 @@ def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
 
 def document_units(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, units, norms): the units without markers, and their normal forms, once for each document."""
-    units = F.filter(F.transform(split_units(F.coalesce(text, F.lit(""))), strip_noise), lambda u: u != "")
-    return docs.select("doc_id", units.alias("units")).withColumn("norms", F.transform("units", normal_form))
-
+    units = clean_units(split_units(F.coalesce(text, F.lit(""))))
+    return docs.select("doc_id", units.alias("units")).withColumn("norms", normal_forms(F.col("units")))
 
-def paired(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """One row per pair (pair_id, old_doc_id, new_doc_id) of which both sides are in ``units``, with their arrays.
 
-    Both sides go through one join, so that units and normal forms are computed once for each document.
-    """
+def _sides(pairs: DataFrame) -> DataFrame:
+    """A row for each side of a pair: new says which."""
     side = lambda new, c: F.struct(F.lit(new).alias("new"), F.col(c).alias("doc_id"))
-    wanted = pairs.select("pair_id", "old_doc_id", "new_doc_id", F.explode(F.array(side(False, "old_doc_id"), side(True, "new_doc_id"))).alias("s")).select("*", "s.*")
-    found = wanted.join(units.select("doc_id", "units", "norms"), "doc_id").groupBy("pair_id", "old_doc_id", "new_doc_id").agg(F.array_sort(F.collect_list(F.struct("new", "units", "norms"))).alias("s"))
-    of = lambda k, what: F.get("s", k)[what]
-    sides = [of(k, f"{what}s").alias(f"{name}_{what}s") for k, name in ((0, "old"), (1, "new")) for what in ("unit", "norm")]
-    return found.filter(F.size("s") == 2).select("pair_id", "old_doc_id", "new_doc_id", *sides)
+    return pairs.select("pair_id", "old_doc_id", "new_doc_id", F.explode(F.array(side(False, "old_doc_id"), side(True, "new_doc_id"))).alias("s")).select("*", "s.*").drop("s")
+
 
+def pair_errors(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """(pair_id, side, doc_id, problem) of each side that ``units`` does not have exactly once: missing or repeated."""
+    rows = units.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    sides = _sides(pairs).join(rows, "doc_id", "left").filter("n is null or n > 1")
+    return sides.select("pair_id", F.when(F.col("new"), "new").otherwise("old").alias("side"), "doc_id", F.when(F.col("n").isNull(), "missing").otherwise("repeated").alias("problem"))
 
-def _aligned() -> Column:
-    """Operations of a row of ``paired``; null where the normal forms are equal, which are not sent to Python."""
+
+def paired(pairs: DataFrame, units: DataFrame, wanted: tuple[str, ...] = ("units", "norms"), hot: int = 1000) -> DataFrame:
+    """One row per pair (pair_id, old_doc_id, new_doc_id) of which both sides are in ``units``, with the ``wanted`` arrays of each.
+
+    Both sides go through one join, so that units and normal forms are computed once for each document. A document
+    that more than ``hot`` pairs name is dealt out in copies for that many pairs each, so that no task makes all of
+    them. Of several rows of a document the first by its arrays counts; ``pair_errors`` names such pairs.
+    """
+    sides = _sides(pairs)
+    named = sides.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    named = stored(named.select("doc_id", F.ceil(F.col("n") / hot).alias("copies")), "hot_documents")
+    arrays = units.select("doc_id", *wanted)
+    n_hot = named.count()
+    if n_hot:
+        copies = F.broadcast(named) if n_hot <= 100_000 else named
+        number = F.coalesce("copies", F.lit(1).cast("long"))
+        sides = sides.join(copies, "doc_id", "left").withColumn("copy", F.pmod(F.xxhash64("pair_id", "new"), number)).drop("copies")
+        arrays = arrays.join(copies, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop("copies")
+    found = sides.join(arrays, ["doc_id", "copy"] if n_hot else "doc_id").groupBy("pair_id", "old_doc_id", "new_doc_id").agg(F.collect_list(F.struct("new", *wanted)).alias("s"))
+    first = lambda new: F.array_min(F.filter("s", lambda x: x["new"] == new))
+    found = found.select("pair_id", "old_doc_id", "new_doc_id", first(False).alias("old"), first(True).alias("new")).filter("old is not null and new is not null")
+    return found.select("pair_id", "old_doc_id", "new_doc_id", *(F.col(f"{side}.{what}").alias(f"{side}_{what}") for side in ("old", "new") for what in wanted))
+
+
+def _aligned(inline_cells: int) -> Column:
+    """Steps of a row of ``paired``; null where the normal forms are equal, which are not sent to Python."""
     differ = F.col("old_norms") != F.col("new_norms")
-    return align_units(F.when(differ, F.col("old_norms")), F.when(differ, F.col("new_norms")))
+    return align_units(F.when(differ, F.col("old_norms")), F.when(differ, F.col("new_norms")), inline_cells)
+
+
+def open_blocks(steps: Column) -> Column:
+    """The large blocks among the steps of a row of ``paired``: number, first places, normal forms of both sides."""
+    blocks = F.filter(steps, lambda s: s["type"] == "block")
+    part = lambda side, s: F.slice(F.col(f"{side}_norms"), s[f"{side}_no"] + 1, s[f"{side}_end"] - s[f"{side}_no"]).alias(side)
+    return F.transform(blocks, lambda s: F.struct(s["old_no"].alias("old_no"), s["new_no"].alias("new_no"), part("old", s), part("new", s)))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def character_bag(texts: pd.Series) -> pd.Series:
+    """A number for each character of a text and how often it stood before: two bags have as many of them in common as characters."""
+    out = []
+    for text in texts:
+        seen: Counter = Counter()
+        bag = []
+        for c in text:
+            bag.append((ord(c) << 40) + seen[c])
+            seen[c] += 1
+        out.append(bag)
+    return pd.Series(out)
+
 
+def block_cells(blocks: DataFrame, part: int = 256) -> DataFrame:
+    """(pair_id, old_no, new_no, a, b, value, same) of the pairs of texts of each block that are alike enough.
 
-def compare_pairs(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    ``blocks`` has a row for each block (pair_id, old_no, new_no, old, new). a and b are the first places of the two texts inside the block. Texts are
+    compared once each; only those of near lengths meet, old ones in parts of about ``part`` so that a block of any size is many
+    tasks, and only those whose characters allow a pair leave the JVM.
+    """
+    key = ["pair_id", "old_no", "new_no"]
+    wide = -math.log(PAIR_THRESHOLD / (2 - PAIR_THRESHOLD))
+    parts = F.ceil(F.size("old") / part).cast("int")
+
+    def texts(side: str, place: str) -> DataFrame:
+        rows = blocks.select(*key, parts.alias("parts"), F.posexplode(side).alias("place", "text")).groupBy(*key, "parts", "text").agg(F.min("place").alias(place))
+        return rows.withColumn("n", F.length("text")).withColumn("zone", F.floor(F.log(F.greatest("n", F.lit(1))) / wide))
+
+    left, right = texts("old", "a"), texts("new", "b")
+    left = left.select(*key, "a", F.col("text").alias("x"), F.col("n").alias("n_x"), "zone", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part")).withColumn("bag_x", character_bag("x"))
+    right = right.withColumn("bag_y", character_bag("text")).select(*key, "b", F.col("text").alias("y"), F.col("n").alias("n_y"), "bag_y", "parts", F.explode(F.array(*(F.col("zone") + d for d in (-1, 0, 1)))).alias("zone"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    least = PAIR_THRESHOLD * (F.col("n_x") + F.col("n_y"))
+    met = left.join(right, [*key, "zone", "part"]).filter(2 * F.least("n_x", "n_y") >= least).filter((F.col("x") == F.col("y")) | (2 * F.size(F.array_intersect("bag_x", "bag_y")) >= least))
+    scored = met.select(*key, "a", "b", same_ignoring_spaces(F.col("x"), F.col("y")).alias("same"), similarity("x", "y").alias("value"))
+    return scored.filter(F.col("value") >= PAIR_THRESHOLD)
+
+
+def solve_blocks(blocks: DataFrame, part: int = 256) -> DataFrame:
+    """(pair_id, old_no, new_no, op): the operations of each block, numbered in the document.
+
+    The last step sees only numbers: the places of equal texts, and the values of the pairs of texts that are alike.
+    """
+    key = ["pair_id", "old_no", "new_no"]
+    place = lambda side: blocks.select(*key, F.posexplode(side).alias("place", "text")).groupBy(*key, "text").agg(F.array_sort(F.collect_list("place")).alias("places")).select(*key, F.lit(side == "new").alias("new"), "places")
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
+    places, cells = fresh(place("old").unionByName(place("new"))), fresh(block_cells(blocks, part))
+
+    def run(at, places: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        own = {bool(new): {int(p[0]): p for p in group["places"]} for new, group in places.groupby("new")}
+        old, new = own.get(False, {}), own.get(True, {})
+        rows: dict[int, list] = {}
+        same = {}
+        for a, b, value, equal in zip(cells["a"], cells["b"], cells["value"], cells["same"], strict=True):
+            for i in old[a]:
+                rows.setdefault(int(i), []).extend((int(j), value) for j in new[b])
+                same.update(((int(i), int(j)), equal) for j in new[b])
+        found = best_pairs({i: sorted(x) for i, x in rows.items()}, sum(map(len, old.values())), sum(map(len, new.values())))
+        i0, j0 = int(at[1]), int(at[2])
+        op = [
+            {"type": ("equal" if same[i, j] else "modified") if kind == "pair" else "deleted" if kind == "del" else "added", "old_no": None if i is None else i0 + i, "new_no": None if j is None else j0 + j}
+            for kind, i, j in found
+        ]
+        return pd.DataFrame({"pair_id": [at[0]], "old_no": [i0], "new_no": [j0], "op": [op]})
+
+    schema = T.StructType([blocks.schema["pair_id"], *_NUMBERS, T.StructField("op", OPERATION)])
+    return places.groupBy(*key).cogroup(cells.groupBy(*key)).applyInPandas(run, schema)
+
+
+def compare_pairs(pairs: DataFrame, units: DataFrame, inline_cells: int = INLINE_CELLS) -> DataFrame:
     """diff_units: pair_id, seq, type, old_no, new_no, old, new, old_html, new_html.
 
-    Pairs with equal normal forms are not aligned; only modified units get character spans. All rows go the
-    same way, so that pairs are joined and aligned once.
+    Pairs with equal normal forms are not aligned; only modified units get character spans. Blocks of more than
+    ``inline_cells`` cells are solved outside their rows.
     """
     equal = F.transform(F.sequence(F.lit(0), F.size("old_norms") - 1), lambda i: F.struct(F.lit("equal").alias("type"), i.cast("int").alias("old_no"), i.cast("int").alias("new_no")))
     equal = F.when(F.size("old_norms") > 0, equal).otherwise(F.array().cast(OPERATION))
-    operations = paired(pairs, units).withColumn("op", _aligned()).withColumn("op", F.coalesce("op", equal))
+    rows = stored(paired(pairs, units).withColumn("steps", _aligned(inline_cells)), "aligned")
+    plain = F.transform("steps", lambda s: F.struct(s["type"].alias("type"), s["old_no"].alias("old_no"), s["new_no"].alias("new_no")))
+    has_block = F.exists(F.coalesce("steps", F.array().cast(STEP)), lambda s: s["type"] == "block")
+    if rows.filter(has_block).limit(1).count():
+        blocks = rows.filter(has_block).select("pair_id", F.inline(open_blocks(F.col("steps"))))
+        solved = solve_blocks(blocks).groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("old_no", "new_no"), "op"))).alias("solved"))
+        rows = rows.join(solved, "pair_id", "left")
+        plain = F.flatten(F.transform("steps", lambda s: F.when(s["type"] == "block", F.try_element_at("solved", F.struct(s["old_no"].alias("old_no"), s["new_no"].alias("new_no")))).otherwise(F.array(F.struct(s["type"].alias("type"), s["old_no"].alias("old_no"), s["new_no"].alias("new_no"))))))
+    operations = rows.withColumn("op", F.coalesce(F.when(F.col("steps").isNotNull(), plain), equal))
 
     def pieces(o: Column) -> Column:
         at = lambda side, what: F.get(F.col(f"{side}_{what}"), o[f"{side}_no"])
@@ -244,11 +285,18 @@ def count_types(operations: Column) -> list[Column]:
     return [n("added").alias("additions"), n("deleted").alias("deletions"), n("modified").alias("modifications"), n("equal").alias("unchanged")]
 
 
-def compare_counts(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """diff_stats of each pair without exploding its units."""
-    aligned = paired(pairs, units).select("pair_id", F.size("old_norms").cast("long").alias("n"), _aligned().alias("op"))
-    counts = aligned.select("pair_id", "n", F.col("op").isNull().alias("same"), *count_types(F.col("op")))
-    changed = [F.when(F.col("same"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("additions", "deletions", "modifications")]
-    counts = counts.select("pair_id", *changed, F.when(F.col("same"), F.col("n")).otherwise(F.col("unchanged")).alias("unchanged"))
+def compare_counts(pairs: DataFrame, units: DataFrame, inline_cells: int = INLINE_CELLS) -> DataFrame:
+    """diff_stats of each pair without exploding its units; only normal forms travel."""
+    aligned = paired(pairs, units, ("norms",)).withColumn("steps", _aligned(inline_cells))
+    names = ["additions", "deletions", "modifications", "unchanged"]
+    same = F.col("steps").isNull()
+    counts = aligned.select("pair_id", same.alias("same"), F.size("old_norms").cast("long").alias("n"), *count_types(F.col("steps")), F.when(~same, open_blocks(F.col("steps"))).alias("blocks"))
+    whole = [F.when(F.col("same"), F.col("n") if c == "unchanged" else F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in names]
+    counts = stored(counts.select("pair_id", *whole, "blocks"), "pair_counts")
+    large = counts.filter(F.size("blocks") > 0)
+    counts = counts.select("pair_id", *names)
+    if large.limit(1).count():
+        more = solve_blocks(large.select("pair_id", F.inline("blocks"))).select("pair_id", *count_types(F.col("op")))
+        counts = counts.unionByName(more).groupBy("pair_id").agg(*(F.sum(c).alias(c) for c in names))
     changes = F.col("additions") + F.col("deletions") + F.col("modifications")
     return counts.select("*", (changes + F.col("unchanged")).alias("total"), changes.alias("diff_count"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pair_provenance, source_label, split_units
+from ..scratch import scratch  # noqa: F401
 from ..sources.layouts import PAGES
 
 
@@ -18,17 +16,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def layouts(docs: DataFrame) -> DataFrame:
     """Line i of a text on page i div 8; lines 2k and 2k + 1 share their top edge; kinds by (doc_id + i)."""
     line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', if(k = 5, 'table', 'text'), 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>head</td></tr><tr><td>', x, '</td></tr></table>'), null))))"

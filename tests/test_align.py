@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from docdelta.functions import matching
 from docdelta.operators import align, metrics, report
 
 
@@ -98,7 +99,7 @@ def test_contained_texts_like_the_matcher():
     for _ in range(500):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))
         b = "".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) + a + "".join(rng.choice("ab") for _ in range(rng.randint(0, 4)))
-        assert align._similarity(a, b) == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio())
+        assert matching.ratio(a, b) == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio())
 
 
 def test_pairs_need_both_sides(spark):
@@ -108,13 +109,120 @@ def test_pairs_need_both_sides(spark):
     assert got == {1: (2, 0), 2: (0, 2)}
 
 
-def test_runs_like_the_matcher():
-    """Common fronts and contained texts are short cuts only."""
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_runs_like_the_matcher(monkeypatch, small):
+    """Ties, repeats and moves, for runs that are grown and for the automaton; 10,000 arrays and as many texts."""
+    monkeypatch.setattr(matching, "SMALL", small)
     rng = random.Random(6)
-    for _ in range(3000):
-        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
-        b = a[: rng.randint(0, len(a))] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+    for _ in range(5000):
+        k = rng.choice([1, 2, 3, 30])
+        a = [rng.randrange(k) for _ in range(rng.randint(0, 30))]
+        b = [rng.randrange(k) for _ in range(rng.randint(0, 30))]
+        if rng.random() < 0.3:
+            cut = rng.randint(0, len(a))
+            b = a[cut:] + a[:cut] + b[:3]
         plain = SequenceMatcher(None, a, b, autojunk=False)
-        assert align._opcodes(a, b) == plain.get_opcodes()
-        if a or b:
-            assert align._similarity(a, b) == pytest.approx(plain.ratio()) and align._pairable(a, b) == (plain.ratio() >= 0.85)
+        x, y = matching.as_characters(a, b)
+        assert matching.edits(x, y) == plain.get_opcodes()
+        assert tuple(matching.longest_run(x, y)) == tuple(plain.find_longest_match(0, len(a), 0, len(b))) or not matching.longest_run(x, y)[2]
+        assert matching.ratio(x, y) == pytest.approx(plain.ratio())
+
+
+def test_pairs_like_the_full_table():
+    """The sparse programme against the table of all cells, with the same choice between equal totals."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        n, m, p = rng.randint(0, 7), rng.randint(0, 7), rng.random()
+        cells = {(i, j): rng.choice([0.85, 0.9, 1.0, 1.0]) for i in range(n) for j in range(m) if rng.random() < p}
+        total, kind = [[0.0] * (m + 1) for _ in range(n + 1)], {}
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                options = [(total[i - 1][j - 1] + cells[i - 1, j - 1], "pair")] if (i - 1, j - 1) in cells else []
+                best = max([*options, (total[i - 1][j], "del")], key=lambda x: x[0])
+                total[i][j], kind[i, j] = (total[i][j - 1], "add") if total[i][j - 1] >= best[0] else best
+        want, i, j = [], n, m
+        while i or j:
+            step = kind.get((i, j), "del" if i else "add")
+            i, j = i - (step != "add"), j - (step != "del")
+            want.append((step, i if step != "add" else None, j if step != "del" else None))
+        rows = {}
+        for (i, j), value in sorted(cells.items()):
+            rows.setdefault(i, []).append((j, value))
+        assert matching.best_pairs(rows, n, m) == want[::-1]
+
+
+def test_characters_of_many_items():
+    a, b = matching.as_characters(list(range(60_000)), [59_999, 70_000])
+    assert len(set(a)) == 60_000 and b[0] == a[-1] and a.encode() and b.encode()
+
+
+def changed_texts(rng, n):
+    """Two sides of a block: changed, moved, repeated and foreign units, none of which is left as it was."""
+    words = ["valve", "bolt", "turn", "left", "check", "oil", "pump"]
+    old = [" ".join(rng.choice(words) for _ in range(8)) + f" {k}" for k in rng.choices(range(40), k=n)]
+    new = [x[:-1] + rng.choice("xyz") if rng.random() < 0.6 else " ".join(rng.choice(words) for _ in range(7)) for x in old]
+    cut = rng.randint(0, n)
+    return old, (new[cut:] + new[:cut]) if rng.random() < 0.3 else new + new[:5]
+
+
+def test_blocks_over_tasks(spark):
+    rng = random.Random(9)
+    sides = [changed_texts(rng, rng.randint(1, 30)) for _ in range(40)] + [changed_texts(rng, 300), (["same text here"] * 20, ["same text herf"] * 30)]
+    docs = [(2 * i + k, ". ".join(x.capitalize() for x in side)) for i, pair in enumerate(sides) for k, side in enumerate(pair)]
+    units = align.document_units(spark.createDataFrame(docs, "doc_id long, text string"))
+    pairs = spark.createDataFrame([(f"p{i}", 2 * i, 2 * i + 1) for i in range(len(sides))], "pair_id string, old_doc_id long, new_doc_id long")
+    order = lambda df: sorted(map(str, df.collect()))
+    inline, staged = align.compare_pairs(pairs, units, 10**9), align.compare_pairs(pairs, units, 0)
+    assert order(inline) == order(staged) and {"modified", "equal", "added", "deleted"} >= {r.type for r in inline.select("type").distinct().collect()}
+    assert order(align.compare_counts(pairs, units, 10**9)) == order(align.compare_counts(pairs, units, 0)) == order(align.compare_counts(pairs, units))
+    blocks = spark.createDataFrame([("p", 3, 4, *changed_texts(rng, 120))], "pair_id string, old_no int, new_no int, old array<string>, new array<string>")
+    assert order(align.solve_blocks(blocks)) == order(align.solve_blocks(blocks, 7))
+    assert order(align.block_cells(blocks)) == order(align.block_cells(blocks, 3))
+
+
+def test_diff_like_a_plain_matcher(spark):
+    """Natural texts with repeated and moved units: the whole result from the matcher and the full table of a block."""
+    rng = random.Random(10)
+    olds = [[rng.choice(["Open", "Close", "Check"]) + f" valve {rng.randint(0, 4)} now" for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    news = []
+    for old in olds:
+        new = [x.replace("now", "later") if rng.random() < 0.15 else x for x in old if rng.random() < 0.9]
+        cut = rng.randint(0, len(new))
+        news.append(new[cut:] + new[:cut] if rng.random() < 0.4 else new)
+    rows = compare(spark, [". ".join(x) for x in olds], [". ".join(x) for x in news]).collect()
+    for p, (old, new) in enumerate(zip(olds, news)):
+        old, new = ([x + "." for x in side[:-1]] + side[-1:] for side in (old, new))
+        a, b = ([x.replace(" ", "") for x in side] for side in (old, new))
+        want = []
+        for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if tag == "equal":
+                want += [("equal", i, j) for i, j in zip(range(i1, i2), range(j1, j2))]
+            elif tag != "replace":
+                want += [("deleted", i, None) for i in range(i1, i2)] + [("added", None, j) for j in range(j1, j2)]
+            else:
+                got = align._pair_block(a[i1:i2], b[j1:j2])
+                alike = sum(SequenceMatcher(None, a[i1 + i], b[j1 + j], autojunk=False).ratio() for kind, i, j in got if kind == "pair")
+                if (i2 - i1) * (j2 - j1) <= 16:
+                    assert alike == pytest.approx(best_pairs(a[i1:i2], b[j1:j2]))
+                want += [({"pair": "modified", "del": "deleted", "add": "added"}[kind], None if i is None else i1 + i, None if j is None else j1 + j) for kind, i, j in got]
+        assert [(r.type, r.old_no, r.new_no) for r in sorted((r for r in rows if r.pair_id == p), key=lambda r: r.seq)] == want
+
+
+def test_repeated_documents_lose_no_pair(spark):
+    docs = spark.createDataFrame([(1, "One. Two"), (1, "One. Two"), (2, "One"), (2, "Zero. One"), (3, "Other")], "doc_id long, text string")
+    units = align.document_units(docs)
+    pairs = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (12, 2, 3), (13, 3, 7), (14, 3, None)], "pair_id long, old_doc_id long, new_doc_id long")
+    counts = {r.pair_id: (r.unchanged, r.diff_count) for r in align.compare_counts(pairs, units).collect()}
+    assert counts == {10: (2, 0), 11: (0, 2), 12: (0, 2)}
+    errors = {(r.pair_id, r.side, r.problem) for r in align.pair_errors(pairs, units).collect()}
+    assert errors == {(10, "old", "repeated"), (10, "new", "repeated"), (11, "old", "repeated"), (11, "new", "repeated"), (12, "old", "repeated"), (13, "new", "missing"), (14, "new", "missing")}
+
+
+def test_hot_documents_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, f"Unit one. Number {i}") for i in range(300)], "doc_id long, text string")
+    units = align.document_units(docs)
+    pairs = spark.createDataFrame([(i, 0, i) for i in range(300)] + [(300 + i, i, 0) for i in range(300)], "pair_id long, old_doc_id long, new_doc_id long")
+    got = align.compare_counts(pairs, units)
+    assert sorted(map(str, got.collect())) == sorted(map(str, align.compare_counts(pairs, units).collect()))
+    plain, dealt = (align.paired(pairs, units, ("norms",), hot=h) for h in (1000, 20))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect())) and dealt.count() == 600
