@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 U = "(?U)"
 S = r"[\s\x1c-\x1f]"
 H = r"[一-鿿]"
-#: All of ``(?U)`` + S, as a class of its own, which is matched faster.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space that is not a single blank: what squeezing has to change.
-UNEVEN = rf"[{SPACES}]{{2,}}|[{SPACES}&&[^ ]]"
+#: The same white space as two patterns that are searched fast: single characters below U+0100, and, behind a range test, those above.
+LOW = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+HIGH = r"[ -　](?<=[  -     　])"
+#: White space that is not a single blank: what squeezing has to change once there is none from above U+0100.
+UNEVEN = rf"[ {LOW}]{{2,}}|[{LOW}]"
 #: Marks a cut; squeezed texts have no line breaks, so none of their characters is one.
 CUT = "\n"
 
 # Where a text is cut into units (after the match), and markers that extraction is unsure of.
-# In a squeezed text the only white space is a blank.
-UNIT_END = rf"(?:(?:WARNING:|CAUTION:|NOTE:) +(?=[A-Z]))|(?:(?<=\)\p{{Nd}}\)|\)[a-z]\)) +)|(?:[.。；;！!?？] *(?=[A-Z(]|\p{{Nd}}|{H}))"
+# In a squeezed text the only white space is a single blank, so a cut behind one is found at the blank.
+UNIT_END = rf" (?:(?<=(?:WARNING|CAUTION|NOTE): )(?=[A-Z])|(?<=\)\p{{Nd}}\) |\)[a-z]\) ))|[.;!?] *(?=[A-Z(]|\p{{Nd}}|{H})|[。；！？] *(?=[A-Z(]|\p{{Nd}}|{H})"
 MARKERS = [r"警告[:：]", r"警戒[:：]", r"注意[:：]", r"注[:：]", r"WARNING:", r"CAUTION:", r"NOTE:"]
 
 # The normal form of a squeezed unit, step by step; ``$1$2`` keeps captures, so each step is one pass.
@@ -57,7 +58,7 @@ TILDE_STEPS = [
 ]
 REFERENCES = ["Table", "Step", "Figure", "Fig", "Task", "Section", "Para", "Chapter"]
 LAST_STEPS = [
-    (r"(?<=[A-Za-z0-9]) +(?=[A-Za-z0-9])", ""),
+    (r"([A-Za-z0-9]) +(?=[A-Za-z0-9])", "$1"),
     (r"- +", "-"),
     (r"(\p{Nd}) *- *(\p{Nd})", "$1-$2"),
     (rf"({'|'.join(REFERENCES)})\1+", "$1"),
@@ -71,7 +72,11 @@ def _steps(x: Column, steps: list[tuple[str, str]]) -> Column:
 
 def squeeze(x: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(x, UNEVEN, " "))
+    return F.trim(_blanks(x))
+
+
+def _blanks(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, HIGH, " "), UNEVEN, " ")
 
 
 def strip_space(x: Column) -> Column:
@@ -145,7 +150,7 @@ def normal_form(x: Column) -> Column:
 
 def normalize(unit: Column) -> Column:
     """The form in which extraction artefacts vanish."""
-    return normal_form(F.regexp_replace(unit, UNEVEN, " "))
+    return normal_form(_blanks(unit))
 
 
 def html_escape(x: Column) -> Column:

@@ -11,6 +11,7 @@ import math
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from ..scratch import stored
 #: Fixed value: units less alike than this are never paired.
 PAIR_THRESHOLD = 0.85
 #: Blocks of more cells than this leave their row.
-INLINE_CELLS = 4096
+INLINE_CELLS = 1 << 16
 _NUMBERS = [T.StructField(c, T.IntegerType()) for c in ("old_no", "new_no")]
 OPCODE = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2"))]))
 OPERATION = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), *_NUMBERS]))
@@ -79,24 +80,32 @@ def _steps(old: list[str], new: list[str], inline_cells: int) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(OPCODE)
-def align_opcodes(old: pd.Series, new: pd.Series) -> pd.Series:
+_RUN = pa.list_(pa.struct([("tag", pa.string()), *((c, pa.int32()) for c in ("i1", "i2", "j1", "j2"))]))
+_STEP = pa.list_(pa.struct([("type", pa.string()), *((c, pa.int32()) for c in ("old_no", "new_no", "old_end", "new_end"))]))
+
+
+def _rows(*columns: pa.Array):
+    return zip(*(c.to_pylist() for c in columns), strict=True)
+
+
+@F.arrow_udf(OPCODE)
+def align_opcodes(old: pa.Array, new: pa.Array) -> pa.Array:
     """Equal, replace, delete and insert runs over two arrays of normal forms."""
-    return pd.Series([edits(*as_characters(list(a), list(b))) for a, b in zip(old, new, strict=True)])
+    return pa.array([edits(*as_characters(a, b)) for a, b in _rows(old, new)], _RUN)
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of the characters of two texts that lie in their common runs."""
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pa.array([ratio(x, y) for x, y in _rows(a, b)], pa.float64())
 
 
 def align_units(old: Column, new: Column, inline_cells: int = INLINE_CELLS) -> Column:
     """The steps from one array of normal forms to another; null if a side is null."""
 
-    @F.pandas_udf(STEP)
-    def run(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else _steps(list(a), list(b), inline_cells) for a, b in zip(old, new, strict=True)], dtype=object)
+    @F.arrow_udf(STEP)
+    def run(old: pa.Array, new: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else _steps(a, b, inline_cells) for a, b in _rows(old, new)], _STEP)
 
     return run(old, new)
 
@@ -107,11 +116,11 @@ def _escaped(x: str) -> str:
     return x
 
 
-@F.pandas_udf(HTML)
-def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(HTML)
+def char_diff(old: pa.Array, new: pa.Array) -> pa.Array:
     """Both sides with changed pieces in marked spans; a change that is blank on both sides is not marked. Null if a side is null."""
     rows = []
-    for a, b in zip(old, new, strict=True):
+    for a, b in _rows(old, new):
         if a is None or b is None:
             rows.append((None, None))
             continue
@@ -122,7 +131,7 @@ def char_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
             left.append(f'<span class="deleted-word">{_escaped(x)}</span>' if mark and x else _escaped(x))
             right.append(f'<span class="added-word">{_escaped(y)}</span>' if mark and y else _escaped(y))
         rows.append(("".join(left), "".join(right)))
-    return pd.DataFrame(rows, columns=["old_html", "new_html"])
+    return pa.array(rows, pa.struct([("old_html", pa.string()), ("new_html", pa.string())]))
 
 
 def document_units(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -152,16 +161,15 @@ def paired(pairs: DataFrame, units: DataFrame, wanted: tuple[str, ...] = ("units
     them. Of several rows of a document the first by its arrays counts; ``pair_errors`` names such pairs.
     """
     sides = _sides(pairs)
-    named = sides.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    named = stored(named.select("doc_id", F.ceil(F.col("n") / hot).alias("copies")), "hot_documents")
+    named = sides.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("doc_id", F.ceil(F.col("n") / hot).alias("copies"))
+    some = named.limit(100_001).collect()
     arrays = units.select("doc_id", *wanted)
-    n_hot = named.count()
-    if n_hot:
-        copies = F.broadcast(named) if n_hot <= 100_000 else named
+    if some:
+        copies = F.broadcast(pairs.sparkSession.createDataFrame(some, named.schema)) if len(some) <= 100_000 else stored(named, "hot_documents")
         number = F.coalesce("copies", F.lit(1).cast("long"))
         sides = sides.join(copies, "doc_id", "left").withColumn("copy", F.pmod(F.xxhash64("pair_id", "new"), number)).drop("copies")
         arrays = arrays.join(copies, "doc_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).drop("copies")
-    found = sides.join(arrays, ["doc_id", "copy"] if n_hot else "doc_id").groupBy("pair_id", "old_doc_id", "new_doc_id").agg(F.collect_list(F.struct("new", *wanted)).alias("s"))
+    found = sides.join(arrays, ["doc_id", "copy"] if some else "doc_id").groupBy("pair_id", "old_doc_id", "new_doc_id").agg(F.collect_list(F.struct("new", *wanted)).alias("s"))
     first = lambda new: F.array_min(F.filter("s", lambda x: x["new"] == new))
     found = found.select("pair_id", "old_doc_id", "new_doc_id", first(False).alias("old"), first(True).alias("new")).filter("old is not null and new is not null")
     return found.select("pair_id", "old_doc_id", "new_doc_id", *(F.col(f"{side}.{what}").alias(f"{side}_{what}") for side in ("old", "new") for what in wanted))
@@ -180,18 +188,18 @@ def open_blocks(steps: Column) -> Column:
     return F.transform(blocks, lambda s: F.struct(s["old_no"].alias("old_no"), s["new_no"].alias("new_no"), part("old", s), part("new", s)))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def character_bag(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def character_bag(texts: pa.Array) -> pa.Array:
     """A number for each character of a text and how often it stood before: two bags have as many of them in common as characters."""
     out = []
-    for text in texts:
+    for text in texts.to_pylist():
         seen: Counter = Counter()
         bag = []
         for c in text:
             bag.append((ord(c) << 40) + seen[c])
             seen[c] += 1
         out.append(bag)
-    return pd.Series(out)
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def block_cells(blocks: DataFrame, part: int = 256) -> DataFrame:
