@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, utf8
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TERM = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: What a document adds to the number that a task holds for a term: places in the low bits, documents above them.
+DOC = 1 << 40
 #: Fixed values of the smoothed share: 1 + floor(UNIT * (count + ADDED) / (total + ADDED * terms)).
 UNIT, ADDED = 1_000_000_000, 5
 
 
-def term_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+def term_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """(lang, source, term, n, docs) of every term of the whole texts; a row without term stands for each group that occurs.
 
     A task sums its texts first, ``flush`` terms at a time, so a hot source or term is a few rows of each task.
@@ -34,31 +35,29 @@ def term_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
         import pyarrow as pa
 
         def out():
-            columns = zip(*((lang, source, term, n, d) for (lang, source), own in held.items() for term, (n, d) in own.items()), strict=True)
-            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "source", "term", "n", "docs"])
+            groups, sizes = list(held), [len(own) for own in held.values()]
+            names = [pa.array(np.repeat(np.array([g[k] for g in groups], object), sizes), pa.string()) for k in (0, 1)]
+            terms = pa.array([t for own in held.values() for t in own], pa.binary()).cast(pa.string())
+            both = np.fromiter((v for own in held.values() for v in own.values()), np.int64, sum(sizes))
+            return pa.RecordBatch.from_arrays([*names, terms, pa.array(both & (DOC - 1)), pa.array(both >> 40)], names=["lang", "source", "term", "n", "docs"])
 
         held: dict[tuple[str, str], dict] = {}
-        size = 0
+        size = rows = 0
         for batch in batches:
             for text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = held.setdefault((lang or "", source or ""), {None: [0, 0]})
+                own = held.setdefault((lang or "", source or ""), {None: 0})
                 before = len(own)
-                for term, n in Counter(TERM.findall((text or "").translate(LOWER))).items():
-                    found = own.get(term)
-                    if found is None:
-                        own[term] = [n, 1]
-                    else:
-                        found[0] += n
-                        found[1] += 1
+                for term, n in Counter(TERM.findall(text.lower())).items():
+                    own[term] = own.get(term, 0) + n + DOC
                 size += len(own) - before
-                if size >= flush:
+                rows += 1
+                if size >= flush or rows == 1 << 20:
                     yield out()
-                    held, size = {}, 0
+                    held, size, rows = {}, 0, 0
         if held:
             yield out()
 
-    rows = docs.select(*(F.col(c).cast("string") for c in ("text", "lang", "source"))).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    rows = docs.select(utf8(), *(F.col(c).cast("string") for c in ("lang", "source"))).mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
