@@ -64,6 +64,27 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
+def held_by(lines: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """The rows of ``lines``, of which there are ``total``, whose (host, line) is in ``wanted`` (host, line, rows).
+
+    Lines with more than a thousandth of all rows are fewer than a thousand, so they are broadcast; without
+    them no key of the other join has more rows than that.
+    """
+    side = wanted.select(F.col("host").alias("w_host"), F.col("line").alias("w_line"), "rows")
+    hot = F.col("rows") * 1000 > total
+    same = lambda df: df.host.eqNullSafe(F.col("w_host")) & (df.line == F.col("w_line"))
+    looked = lines.join(F.broadcast(side.filter(hot)), same(lines), "left")
+    rest = looked.filter("w_line is null").select(*lines.columns)
+    return looked.filter("w_line is not null").drop("w_host", "w_line").unionByName(rest.join(side.filter(~hot), same(rest)).drop("w_host", "w_line"))
+
+
+def distinct_documents(lines: DataFrame, many: DataFrame, total: int) -> DataFrame:
+    """(host, line, rows, documents) of the lines of ``many``: of how many documents their rows are."""
+    held = held_by(lines, many, total)
+    each = held.groupBy("host", "line", "doc", "nameless").agg(F.count("*").alias("n"))
+    return each.groupBy("host", "line").agg(F.sum("n").alias("rows"), F.count("*").alias("documents"))
+
+
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
@@ -74,27 +95,21 @@ def quality_rules(
 ) -> DataFrame:
     """Base measures and the verdict of the line frequency, one row per row of ``docs`` (doc_id, text, host).
 
-    A normalised line is over the limit if more than ``most_documents`` documents of one host hold it, however
+    A normalised line is over the limit if more than ``most_documents`` distinct documents of one host hold it, however
     large the host is. Without such lines a document needs ``least_words`` words and ``least_left`` of its own
-    words. Hosts that are null count as one host, documents are rows. A null or
-    empty text has no words and fails the base rule; a null doc_id is kept; repeated rows count as documents.
+    words. Hosts that are null count as one host. Documents are distinct doc_ids; a row without one is a document of
+    its own. A null or empty text has no words and fails the base rule, a long one is read whole; repeated rows come out alike and count once. An
+    empty table gives no row. Other columns are not read.
     """
     own = stored(measured(docs, host), "rules")
-    lines = own.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    over = stored(lines.groupBy("host", "line").agg(F.count("*").alias("documents")).filter(F.col("documents") > most_documents), "over")
-    # Lines with more than a thousandth of all rows are fewer than a thousand, so they are broadcast; without
-    # them no key of the other join has more rows than that.
+    document = F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc"), F.when(F.col("doc_id").isNull(), F.col("row")).alias("nameless")
+    lines = own.select("row", *document, "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    lines = lines.select("row", "doc", "nameless", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    # A line that too few rows hold is in too few documents; of the others, documents are told apart before they are counted.
+    many = stored(lines.groupBy("host", "line").agg(F.count("*").alias("rows")).filter(F.col("rows") > most_documents), "many")
     total = own.agg(F.sum(F.size("lines"))).first()[0] or 0
-    hot = F.col("documents") * 1000 > total
-    limits = over.select(F.col("host").alias("over_host"), F.col("line").alias("over_line"), "documents")
-    same = lines.host.eqNullSafe(F.col("over_host")) & (F.col("line") == F.col("over_line"))
-    looked = lines.join(F.broadcast(limits.filter(hot).drop("documents")), same, "left")
-    rest = looked.filter("over_line is null").select("row", "host", "line", "words")
-    rest = rest.join(limits.filter(~hot), rest.host.eqNullSafe(F.col("over_host")) & (F.col("line") == F.col("over_line")))
-    lost = (
-        looked.filter("over_line is not null").select("row", "words").unionByName(rest.select("row", "words"))
-        .groupBy("row").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"))
-    )
+    over = stored(distinct_documents(lines, many, total).filter(F.col("documents") > most_documents), "over")
+    lost = held_by(lines, over.select("host", "line", "rows"), total).groupBy("row").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"))
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
     return (

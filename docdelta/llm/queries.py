@@ -126,15 +126,15 @@ g AS (SELECT r, i, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w1, w2, w3, w4, w5) AS c FROM g WHERE w5 IS NOT NULL) WHERE c > 1),
 cov AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS i FROM rep, (VALUES (0), (1), (2), (3), (4)) AS v(k)) GROUP BY r),
 l AS (
-  SELECT r, source, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
-  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT r, doc_id, source, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
 ),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE len(ws) > 0 GROUP BY r),
 n AS (
-  SELECT r, source, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(ws)) AS words
+  SELECT r, doc_id, source, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(ws)) AS words
   FROM l WHERE len(ws) > 0 GROUP BY ALL
 ),
-c AS (SELECT source, line FROM n GROUP BY source, line HAVING count(*) > 20),
+c AS (SELECT source, line FROM n GROUP BY source, line HAVING count(DISTINCT doc_id) + count(*) FILTER (WHERE doc_id IS NULL) > 20),
 lost AS (SELECT n.r, sum(words)::BIGINT AS words, count(*) AS lines FROM n JOIN c ON c.source IS NOT DISTINCT FROM n.source AND c.line = n.line GROUP BY n.r),
 m AS (
   SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

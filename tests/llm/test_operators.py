@@ -207,6 +207,16 @@ def test_discriminant_density():
     assert np.allclose(model.scores(x[1]), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
 
 
+def test_rows_of_a_document_count_once(spark):
+    """A document that is there 30 times, 25 rows without an id, and 21 documents hold a line each."""
+    own = " ".join(f"own{k}" for k in range(12))
+    rows = [(1, f"common a\n{own}", "h")] * 30 + [(2, f"common a\n{own}", "h")] + [(None, f"common b\n{own} {k}", None) for k in range(25)]
+    rows += [(100 + k, f"common c\n{own} {k}", "h") for k in range(21)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.n_frequent_lines == (0 if r.doc_id in (1, 2) else 1) for r in got) and len(got) == len(rows)
+    assert all(r.words_left == r.n_words - 2 * r.n_frequent_lines for r in got)
+
+
 def test_quality_rules(spark, edges):
     rows = [(i, f"shared line of the host\nown words {' '.join(f'w{i}x{k}' for k in range(12))}", "a") for i in range(30)] + [(100, "Shared  LINE of the host\n" + "b " * 8, "b"), (101, "shared line of the host\n" * 3, "a")]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
