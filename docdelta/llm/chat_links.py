@@ -95,23 +95,42 @@ PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
 
 def canonical(value: Column) -> Column:
     """JSON of a variant without white space, with sorted keys, and with one form for equal numbers: digits without an
-    exponent or zeros at the end if ten decimal places hold the number, else as a double is written."""
+    exponent or zeros at the end if ten decimal places or 38 digits hold the number, else as a double is written."""
 
     def one(part: Column) -> Column:
-        exact, double = part.try_cast("decimal(38,10)"), part.try_cast("double")
+        exact, whole, double = part.try_cast("decimal(38,10)"), part.try_cast("decimal(38,0)"), part.try_cast("double")
         digits = F.regexp_replace(exact.cast("string"), "[.]?0+$", "")
-        same = F.coalesce(exact.cast("double") == double, F.lit(False))
-        return F.when(~part.rlike("^-?[0-9]"), part).when(same, F.when(exact == 0, "0").otherwise(digits)).otherwise(double.cast("string"))
+        same = lambda number: F.coalesce(number.cast("double") == double, F.lit(False))
+        number = F.when(same(exact), F.when(exact == 0, "0").otherwise(digits)).when(same(whole), whole.cast("string")).otherwise(double.cast("string"))
+        return F.when(~part.rlike("^-?[0-9]"), part).otherwise(number)
 
     return F.array_join(F.transform(F.regexp_extract_all(F.to_json(value), F.lit(PARTS), 0), one), "")
 
 
+def _wrapped(text: Column, front: str, back: str) -> Column:
+    return F.concat(F.lit(front), text, F.lit(back))
+
+
 def _entries(arguments: Column) -> Column:
-    """Keys and canonical values of a JSON object in the order of the keys, repeated ones too; null for anything else."""
-    entries = F.map_entries(F.from_json(arguments, "map<string,variant>"))
+    """Keys and canonical values of a JSON object in the order of the keys, repeated ones too; null for anything else.
+
+    A parser stops behind the first value. Read inside an array and inside an object, a text with more behind its value fails
+    in one of them: what closes the array early is no end of an object, and the other way round.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    listed = F.from_json(_wrapped(arguments, "[", "]"), "array<map<string,variant>>", strict)
+    held = F.from_json(_wrapped(arguments, '{"v":', "}"), "map<string,map<string,variant>>", strict)
+    entries = F.map_entries(F.when(F.size(listed) == 1, F.try_element_at(held, F.lit("v"))))
     return F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(canonical(e["value"]), F.lit("null")).alias("value"))))
 
 
+def _any_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value from its begin to its end, else null."""
+    listed, held = F.try_parse_json(_wrapped(text, "[", "]")), F.try_parse_json(_wrapped(text, '{"v":', "}"))
+    alone = F.variant_get(listed, "$[0]", "variant").isNotNull() & F.variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.variant_get(held, "$.v", "variant"))
+
+
 def _quoted(text: Column) -> Column:
     """A text as JSON; null is null."""
     json = F.to_json(F.array(text))
@@ -122,7 +141,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, block:
     """One row per call (conv_id, call_id, turn, name, arguments, depends_on), linked and ordered.
 
     Results (conv_id, call_id, turn, content) are joined by identifier, the earliest one of each call; ``status``
-    is linked, unanswered or early (its result stands before it). ``arguments`` is a JSON text, checked against
+    is linked, unanswered or early (its result stands before it). ``arguments`` is a JSON text, one object to its end with double
+    quotes and without NaN or infinity (else ``not_an_object``), checked against
     ``schemas`` (name, param, type, required; a null param states a tool, which may have none): ``errors`` lists
     faults. Schemas are flat: the type of a nested value is checked, not its fields. ``level`` is the topological
     level, of any height (null on cycles and behind them), ``place`` the place in the conversation's topological
@@ -158,7 +178,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, block:
     status = F.when(F.col("n_results").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
     whole = F.concat(F.lit("{"), F.array_join(F.transform("m", lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
     fields = {  # in the order of their names
-        "arguments": F.coalesce(whole, canonical(F.try_parse_json("arguments")), F.lit("null")),
+        "arguments": F.coalesce(whole, canonical(_any_json(F.col("arguments"))), F.lit("null")),
         "call_id": _quoted(F.col("call_id")), "conv_id": F.col("conv_id").cast("string"), "level": F.coalesce(F.col("level").cast("string"), F.lit("null")),
         "name": _quoted(F.col("name")), "result": _quoted(F.col("result")), "status": F.concat(F.lit('"'), status, F.lit('"')),
     }

@@ -1,5 +1,6 @@
 """The operators against plain versions on small tables, and their edges."""
 
+import json
 import random
 import re
 import zlib
@@ -207,6 +208,22 @@ def test_discriminant_density():
     assert np.allclose(model.scores(x[1]), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
 
 
+def test_strict_arguments(spark):
+    texts = {
+        '{"x":"q"}': "", ' {"x" : "q"} ': "", '{"x":"q"} trash': "not_an_object", '{"x":"q"}{"x":"r"}': "not_an_object", "{'x':'q'}": "not_an_object", '{"x":NaN}': "not_an_object",
+        '{"x":"q"},{"x":"r"}': "not_an_object", '{"x":"q"}] trash': "not_an_object", '{"x":"q"}} trash': "not_an_object", '{"x":"q"}], [{"x":"r"}': "not_an_object", "[1]": "not_an_object",
+        '{"x":"q","n":123456789012345678901234567890123}': "", '{"x":"q","n":1e30}': "", '{"x":"q","n":1.5}': "type:n", '{"x":"q","x":"r"}': "repeated:x", "": "not_an_object",
+    }
+    calls = spark.createDataFrame([(1, str(k), k, "t", a, None) for k, a in enumerate(texts)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("t", "x", "string", True), ("t", "n", "integer", False)], "name string, param string, type string, required boolean")
+    got = {r.turn: r for r in chat_links.link_calls(calls, results, schemas).collect()}
+    assert [got[k].errors for k in range(len(texts))] == list(texts.values())
+    arguments = [json.loads(got[k].message, object_pairs_hook=list)[0][1] for k in range(len(texts))]
+    assert arguments[:3] == [[("x", "q")], [("x", "q")], None] and arguments[10] == [1] and arguments[11] == [("n", 123456789012345678901234567890123), ("x", "q")]
+    assert arguments[12] == [("n", 10**30), ("x", "q")] and arguments[14] == [("x", "q"), ("x", "r")]
+
+
 def test_rows_of_a_document_count_once(spark):
     """A document that is there 30 times, 25 rows without an id, and 21 documents hold a line each."""
     own = " ".join(f"own{k}" for k in range(12))
