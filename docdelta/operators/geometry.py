@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip_space
 
@@ -61,25 +63,31 @@ def merge_bbox(box: str) -> Column:
     return F.array(F.min(at(0)), F.min(at(1)), F.max(at(2)), F.max(at(3)))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def line_numbers(baselines: pa.Array) -> pa.Array:
+    """For the sorted baselines of a page the line of each: a line goes on while its first baseline is near. One walk
+    over the page, which holds a number; a baseline that is missing is a line of its own."""
+    out = []
+    for page in baselines.to_pylist():
+        first, line, own = None, 0, []
+        for y in page:
+            if y is None or first is None or not abs(y - first) <= BASELINE_GAP:
+                first, line = y, line + 1
+            own.append(line)
+        out.append(own)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def fragments_to_lines(fragments: DataFrame) -> DataFrame:
     """(doc_id, page_idx, line_no, text, bbox) from fragments (doc_id, page_idx, frag_no, str, x, right, baseline, bbox).
 
     Fragments by baseline and x; one belongs to a line while its baseline is near that of the line's first
-    fragment. Each page is gathered once; the fold over it holds only where lines begin, and the windows keep
-    its partitioning.
+    fragment. Each page is gathered once; only its baselines are numbered apart, and the windows keep its partitioning.
     """
     shown = fragments.filter(strip_space(F.col("str")) != "")
-    begin = F.struct(F.array().cast("array<double>").alias("firsts"), F.lit(None).cast("double").alias("first"))
-
-    def fold(s: Column, baseline: Column) -> Column:
-        new = F.coalesce(F.abs(baseline - s["first"]) > BASELINE_GAP, F.lit(True))
-        return F.when(new, F.struct(F.array_append(s["firsts"], baseline).alias("firsts"), baseline.alias("first"))).otherwise(s)
-
     gathered = shown.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("baseline", "x", "frag_no", "str", "right", "bbox"))).alias("f"))
-    firsts = F.aggregate(F.transform("f", lambda f: f["baseline"]), begin, fold, lambda s: s["firsts"])
-    pages = gathered.select(*KEYS, "f", firsts.alias("firsts")).select(*KEYS, "firsts", F.explode("f").alias("e")).select(*KEYS, "firsts", "e.*")
-    # A fragment's line is as far down as there are lines that begin at its baseline or above.
-    numbered = pages.withColumn("line", F.size(F.filter("firsts", lambda f: f <= F.col("baseline")))).drop("firsts")
+    pages = gathered.withColumn("line", line_numbers(F.transform("f", lambda f: f["baseline"])))
+    numbered = pages.select(*KEYS, F.explode(F.arrays_zip("f", "line")).alias("e")).select(*KEYS, "e.f.*", "e.line")
     along = Window.partitionBy(*KEYS, "line").orderBy("x", "baseline", "frag_no")
     gap = (F.col("x") - F.lag("right").over(along) > SPACE_GAP) & ~F.startswith("str", F.lit(" ")) & ~F.endswith(F.lag("str").over(along), F.lit(" "))
     rows = numbered.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "str")).withColumn("at", F.row_number().over(along))

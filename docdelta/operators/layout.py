@@ -113,9 +113,19 @@ def short_documents(pages: DataFrame, text: str) -> DataFrame:
     return pages.groupBy("doc_id").agg((F.max("page_idx") + 1).alias("n_pages")).filter(F.col("n_pages") < b)
 
 
+def short_layouts(layouts: DataFrame, text: str) -> DataFrame:
+    """(doc_id, n_pages) of the layouts that a range goes beyond: an error for them."""
+    _, b = parse_page_range(text)
+    return layouts.select("doc_id", F.size(F.coalesce("pdf_info", F.array())).cast("long").alias("n_pages")).filter(F.col("n_pages") < b)
+
+
 def slice_layouts(layouts: DataFrame, text: str) -> DataFrame:
-    """Layouts with the pages of an inclusive range only, numbered from 0 again."""
+    """Layouts with the pages of an inclusive range only, numbered from 0 again.
+
+    A layout that the range goes beyond is not cut short: it is left out, and ``short_layouts`` names it.
+    """
     a, b = parse_page_range(text)
     number = lambda p: F.coalesce(p["page_idx"], F.lit(0))
     kept = F.filter("pdf_info", lambda p: number(p).between(a - 1, b - 1))
-    return layouts.withColumn("pdf_info", F.transform(kept, lambda p: p.withField("page_idx", number(p) - (a - 1))))
+    whole = layouts.filter(F.size("pdf_info") >= b)
+    return whole.withColumn("pdf_info", F.transform(kept, lambda p: p.withField("page_idx", number(p) - (a - 1))))

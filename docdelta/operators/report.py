@@ -13,10 +13,10 @@ def changed_units(units: DataFrame) -> DataFrame:
 
 
 def search_units(units: DataFrame, query: str) -> DataFrame:
-    """Units that hold the query on either side, ignoring case; queries under two characters find none."""
-    if len(query) < 2:
+    """Units that hold the trimmed query on either side, ignoring case; queries under two characters find none."""
+    q = query.strip().lower()
+    if len(q) < 2:
         return units.limit(0)
-    q = query.lower()
     return units.filter(F.contains(F.lower(F.coalesce("old", F.lit(""))), F.lit(q)) | F.contains(F.lower(F.coalesce("new", F.lit(""))), F.lit(q)))
 
 
@@ -58,21 +58,49 @@ def report_rows(units: DataFrame) -> DataFrame:
 THEMES = {"dark": ("#1e1e1e", "#d4d4d4"), "light": ("#ffffff", "#222222")}
 
 
-def render_reports(units: DataFrame, titles: DataFrame, theme: str = "dark") -> DataFrame:
-    """(pair_id, html) for each row of ``titles`` (pair_id, old_name, new_name, provenance): rows in order under names,
-    counters and provenance. Counters come with the rows, so ``units`` is read and shuffled once."""
-    back, ink = THEMES.get(theme, THEMES["dark"])
+def _counted(units: DataFrame) -> list[Column]:
     n = lambda t: F.count_if(F.col("type") == t)
-    body = report_rows(units).groupBy("pair_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda r: r["row"]), "\n").alias("rows"),
-        n("added").alias("additions"), n("deleted").alias("deletions"), n("modified").alias("modifications"), n("equal").alias("unchanged"),
-    )
-    joined = titles.join(body, "pair_id", "left").fillna(0, ["additions", "deletions", "modifications", "unchanged"])
+    return [n("added").alias("additions"), n("deleted").alias("deletions"), n("modified").alias("modifications"), n("equal").alias("unchanged")]
+
+
+def _head(theme: str) -> Column:
+    """All of a report before its rows, from its names, provenance and counters."""
+    back, ink = THEMES.get(theme, THEMES["dark"])
     name = lambda c: html_escape(F.coalesce(c, F.lit("")))
     note = F.when(name("provenance") == "", "").otherwise(F.concat(F.lit("<p>"), name("provenance"), F.lit("</p>")))
     changes = F.col("additions") + F.col("deletions") + F.col("modifications")
     counters = F.format_string("<p>+%d -%d ~%d =%d, %d units, %d differences</p>", "additions", "deletions", "modifications", "unchanged", changes + F.col("unchanged"), changes)
     both = F.concat(name("old_name"), F.lit(" / "), name("new_name"))
-    head = F.concat(F.lit("<title>"), both, F.lit(f'</title><body style="background:{back};color:{ink}"><h1>'), both, F.lit("</h1>"))
-    table = F.concat(F.lit("<table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"))
-    return joined.select("pair_id", F.concat(F.lit("<!DOCTYPE html><html>"), head, counters, note, table).alias("html"))
+    body = F.lit(f'</title><body style="background:{back};color:{ink}"><h1>')
+    return F.concat(F.lit("<!DOCTYPE html><html><title>"), both, body, both, F.lit("</h1>"), counters, note, F.lit("<table>"))
+
+
+_TAIL = "</table></body></html>"
+_COUNTERS = ["additions", "deletions", "modifications", "unchanged"]
+
+
+def _rows_text() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row"))), lambda r: r["row"]), "\n")
+
+
+def render_reports(units: DataFrame, titles: DataFrame, theme: str = "dark") -> DataFrame:
+    """(pair_id, html) for each row of ``titles`` (pair_id, old_name, new_name, provenance): rows in order under names,
+    counters and provenance. Counters come with the rows, so ``units`` is read and shuffled once. For pairs of any size see ``report_chunks``."""
+    body = report_rows(units).groupBy("pair_id").agg(_rows_text().alias("rows"), *_counted(units))
+    joined = titles.join(body, "pair_id", "left").fillna(0, _COUNTERS)
+    return joined.select("pair_id", F.concat(_head(theme), F.coalesce("rows", F.lit("")), F.lit(_TAIL)).alias("html"))
+
+
+def report_chunks(units: DataFrame, titles: DataFrame, rows_a_chunk: int = 1000, theme: str = "dark") -> DataFrame:
+    """(pair_id, chunk_no, html): the reports in pieces, which joined in order are what ``render_reports`` gives.
+
+    Chunk 0 is the head with the counters, the last one the end; each between holds ``rows_a_chunk`` rows at most, so no value
+    and no group grows with its pair.
+    """
+    chunk = F.floor(F.col("seq") / rows_a_chunk) + 1
+    bodies = report_rows(units).groupBy("pair_id", chunk.alias("chunk_no")).agg(_rows_text().alias("rows"), F.min("seq").alias("first"), *_counted(units))
+    totals = bodies.groupBy("pair_id").agg(*(F.sum(c).alias(c) for c in _COUNTERS), F.max("chunk_no").alias("chunks"))
+    heads = titles.join(totals, "pair_id", "left").fillna(0, [*_COUNTERS, "chunks"])
+    ends = heads.select("pair_id", F.inline(F.array(F.struct(F.lit(0).cast("long").alias("chunk_no"), _head(theme).alias("html")), F.struct((F.col("chunks") + 1).alias("chunk_no"), F.lit(_TAIL).alias("html")))))
+    middles = bodies.join(titles.select("pair_id").distinct(), "pair_id", "left_semi")
+    return ends.unionByName(middles.select("pair_id", "chunk_no", F.concat(F.when(F.col("first") > 0, "\n").otherwise(""), "rows").alias("html")))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, layout, metrics, report
+from ..operators import align, layout, metrics, report, search
+from ..sources.diff_store import COUNTERS, DiffStore
+from ..sources.layouts import write_diff, write_reports
+from ..sources.unit_store import UnitStore
 from . import fixtures
 from .registry import documents, query
 from .text_queries import SIDES, UNITS, escape_sql, noise_sql, norm_sql
@@ -55,8 +58,6 @@ def stored_diff(spark, d):
     """Diff units and counters as they come back from their tables."""
     path = fixtures.scratch(spark, "diff")
     pairs, units = _sides(spark, d)
-    from ..sources.layouts import write_diff
-
     write_diff(align.compare_pairs(pairs, units), align.compare_counts(pairs, units), path)
     whole = spark.read.parquet(f"{path}/diff_stats").filter("total > 0").select("pair_id", "total")
     rows = spark.read.parquet(f"{path}/diff_units").join(whole, "pair_id").filter("seq < total")
@@ -124,6 +125,16 @@ def search_units(spark, d):
     return report.search_units(_units(spark, d), "TH").select("pair_id", "seq")
 
 
+@query(f"""{_DIFF} SELECT DISTINCT w.query, pair_id, seq::INT AS seq FROM q, (VALUES ('TH'), (' entry 1'), ('note'), ('rev 2.'), ('90℃'), ('x')) AS w(query)
+WHERE length(trim(w.query)) > 1 AND (contains(lower(coalesce(old, '')), lower(trim(w.query))) OR contains(lower(coalesce(new, '')), lower(trim(w.query))))""")
+def indexed_search(spark, d):
+    """The same by an index, for several queries at once."""
+    path = fixtures.scratch(spark, "search")
+    search.write_search_index(_units(spark, d), path)
+    queries = spark.createDataFrame([(q,) for q in ("TH", " entry 1", "note", "rev 2.", "90℃", "x", "TH")], "query string")
+    return search.search_all(spark, path, queries)
+
+
 _NUMBERED = """n AS (SELECT *, CASE WHEN old IS NOT NULL THEN sum((old IS NOT NULL)::INT) OVER w END AS o, CASE WHEN new IS NOT NULL THEN sum((new IS NOT NULL)::INT) OVER w END AS n
   FROM {0} WINDOW w AS (PARTITION BY pair_id ORDER BY seq))"""
 
@@ -163,10 +174,13 @@ SELECT labels.pair_id, '<!DOCTYPE html><html><title>old &lt;' || labels.pair_id
 FROM labels LEFT JOIN st USING (pair_id)"""
 
 
-def _reports(spark, d):
+def _titles(spark, d):
     name = lambda a, b: F.concat(F.lit(a), F.col("pair_id").cast("string"), F.lit(b))
-    titles = fixtures.labels(documents(spark, d)).select("pair_id", name("old <", ">").alias("old_name"), name("new & ", "").alias("new_name"), F.col("label").alias("provenance"))
-    return report.render_reports(_units(spark, d), titles)
+    return fixtures.labels(documents(spark, d)).select("pair_id", name("old <", ">").alias("old_name"), name("new & ", "").alias("new_name"), F.col("label").alias("provenance"))
+
+
+def _reports(spark, d):
+    return report.render_reports(_units(spark, d), _titles(spark, d))
 
 
 @query(_HTML)
@@ -177,13 +191,25 @@ def render_reports(spark, d):
 @query(_HTML)
 def stored_reports(spark, d):
     """The reports as they come back from their table."""
-    from ..sources.layouts import write_reports
-
     path = fixtures.scratch(spark, "reports")
     write_reports(_reports(spark, d), path)
     return spark.read.parquet(path)
 
 
+@query(f"""{_ROWS}, {SIDES},
+st AS (SELECT pair_id, {_STATS} FROM rws GROUP BY pair_id),
+ch AS (SELECT pair_id, seq // 50 + 1 AS chunk_no, CASE WHEN seq // 50 > 0 THEN chr(10) ELSE '' END || string_agg(row_html, chr(10) ORDER BY seq) AS html FROM rws GROUP BY pair_id, seq // 50),
+al AS (SELECT pair_id, chunk_no, html FROM ch
+  UNION ALL SELECT labels.pair_id, 0, '<!DOCTYPE html><html><title>old &lt;' || labels.pair_id || '&gt; / new &amp; ' || labels.pair_id
+    || '</title><body style="background:#1e1e1e;color:#d4d4d4"><h1>old &lt;' || labels.pair_id || '&gt; / new &amp; ' || labels.pair_id || '</h1><p>+' || coalesce(additions, 0)
+    || ' -' || coalesce(deletions, 0) || ' ~' || coalesce(modifications, 0) || ' =' || coalesce(unchanged, 0) || ', ' || coalesce(total, 0) || ' units, ' || coalesce(diff_count, 0)
+    || ' differences</p><p>' || label || '</p><table>' FROM labels LEFT JOIN st USING (pair_id)
+  UNION ALL SELECT labels.pair_id, coalesce(max(chunk_no), 0) + 1, '</table></body></html>' FROM labels LEFT JOIN ch USING (pair_id) GROUP BY labels.pair_id)
+SELECT pair_id, chunk_no::BIGINT AS chunk_no, html FROM al""")
+def report_chunks(spark, d):
+    return report.report_chunks(_units(spark, d), _titles(spark, d), rows_a_chunk=50)
+
+
 @query("SELECT doc_id AS pair_id, true AS old_found, EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = a.doc_id + 7) AS new_found FROM documents a")
 def resolve_pairs(spark, d):
     docs = documents(spark, d)
@@ -205,3 +231,32 @@ def regression_gate(spark, d):
     stats = metrics.diff_stats(_units(spark, d)).join(labels, "pair_id")
     limits = labels.select("label").distinct().select("label", F.lit(15).alias("min_units"), F.lit(4).alias("max_unpaired"), F.lit(6).alias("max_diffs"))
     return metrics.regression_gate(stats, limits)
+
+
+@query(f"{_DIFF} SELECT documents.doc_id AS pair_id, {_STATS} FROM documents LEFT JOIN q ON pair_id = documents.doc_id GROUP BY documents.doc_id")
+def stored_units(spark, d):
+    """Counters from units that are kept by content: the second call computes only what is new."""
+    pairs, layouts = fixtures.revisions(documents(spark, d))
+    texts = layout.document_text(layouts)
+    store = UnitStore(spark, fixtures.scratch_name("units"), fixtures.scratch(spark, "units"), buckets=8)
+    store.put(texts.filter("doc_id % 4 < 2"))
+    store.put(texts)
+    return align.compare_counts(pairs, store.units())
+
+
+@query(f"""{_DIFF}, {SIDES}, s AS (SELECT pair_id, {_STATS} FROM q GROUP BY pair_id),
+a AS (SELECT l.pair_id, label, coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions, coalesce(modifications, 0) AS modifications, coalesce(unchanged, 0) AS unchanged
+  FROM labels l LEFT JOIN s USING (pair_id) WHERE l.pair_id % 11 <> 3)
+SELECT label, count(*) AS pairs, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, sum(modifications)::BIGINT AS modifications,
+  sum(unchanged)::BIGINT AS unchanged FROM a GROUP BY label""")
+def maintained_counters(spark, d):
+    """Counters by label after a load with other figures for every third pair, their correction, a removal, and a replay."""
+    docs = documents(spark, d)
+    stats = align.compare_counts(*_sides(spark, d)).join(fixtures.labels(docs), "pair_id").select("pair_id", "label", *COUNTERS)
+    store = DiffStore(spark, fixtures.scratch(spark, "counters"))
+    third = F.col("pair_id") % 3 == 0
+    store.commit("load", stats.withColumn("additions", F.when(third, F.col("additions") + 7).otherwise(F.col("additions"))))
+    store.commit("mend", stats.filter(third), stats.filter("pair_id % 11 = 3 and pair_id % 3 <> 0").select("pair_id"))
+    store.commit("drop", stats.limit(0), stats.filter("pair_id % 11 = 3").select("pair_id"))
+    store.commit("mend", stats.filter(third))
+    return store.labels()

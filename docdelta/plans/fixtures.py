@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import pair_provenance, source_label, split_units
@@ -16,6 +18,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def scratch_name(name: str) -> str:
+    """A new table name."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def layouts(docs: DataFrame) -> DataFrame:
     """Line i of a text on page i div 8; lines 2k and 2k + 1 share their top edge; kinds by (doc_id + i)."""
     line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', if(k = 5, 'table', 'text'), 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>head</td></tr><tr><td>', x, '</td></tr></table>'), null))))"

@@ -91,11 +91,18 @@ def table_start_row(spark, d):
     return layout.document_text(rows, fixtures.every_page(rows, -1.0, 1000.0), lines).select("doc_id", "text")
 
 
-@query(f"""{_TEXTS.replace("FROM r WHERE", "FROM r WHERE page_no BETWEEN 1 AND 2 AND")} SELECT doc_id, text FROM texts""")
+@query(f"""{_TEXTS.replace("FROM r WHERE", "FROM r WHERE page_no BETWEEN 1 AND 2 AND")} SELECT doc_id, text FROM texts
+WHERE doc_id IN (SELECT doc_id FROM documents WHERE len(string_split(coalesce(text, ''), chr(10))) > 16)""")
 def slice_layouts(spark, d):
     return layout.document_text(layout.slice_layouts(fixtures.layouts(documents(spark, d)), "2-3")).select("doc_id", "text")
 
 
+@query("""SELECT doc_id, ((len(string_split(coalesce(text, ''), chr(10))) + 7) // 8)::BIGINT AS n_pages FROM documents
+WHERE len(string_split(coalesce(text, ''), chr(10))) <= 16""")
+def short_layouts(spark, d):
+    return layout.short_layouts(fixtures.layouts(documents(spark, d)), "2-3")
+
+
 _PAGES = """pg AS (SELECT *, CASE WHEN b THEN 8.281 * 72 ELSE 612 END::DOUBLE AS width, CASE WHEN b THEN 11.427 * 72 ELSE 792 END::DOUBLE AS height
   FROM (SELECT *, (doc_id + page_idx) % 3 = 1 AS b FROM (SELECT doc_id, unnest(range(0, doc_id % 4 + 1)) AS page_idx FROM documents)))"""
 _GEO = f"""WITH {_PAGES},
