@@ -27,7 +27,7 @@ from .license_scan import words_of
 PASSAGE, STRIDE, ANSWER = 32, 16, 6
 #: Words in a row that make a place a candidate; share of each passage's squared length that its space keeps at least.
 GRAM, KEPT = 3, 0.5
-HITS = "doc_id long, text_hash long, item_key long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long"
+HITS = "doc_id long, text_hash long, item_key long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long, by_latent boolean, by_runs boolean"
 
 
 def windows(n: int, size: int = PASSAGE, stride: int = STRIDE) -> Iterator[tuple[int, int]]:
@@ -306,6 +306,7 @@ def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int
                 words = words_of(text)
                 numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 best: dict[tuple, tuple] = {}
+                paths: dict[tuple, set] = {}
 
                 def verify(start: int, end: int, p: int, near: float | None) -> None:
                     passage, item = index.passages[p], index.owner[p]
@@ -321,6 +322,7 @@ def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int
                     answer, n = index.answers[p], index.n_words[p]
                     found = lcs_length(answer, words[max(0, start - n) : max(0, end + n)]) == len(answer)
                     if share >= (least if len(passage) >= 4 else 1) or found:
+                        paths.setdefault(item, set()).add(near is not None)
                         if near is None:
                             near = index.cosine(numbers[max(0, start) : max(0, end)], passage)
                         row = (share, near, found, low, high)
@@ -331,18 +333,20 @@ def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int
                 for start, p in index.shared(numbers):
                     verify(start, start + len(index.passages[p]), p, None)
                 for item, (share, near, found, low, high) in best.items():
-                    yield doc_id, text_hash, *item, max(0.0, min(1.0, near)), share, found, low, high - 1
+                    yield doc_id, text_hash, *item, max(0.0, min(1.0, near)), share, found, low, high - 1, True in paths[item], False in paths[item]
 
         parts[-1:] = [stored(x, "hits") for x in parts[-1:]]  # done before the next block is built
         parts.append(arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8()), run, HITS))
     found = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], HITS)
     # Passages of an item may lie in several blocks.
     best = F.max(F.struct("lcs", "cosine", "answer_found", "first_word", "last_word")).alias("best")
-    return found.groupBy("doc_id", "text_hash", "item_key", "item_id").agg(best).select("doc_id", "text_hash", "item_key", "item_id", "best.*")
+    paths = [F.max(c).alias(c) for c in ("by_latent", "by_runs")]
+    return found.groupBy("doc_id", "text_hash", "item_key", "item_id").agg(best, *paths).select("doc_id", "text_hash", "item_key", "item_id", "best.*", "by_latent", "by_runs")
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word.
+    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word, and which
+    search found it: by_latent (windows near a passage), by_runs (words in a row).
 
     ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). Candidates are windows near
     a passage in the latent space (``cosine``, ``rank``) and places that share ``GRAM`` words in a row with one. A
@@ -352,7 +356,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     is known by its id and text, an item by its id and text too, so that an id with two texts is two items.
     Repeated rows count once. Passages with fewer than four words must stand in full, word after word.
     """
-    return found_rows(docs, items, **options).select("doc_id", "item_id", "cosine", "lcs", "answer_found", "first_word", "last_word")
+    return found_rows(docs, items, **options).select("doc_id", "item_id", "cosine", "lcs", "answer_found", "first_word", "last_word", "by_latent", "by_runs")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

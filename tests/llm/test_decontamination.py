@@ -26,3 +26,24 @@ def test_all_exact_copies(spark, options):
     assert len(found) == len(got)
     assert set(got) == {(k, k) for k, _ in items} | {(900, 8)}
     assert all(r.lcs == 1 and 0 <= r.cosine <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_rewordings_are_found_in_the_latent_space(spark, size):
+    """Every third word is another one, so no three words in a row are left: 9 of 10 are found, by the latent search only."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common = [word() for _ in range(400)]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(n)]
+    items = [(k, text(rng.randint(24, 60))) for k in range(size)]
+    rows = [(k, " ".join([*text(rng.randint(0, 200)), *(word() if n % 3 == 2 else w for n, w in enumerate(own)), *text(rng.randint(0, 200))])) for k, own in items]
+    rows += [(10_000 + k, " ".join(text(300))) for k in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(own)) for k, own in items], "item_id long, text string")
+    hits = decontamination.benchmark_hits(docs, benchmark).collect()
+    right = [r for r in hits if r.doc_id == r.item_id]
+    assert len(right) >= 0.9 * size and len(hits) == len(right)
+    assert all(r.by_latent for r in right) and sum(not r.by_runs for r in right) >= 0.9 * size
+    assert all(r.lcs >= 0.6 or r.answer_found for r in right)
+    without = decontamination.benchmark_hits(docs, benchmark, cosine=5).collect()
+    assert len(without) < 0.1 * size and all(r.by_runs and not r.by_latent for r in without)
