@@ -66,9 +66,13 @@ def id_statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
 
 
 class Shard:
-    """Inverted index of a bounded run of documents; each document's query is its best terms."""
+    """BM25 index of a bounded run of documents, each of which is a query with all of its terms.
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, terms: int):
+    Terms that most postings are of make a dense part, one matrix product for all pairs of documents of the shard; the others are postings, which
+    a seed's query goes through. Both parts add up to the exact score.
+    """
+
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, dense: int = 1024):
         doc, term, tf = [], [], []
         for d, x in enumerate(ids):
             t, n = np.unique(x, return_counts=True)
@@ -78,32 +82,44 @@ class Shard:
         doc, term, tf = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (doc, term, tf))
         length = np.array([len(x) for x in ids], np.float32)[doc] if len(doc) else np.empty(0, np.float32)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))).astype(np.float32)
-        # Each document's query: its terms of greatest weight among those that another document here has too.
         here = np.bincount(term, minlength=VOCABULARY)
-        shared = here[term] > 1
+        shared = (here[term] > 1) & (weight > 0)  # what no other document here has finds none
         doc, term, weight = doc[shared], term[shared], weight[shared]
-        order = np.lexsort((term, -weight, doc))
-        starts = np.searchsorted(doc[order], np.arange(len(ids)))
-        rank = np.arange(len(order)) - starts[doc[order]]
-        best = order[rank < terms]
-        self.query_of, self.query = np.searchsorted(doc[best], np.arange(len(ids) + 1)), term[best]
-        asked = np.zeros(VOCABULARY, bool)
-        asked[self.query] = True
-        keep = asked[term]
-        doc, term, weight = doc[keep], term[keep], weight[keep]
+        often = np.argsort(-here, kind="stable")[:dense]
+        column = np.full(VOCABULARY, -1)
+        column[often] = np.arange(len(often))
+        there = column[term] >= 0
+        table = np.zeros((len(ids), len(often)), np.float32)
+        table[doc[there], column[term[there]]] = weight[there]
+        self.scores = (table > 0).astype(np.float32) @ table.T  # row: the seed
+        doc, term, weight = doc[~there], term[~there], weight[~there]
+        self.query_of, self.query = np.searchsorted(doc, np.arange(len(ids) + 1)), term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.size = len(ids)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best score first, lower number first on ties."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[self.query_of[seed] : self.query_of[seed + 1]].tolist()]
-        if not spans:
-            return np.empty(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+    def scored(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document of the shard for the seed's terms."""
+        score = self.scores[seed].astype(np.float64)
+        terms = self.query[self.query_of[seed] : self.query_of[seed + 1]]
+        if len(terms):
+            low = self.at[terms]
+            counts = self.at[terms + 1] - low
+            span = np.repeat(low + counts - np.cumsum(counts), counts) + np.arange(counts.sum())
+            score += np.bincount(self.doc[span], self.weight[span], self.size)
+        return score
+
+    def neighbours(self, seed: int, among: np.ndarray | None = None, first: int = 64) -> Iterator[int]:
+        """Documents of ``among`` that share a term with the seed, best score first, lower number first on ties."""
+        score = self.scored(seed)
+        found = np.flatnonzero(score > 0) if among is None else np.flatnonzero(among & (score > 0))
+        if len(found) > 4 * first:  # few are needed, as a rule
+            least = np.partition(score[found], len(found) - first)[len(found) - first]
+            top = found[score[found] >= least]
+            yield from top[np.lexsort((top, -score[top]))].tolist()
+            found = found[score[found] < least]
+        yield from found[np.lexsort((found, -score[found]))].tolist()
 
 
 def _order(shard: Shard, lengths: np.ndarray, window: int, used: int) -> Iterator[int]:
@@ -125,8 +141,7 @@ def _order(shard: Shard, lengths: np.ndarray, window: int, used: int) -> Iterato
             # crosses its border is the seed of the next window.
             follow = None
             if filled:
-                near = shard.neighbours(seed)
-                for d in near[unused[near]].tolist():
+                for d in shard.neighbours(seed, unused.copy()):
                     if filled + int(lengths[d]) >= window:
                         follow = d
                         break
@@ -136,7 +151,7 @@ def _order(shard: Shard, lengths: np.ndarray, window: int, used: int) -> Iterato
             seed = follow
 
 
-def packed_pieces(tokens: DataFrame, window: int = 1024, terms: int = 8, shard_tokens: int = 2_000_000) -> DataFrame:
+def packed_pieces(tokens: DataFrame, window: int = 1024, shard_tokens: int = 2_000_000, shard_documents: int = 4096) -> DataFrame:
     """Pieces of sequences of at most ``window`` tokens from a stored table (doc_id, ids).
 
     Every id lies in exactly one piece. Sequences are full, but for the last ones of a partition: what is left
@@ -163,7 +178,7 @@ def packed_pieces(tokens: DataFrame, window: int = 1024, terms: int = 8, shard_t
         def shard() -> None:
             nonlocal sequence, offset, last
             lengths = np.array([len(x) for _, x in held], np.int64)
-            index = Shard([x for _, x in held], idf, mean, terms)
+            index = Shard([x for _, x in held], idf, mean)
             for d in _order(index, lengths, window, offset):
                 doc_id, ids = held[d]
                 start = 0
@@ -190,7 +205,7 @@ def packed_pieces(tokens: DataFrame, window: int = 1024, terms: int = 8, shard_t
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((doc_id, np.frombuffer(ids, "<u2")))
                 size += len(ids) // 2
-                if size >= shard_tokens:
+                if size >= shard_tokens or len(held) == shard_documents:
                     shard()
                     held, size = [], 0
                     if out:
@@ -217,11 +232,11 @@ def packed_pieces(tokens: DataFrame, window: int = 1024, terms: int = 8, shard_t
     return tokens.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def retrieval_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = 1024, terms: int = 8, shard_tokens: int = 2_000_000) -> DataFrame:
+def retrieval_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = 1024, shard_tokens: int = 2_000_000, shard_documents: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``docs`` (doc_id, text): a null or empty text is its end id alone. A null doc_id is kept, and repeated
-    rows are packed once each; an empty table gives no piece. ``terms`` is how many terms a seed's query has.
-    Documents that share none of them still follow, in table order, so all are packed.
+    ``docs`` (doc_id, text): a null or empty text is its end id alone, a long one is packed whole. A null doc_id is kept, and repeated
+    rows are packed once each; an empty table gives no piece. A seed's neighbours are looked for in its own shard, by all of its terms; a shard ends at
+    ``shard_tokens`` or ``shard_documents``. Documents that share no term still follow, in table order, so all are packed. Extra columns are not read.
     """
-    return packed_pieces(stored(encoded(docs, tokenizer), "tokens"), window, terms, shard_tokens)
+    return packed_pieces(stored(encoded(docs, tokenizer), "tokens"), window, shard_tokens, shard_documents)

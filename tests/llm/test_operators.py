@@ -148,12 +148,39 @@ def test_bm25_neighbours():
     df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
     idf = np.log1p((25 - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = float(np.mean([len(x) for x in ids]))
-    shard = packing.Shard(ids, idf, mean, terms=10_000)
+    shard = packing.Shard(ids, idf, mean, dense=40)
     weigh = lambda x, t: idf[t] * (tf := int((x == t).sum())) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
     for seed in range(25):
         want = np.array([sum(weigh(x, t) for t in np.unique(ids[seed])) for x in ids])
-        got = shard.neighbours(seed)
-        assert np.all(np.diff(want[got]) <= 1e-4) and set(got.tolist()) >= {k for k in range(25) if k != seed and want[k] > 1e-6}
+        got = list(shard.neighbours(seed, first=2))
+        assert np.allclose(shard.scored(seed), want, atol=1e-3) and len(got) == len(set(got))
+        assert np.all(np.diff(want[got]) <= 1e-4) and set(got) >= {k for k in range(25) if k != seed and want[k] > 1e-6}
+
+
+def test_neighbours_fill_a_window():
+    """The order of a shard against a plain version: the best unused neighbours of the seed until the window is full."""
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(1, 60, rng.integers(2, 40)) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shard = packing.Shard(ids, idf, float(np.mean([len(x) for x in ids])), dense=20)
+    lengths = np.array([len(x) for x in ids])
+    left, want, filled, seed = set(range(60)), [], 5, None
+    while left:
+        seed = min(left) if seed is None else seed
+        left.remove(seed)
+        want.append(seed)
+        filled, follow = (filled + lengths[seed]) % 64, None
+        scores = shard.scored(seed)
+        for d in sorted((d for d in left if scores[d] > 0), key=lambda d: (-scores[d], d)) if filled else ():
+            if filled + lengths[d] >= 64:
+                follow = d
+                break
+            left.remove(d)
+            want.append(d)
+            filled += lengths[d]
+        seed = follow
+    assert list(packing._order(shard, lengths, 64, 5)) == want
 
 
 def test_decontamination(spark, edges):
