@@ -260,3 +260,21 @@ def maintained_counters(spark, d):
     store.commit("drop", stats.limit(0), stats.filter("pair_id % 11 = 3").select("pair_id"))
     store.commit("mend", stats.filter(third))
     return store.labels()
+
+
+@query(f"""WITH {UNITS},
+n AS (SELECT doc_id, count(*) AS n, doc_id % count(*) AS c FROM u GROUP BY doc_id),
+m AS (SELECT u.doc_id, unit_no AS i, n, c, c >= n - c AS first_stays, unit_no < c AS first FROM u JOIN n USING (doc_id))
+SELECT doc_id AS pair_id, 'equal' AS type, i::INT AS old_no, (CASE WHEN first THEN n - c + i ELSE i - c END)::INT AS new_no FROM m WHERE first = first_stays
+UNION ALL SELECT doc_id, 'deleted', i::INT, NULL FROM m WHERE first <> first_stays
+UNION ALL SELECT doc_id, 'added', NULL, (CASE WHEN first THEN n - c + i ELSE i - c END)::INT FROM m WHERE first <> first_stays""")
+def moved_units(spark, d):
+    """Units that repeat, and of which one part moved: the longer part stays, of equal ones the first; the other goes and comes."""
+    return align.compare_pairs(*fixtures.moved_units(documents(spark, d))).select("pair_id", "type", "old_no", "new_no")
+
+
+@query(f"WITH {UNITS} SELECT doc_id AS pair_id, count(*) AS modifications, count(*) AS total FROM u GROUP BY doc_id")
+def changed_blocks(spark, d):
+    """Pairs of which each is one block of changed units, as large as the square of its units."""
+    counts = align.compare_counts(*fixtures.changed_units(documents(spark, d)))
+    return counts.filter("total > 0").select("pair_id", "modifications", "total")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pair_provenance, source_label, split_units
+from ..functions.text import normal_forms, pair_provenance, source_label, split_units
 from ..scratch import scratch  # noqa: F401
 from ..sources.layouts import PAGES
 
@@ -25,7 +25,7 @@ def scratch_name(name: str) -> str:
 
 def layouts(docs: DataFrame) -> DataFrame:
     """Line i of a text on page i div 8; lines 2k and 2k + 1 share their top edge; kinds by (doc_id + i)."""
-    line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', if(k = 5, 'table', 'text'), 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>head</td></tr><tr><td>', x, '</td></tr></table>'), null))))"
+    line = "named_struct('bbox', array(50D, y, 550D, y + 12), 'spans', array(named_struct('type', case k when 5 then 'table' when 2 then 'inline_equation' else 'text' end, 'content', if(k = 5, null, x), 'html', if(k = 5, concat('<table><tr><td>head</td></tr><tr><td>', x, '</td></tr></table>'), null))))"
     block = f"""named_struct('type', case k when 0 then 'list' when 3 then 'image' when 5 then 'table' else 'text' end, 'bbox', array(50D, y, 550D, y + 12), 'index', cast(i % 3 as int),
       'lines', if(k in (0, 5), null, array({line})), 'blocks', if(k in (0, 5), array(named_struct('type', 'text', 'lines', array({line}))), null))"""
     lines = docs.select("doc_id", F.col("source").alias("_backend"), F.col("lang").alias("_version_name"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "x"))
@@ -81,6 +81,34 @@ def revisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, layouts
 
 
+def numbered_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, u): the units of every text with their numbers in front; every fifth one is the same notice."""
+    made = F.transform(split_units(F.coalesce("text", F.lit(""))), lambda u, i: F.when(i % 5 == 4, F.lit("Repeated notice.")).otherwise(F.concat(F.lit("Entry "), i.cast("string"), F.lit(", "), u, F.lit("."))))
+    return docs.filter("doc_id is not null").select("doc_id", made.alias("u"))
+
+
+def moved_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, units): the new side has the second part of the units, from a place that follows from doc_id, before the first."""
+    cut = F.when(F.size("u") > 0, F.pmod(F.col("doc_id"), F.greatest(F.size("u"), F.lit(1)))).otherwise(0).cast("int")
+    rows = numbered_units(docs).withColumn("cut", cut)
+    new = F.concat(F.slice("u", F.col("cut") + 1, F.greatest(F.size("u"), F.lit(1))), F.slice("u", F.lit(1), F.col("cut")))
+    return _both_sides(rows, F.col("u"), new)
+
+
+def changed_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, units): every unit differs between the sides in one digit, so each pair is one block of all its units."""
+    rows = docs.filter("doc_id is not null").select("doc_id", F.transform(split_units(F.coalesce("text", F.lit(""))), lambda u, i: F.concat(F.lit("Entry "), F.md5(i.cast("string")), F.lit(" "), u)).alias("u"))
+    side = lambda k: F.transform("u", lambda u: F.concat(u, F.lit(f" rev {k}")))
+    return _both_sides(rows, side(1), side(2))
+
+
+def _both_sides(rows: DataFrame, old, new) -> tuple[DataFrame, DataFrame]:
+    sides = F.array(F.struct(F.lit(0).alias("side"), old.alias("units")), F.struct(F.lit(1).alias("side"), new.alias("units")))
+    units = rows.select((2 * F.col("doc_id")).alias("doc_id"), F.inline(sides)).select((F.col("doc_id") + F.col("side")).alias("doc_id"), "units").withColumn("norms", normal_forms(F.col("units")))
+    pairs = rows.select(F.col("doc_id").alias("pair_id"), (2 * F.col("doc_id")).alias("old_doc_id"), (2 * F.col("doc_id") + 1).alias("new_doc_id"))
+    return pairs, units
+
+
 def natural_pairs(docs: DataFrame, block: int = 1024) -> DataFrame:
     """Documents with the same first line, in blocks of ids; the smallest id is the old side, of ``block`` - 1 pairs at most."""
     first_line = F.substring_index("text", "\n", 1)

@@ -34,9 +34,20 @@ def parsed_layouts(spark, d):
     return layout.document_text(sources.parse_layouts(json, "json")).select("doc_id", "text")
 
 
+@query(f"{_TEXTS} SELECT doc_id, text FROM texts")
+def read_layout_files(spark, d):
+    """One JSON file for each layout, written to the shared folder and read back; its folder names the document."""
+    path = fixtures.scratch(spark, "layout_files")
+    made = fixtures.layouts(documents(spark, d))
+    made.select(F.col("doc_id").alias("file_id"), "_backend", "_version_name", "pdf_info").write.partitionBy("file_id").json(path)
+    read = sources.read_layouts(spark, f"{path}/*/*.json")
+    named = read.withColumn("doc_id", F.regexp_extract("doc_id", "file_id=([0-9]+)", 1).cast("long"))
+    return layout.document_text(named).select("doc_id", "text")
+
+
 _SPANS = f"""{_LAYOUT} SELECT doc_id, source AS backend, lang AS version, page_no::INT AS page_no, block_no::INT AS block_no,
   CASE k WHEN 0 THEN 'list' WHEN 3 THEN 'image' WHEN 5 THEN 'table' ELSE 'text' END AS block_type, 0 AS line_no, 0 AS span_no,
-  CASE WHEN k = 5 THEN 'table' ELSE 'text' END AS type, CASE WHEN k = 5 THEN '' ELSE x END AS content,
+  CASE k WHEN 5 THEN 'table' WHEN 2 THEN 'inline_equation' ELSE 'text' END AS type, CASE WHEN k = 5 THEN '' ELSE x END AS content,
   CASE WHEN k = 5 THEN '<table><tr><td>head</td></tr><tr><td>' || x || '</td></tr></table>' ELSE '' END AS html, y::DOUBLE AS y0 FROM r"""
 
 
