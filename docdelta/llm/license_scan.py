@@ -50,8 +50,30 @@ NOTICES = [
       for name, kind, versions in (("gpl", "", "23"), ("lgpl", "lesser ", "23"), ("agpl", "affero ", "3")) for version in versions),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("v 2",)),
     *((label, f"spdx license identifier {words}", (f"identifier {words}",)) for label, words in (("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("isc", "isc"), ("mpl-2", "mpl 2 0"))),
+    ("mit", "licensed under the terms of the mit license", ("the mit",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("sharealike",)),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ("by sa",)),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ("noderivatives",)),
+    # How the whole texts begin.
+    ("gpl-2", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ("license version 2 june 1991",)),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu general public license version 3",)),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc", ("version 2 1 february 1999",)),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu lesser general public license version 3",)),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", ("version 3 19 november",)),
+    ("mpl-2", "mozilla public license version 2 0 1 definitions", ("public license version 2",)),
+    *((f"{name}-{version.replace(' ', '.').removesuffix('.0')}", f"{name} {version} {more}", (f"{name} {version} {more}",))
+      for name, versions in (("gpl", ("2 0", "3 0")), ("lgpl", ("2 1", "3 0")), ("agpl", ("3 0",))) for version in versions for more in ("only", "or later")),
 ]
 
+# Identifiers in SPDX expressions, in words.
+SPDX = {
+    "mit": "mit", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "apache 2 0": "apache-2", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "mpl 2 0": "mpl-2",
+    "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3",
+    "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd",
+}
+_SPDX = {tuple(words.encode().split()): label for words, label in SPDX.items()}
+_SPDX_LENGTHS = sorted({len(words) for words in _SPDX}, reverse=True)
+
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 
@@ -200,6 +222,24 @@ def holds(words: list[bytes], phrase: list[bytes]) -> bool:
     return any(words[k : k + len(phrase)] == phrase for k, word in enumerate(words) if word == phrase[0])
 
 
+def spdx_expressions(words: list[bytes]) -> Iterator[tuple[str, int, int]]:
+    """(label, first word, last word) of every identifier of the expressions behind ``spdx`` or ``spdx license identifier``."""
+    for start, word in enumerate(words):
+        if word != b"spdx":
+            continue
+        at = start + 3 if words[start + 1 : start + 3] == [b"license", b"identifier"] else start + 1
+        while at < len(words):
+            size = next((n for n in _SPDX_LENGTHS if tuple(words[at : at + n]) in _SPDX), 0)
+            if not size:
+                break
+            yield _SPDX[tuple(words[at : at + size])], at, at + size - 1
+            at += size
+            at += 1 if words[at : at + 1] == [b"only"] else 2 if words[at : at + 2] == [b"or", b"later"] else 0
+            if words[at : at + 1] not in ([b"or"], [b"and"]):
+                break
+            at += 1
+
+
 def license_scan(
     docs: DataFrame,
     phrases: dict[str, str] = PHRASES,
@@ -213,8 +253,8 @@ def license_scan(
     Phrases count at every place where they stand. A notice (label, words, needed phrases) is found where chained
     matches of ``least`` or more words, at most ``gap`` words apart, cover ``coverage`` of it and all its needed
     phrases stand in the span or the three words behind it. Of notices found at overlapping places the best one
-    counts (``best_notices``) and gives its label and a span, so a notice that stands often has many. ``score`` is
-    the best share covered of any notice, 1 where a phrase stands. Spans are (label, first word, last word) as
+    counts (``best_notices``) and gives its label and a span, so a notice that stands often has many. Identifiers of
+    SPDX expressions are labels too. ``score`` is the best share covered of any notice whose needed phrases stand in the text, 1 where a phrase or an identifier stands. Spans are (label, first word, last word) as
     ``label:first-last``, joined by semicolons. A null or empty text has no words, labels or spans and the score
     0; a null doc_id is kept; repeated rows give repeated results.
     """
@@ -250,12 +290,16 @@ def license_scan(
             for n, matches in by_notice.items():
                 size = len(sequences[n])
                 most, spans = chained(matches, gap, coverage * size - 1e-9)
-                score = max(score, min(1.0, most / size))
+                if most > score * size and all(holds(words, phrase) for phrase in needed[n - n_phrases]):
+                    score = min(1.0, most / size)
                 for covered, first, last in spans:
                     near = words[first : last + 4]
                     if all(holds(near, phrase) for phrase in needed[n - n_phrases]):
                         chains.append((covered, first, last, covered / size, n))
             found = [(order[n][1], first, last) for _, first, last, _, n in best_notices(chains)]
+            identifiers = list(spdx_expressions(words)) if b"spdx" in words else []
+            found += identifiers
+            score = 1.0 if identifiers else score
             base = sorted({order[n][1] for _, n in places})
             labels = sorted({*base, *(label for label, _, _ in found)})
             starts = [p for p, _ in places]

@@ -46,3 +46,17 @@ def test_chains_like_all_subsets():
                 best[chain[-1]] = max(best.get(chain[-1], 0), sum(n for _, _, n in chain))
         assert [x[0] for x in license_scan.chain_ends(matches, 3)] == [best[m] for m in matches]
         assert license_scan.chained(matches, 3, 1)[0] == max(best.values(), default=0)
+
+
+def test_short_forms_expressions_and_whole_texts(spark):
+    gpl = "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies"
+    texts = {
+        gpl: "gpl-3", "This work is licensed under the terms of the MIT license.": "mit", "SPDX: Apache-2.0 OR MIT": "apache-2,mit", "LGPL-2.1-only": "lgpl-2.1",
+        "SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR ISC": "bsd-3,gpl-2,isc", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.": "lgpl-2.1",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.": "agpl-3", "SPDX: nothing known": "", "spdx": "",
+    }
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {list(texts)[r.doc_id]: r for r in rows}
+    assert {t: r.labels for t, r in got.items()} == texts
+    assert all((r.score >= 0.7) == bool(r.labels) for r in rows)
