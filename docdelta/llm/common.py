@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,42 +9,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, scratch_root, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
-
-    A lost executor then costs a re-read, and what is computed once is not computed again.
-    """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a ``stored`` table that no later step reads."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_map(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, flush: int = 8192) -> DataFrame:
     """``mapInArrow`` for a generator that takes the columns of a batch as lists and yields output rows."""
     names = [part.split()[0] for part in schema.split(", ")]
