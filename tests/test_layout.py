@@ -108,7 +108,8 @@ def test_spans_and_layouts_from_files(spark, tmp_path):
         ("a.json", "hybrid", "2.7", 0, "one"), ("b.json", "unknown", "unknown", 0, "one"), ("b.json", "unknown", "unknown", 1, "one"),
     ]
     cut = {r.doc_id[-6:]: [p.page_idx for p in r.pdf_info] for r in layout.slice_layouts(read, "2").collect()}
-    assert cut == {"a.json": [], "b.json": [0]}
+    assert cut == {"b.json": [0]}
+    assert [(r.doc_id[-6:], r.n_pages) for r in layout.short_layouts(read, "2").collect()] == [("a.json", 1)]
 
 
 def test_truth_of_pages_with_and_without_region(spark):
