@@ -1,7 +1,8 @@
 """Longest common runs of two sequences, and the best order-preserving pairs of a block: small helpers that run inside tasks.
 
 A sequence is a string: of characters, or of units, each of which is given a character of its own. What is the longest
-run is fixed by the result that reports show: of equally long ones the one that begins first in the old side, then in the new one.
+run is fixed by the result that reports show: of equally long ones the one that begins first in the old side, then in
+the new one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ SMALL = 1 << 16
 
 
 def as_characters(old: list, new: list) -> tuple[str, str]:
-    """Both sides with a character for each different item. Surrogates are left out, which a string may not end in the middle of."""
+    """Both sides with a character for each different item. Surrogates are left out, which a string may not end in
+    the middle of."""
     codes: dict = {}
     for x in (*old, *new):
         if x not in codes:

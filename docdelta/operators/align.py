@@ -118,7 +118,8 @@ def _escaped(x: str) -> str:
 
 @F.arrow_udf(HTML)
 def char_diff(old: pa.Array, new: pa.Array) -> pa.Array:
-    """Both sides with changed pieces in marked spans; a change that is blank on both sides is not marked. Null if a side is null."""
+    """Both sides with changed pieces in marked spans; a change that is blank on both sides is not marked. Null if a
+    side is null."""
     rows = []
     for a, b in _rows(old, new):
         if a is None or b is None:
@@ -154,7 +155,8 @@ def pair_errors(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def paired(pairs: DataFrame, units: DataFrame, wanted: tuple[str, ...] = ("units", "norms"), hot: int = 1000) -> DataFrame:
-    """One row per pair (pair_id, old_doc_id, new_doc_id) of which both sides are in ``units``, with the ``wanted`` arrays of each.
+    """One row per pair (pair_id, old_doc_id, new_doc_id) of which both sides are in ``units``, with the ``wanted``
+    arrays of each.
 
     Both sides go through one join, so that units and normal forms are computed once for each document. A document
     that more than ``hot`` pairs name is dealt out in copies for that many pairs each, so that no task makes all of
@@ -190,7 +192,8 @@ def open_blocks(steps: Column) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def character_bag(texts: pa.Array) -> pa.Array:
-    """A number for each character of a text and how often it stood before: two bags have as many of them in common as characters."""
+    """A number for each character of a text and how often it stood before: two bags have as many of them in common
+    as characters."""
     out = []
     for text in texts.to_pylist():
         seen: Counter = Counter()
@@ -205,7 +208,8 @@ def character_bag(texts: pa.Array) -> pa.Array:
 def block_cells(blocks: DataFrame, part: int = 256) -> DataFrame:
     """(pair_id, old_no, new_no, a, b, value, same) of the pairs of texts of each block that are alike enough.
 
-    ``blocks`` has a row for each block (pair_id, old_no, new_no, old, new). a and b are the first places of the two texts inside the block. Texts are
+    ``blocks`` has a row for each block (pair_id, old_no, new_no, old, new). a and b are the first places of the two
+    texts inside the block. Texts are
     compared once each; only those of near lengths meet, old ones in parts of about ``part`` so that a block of any size is many
     tasks, and only those whose characters allow a pair leave the JVM.
     """

@@ -43,7 +43,8 @@ def token_bag(texts: DataFrame, text: str = "text") -> DataFrame:
 def document_bags(truth: DataFrame, extracted: DataFrame) -> DataFrame:
     """(doc_id, there, both): the two bags of a document merged inside its row, token -> (t, e); ``there`` if ``truth`` has it.
 
-    A text becomes one value of sorted counts where it is read. What is shuffled, once and by document, are these values, never tokens.
+    A text becomes one value of sorted counts where it is read. What is shuffled, once and by document, are these
+    values, never tokens.
     """
     rows = _bags(truth, "t").unionByName(_bags(extracted, "e")).groupBy("doc_id").agg(F.collect_list(F.struct("side", "bag")).alias("s"))
     of = lambda side: _added(F.transform(F.filter("s", lambda x: x["side"] == side), lambda x: x["bag"]))

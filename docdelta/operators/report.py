@@ -85,7 +85,8 @@ def _rows_text() -> Column:
 
 def render_reports(units: DataFrame, titles: DataFrame, theme: str = "dark") -> DataFrame:
     """(pair_id, html) for each row of ``titles`` (pair_id, old_name, new_name, provenance): rows in order under names,
-    counters and provenance. Counters come with the rows, so ``units`` is read and shuffled once. For pairs of any size see ``report_chunks``."""
+    counters and provenance. Counters come with the rows, so ``units`` is read and shuffled once. For pairs of any
+    size see ``report_chunks``."""
     body = report_rows(units).groupBy("pair_id").agg(_rows_text().alias("rows"), *_counted(units))
     joined = titles.join(body, "pair_id", "left").fillna(0, _COUNTERS)
     return joined.select("pair_id", F.concat(_head(theme), F.coalesce("rows", F.lit("")), F.lit(_TAIL)).alias("html"))

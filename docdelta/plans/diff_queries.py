@@ -269,7 +269,8 @@ SELECT doc_id AS pair_id, 'equal' AS type, i::INT AS old_no, (CASE WHEN first TH
 UNION ALL SELECT doc_id, 'deleted', i::INT, NULL FROM m WHERE first <> first_stays
 UNION ALL SELECT doc_id, 'added', NULL, (CASE WHEN first THEN n - c + i ELSE i - c END)::INT FROM m WHERE first <> first_stays""")
 def moved_units(spark, d):
-    """Units that repeat, and of which one part moved: the longer part stays, of equal ones the first; the other goes and comes."""
+    """Units that repeat, and of which one part moved: the longer part stays, of equal ones the first; the other
+    goes and comes."""
     return align.compare_pairs(*fixtures.moved_units(documents(spark, d))).select("pair_id", "type", "old_no", "new_no")
 
 

@@ -88,7 +88,8 @@ def numbered_units(docs: DataFrame) -> DataFrame:
 
 
 def moved_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, units): the new side has the second part of the units, from a place that follows from doc_id, before the first."""
+    """(pairs, units): the new side has the second part of the units, from a place that follows from doc_id, before
+    the first."""
     cut = F.when(F.size("u") > 0, F.pmod(F.col("doc_id"), F.greatest(F.size("u"), F.lit(1)))).otherwise(0).cast("int")
     rows = numbered_units(docs).withColumn("cut", cut)
     new = F.concat(F.slice("u", F.col("cut") + 1, F.greatest(F.size("u"), F.lit(1))), F.slice("u", F.lit(1), F.col("cut")))

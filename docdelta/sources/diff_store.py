@@ -31,7 +31,8 @@ class DiffStore:
         """Replace the rows of the pairs of ``stats`` (pair_id, label, counters) and drop those of ``removed`` (pair_id).
 
         False, and no change, if ``batch`` was committed before. The rows are written aside and renamed into place at
-        last, so a job that is broken off leaves nothing that counts. A pair that comes twice in a batch is an error of the caller.
+        last, so a job that is broken off leaves nothing that counts. One job commits at a time, and a pair
+        comes once in a batch.
         """
         fs, make = self._fs()
         place = f"{self.path}/batch-{batch.encode().hex()}"
@@ -45,7 +46,7 @@ class DiffStore:
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
         rows.write.parquet(aside)
         if not fs.rename(make(aside), make(place)):
-            raise RuntimeError(f"batch {batch} was committed by another job meanwhile")
+            raise RuntimeError(f"batch {batch} could not be put into place")
         return True
 
     def _rows(self) -> DataFrame:

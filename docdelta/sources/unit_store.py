@@ -32,7 +32,8 @@ class UnitStore:
     def put(self, docs: DataFrame) -> int:
         """Take ``docs`` (doc_id, text) as the present documents; the number of texts that had to be computed.
 
-        A null text counts as an empty one. Documents of the same text share its units; what an earlier call kept stays for later ones. A call that
+        A null text counts as an empty one. Documents of the same text share its units; what an earlier call
+        kept stays for later ones. A call that
         is repeated, or was broken off between the two tables, computes nothing twice.
         """
         text = F.coalesce("text", F.lit(""))
