@@ -141,7 +141,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, block:
     """One row per call (conv_id, call_id, turn, name, arguments, depends_on), linked and ordered.
 
     Results (conv_id, call_id, turn, content) are joined by identifier, the earliest one of each call; ``status``
-    is linked, unanswered or early (its result stands before it). ``arguments`` is a JSON text, one object to its end with double
+    is linked, unanswered or early (its result stands before it). ``arguments`` is a JSON text, one object to its
+    end with double
     quotes and without NaN or infinity (else ``not_an_object``), checked against
     ``schemas`` (name, param, type, required; a null param states a tool, which may have none): ``errors`` lists
     faults. Schemas are flat: the type of a nested value is checked, not its fields. ``level`` is the topological

@@ -345,7 +345,8 @@ def found_rows(docs: DataFrame, items: DataFrame, cosine: float = 0.3, rank: int
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found, first_word, last_word, and which
+    """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer_found,
+    first_word, last_word, and which
     search found it: by_latent (windows near a passage), by_runs (words in a row).
 
     ``docs`` (doc_id, text) is compared with every row of ``items`` (item_id, text). Candidates are windows near

@@ -133,11 +133,14 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, bloc
     """lang, source, part, item, value, rank: part ``pair`` ranks the other sources of a language by distance, part ``term`` the
     terms that a source has more often than its language.
 
-    Terms that stand in ``least_docs`` rows of a language count. Null text, lang and source are read as empty; a source without terms, and a
-    language without kept terms, have their rows too (value 0 in the latter). Repeated rows count again, ties rank by item, texts
+    Terms that stand in ``least_docs`` rows of a language count. Null text, lang and source are read as empty; a
+    source without terms, and a
+    language without kept terms, have their rows too (value 0 in the latter). Repeated rows count again, ties rank
+    by item, texts
     are read whole; an empty table gives no row. Other columns are not read.
 
-    The terms of a language are dealt to blocks of about ``block_terms`` and its sources to chunks of ``chunk_sources``; a cell (block, two chunks) holds the
+    The terms of a language are dealt to blocks of about ``block_terms`` and its sources to chunks of
+    ``chunk_sources``; a cell (block, two chunks) holds the
     counts of two chunks at most, whatever the size of a language, and the distances of its cells add up.
     """
     found = stored(term_counts(docs), "term_counts")

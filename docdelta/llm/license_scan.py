@@ -161,7 +161,8 @@ class Automaton:
 
 
 def chain_ends(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """For each of the sorted matches (text start, notice start, length) the best chain that ends with it: (words covered, first word, last word)."""
+    """For each of the sorted matches (text start, notice start, length) the best chain that ends with it: (words
+    covered, first word, last word)."""
     best: list[tuple[int, int, int]] = []
     reach = gap + max((n for _, _, n in matches), default=0)
     for k, (t, p, n) in enumerate(matches):
@@ -254,7 +255,8 @@ def license_scan(
     matches of ``least`` or more words, at most ``gap`` words apart, cover ``coverage`` of it and all its needed
     phrases stand in the span or the three words behind it. Of notices found at overlapping places the best one
     counts (``best_notices``) and gives its label and a span, so a notice that stands often has many. Identifiers of
-    SPDX expressions are labels too. ``score`` is the best share covered of any notice whose needed phrases stand in the text, 1 where a phrase or an identifier stands. Spans are (label, first word, last word) as
+    SPDX expressions are labels too. ``score`` is the best share covered of any notice whose needed phrases stand in
+    the text, 1 where a phrase or an identifier stands. Spans are (label, first word, last word) as
     ``label:first-last``, joined by semicolons. A null or empty text has no words, labels or spans and the score
     0; a null doc_id is kept; repeated rows give repeated results.
     """

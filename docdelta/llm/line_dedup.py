@@ -29,7 +29,8 @@ def _place(df_prefix: str = "") -> Column:
 
 
 def document_lines(docs: DataFrame, least_chars: int, short_copies: bool = True) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, chars, h1, h2) for the lines of ``least_chars`` or more characters; with ``short_copies`` also for shorter ones that are not blank."""
+    """(doc_id, text_hash, line_no, line, chars, h1, h2) for the lines of ``least_chars`` or more characters; with
+    ``short_copies`` also for shorter ones that are not blank."""
     own = F.col("chars") >= least_chars
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return (
@@ -179,7 +180,8 @@ def _small(df: DataFrame, most: int) -> bool:
 
 
 def near_lines(lines: DataFrame, bucket: int = 32, broadcast_rows: int = 200_000, least_chars: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place and number, those of ``least_chars`` or more characters with an earlier such line within one edit)."""
+    """(distinct lines with their first place and number, those of ``least_chars`` or more characters with an
+    earlier such line within one edit)."""
     keys = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
     with_keys = lines.withColumn("k", _keys(2)).select(*NODE, "chars", _place().alias("place"), *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
     distinct = stored(with_keys.groupBy(*NODE).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.min("chars").alias("chars"), *keys), "lines")
@@ -231,7 +233,8 @@ def line_dedup(docs: DataFrame, least_chars: int = 30, bucket: int = 32, broadca
     A line of at least ``least_chars`` characters goes if it stands earlier too, by doc_id and line number, as
     it is or within one edit. ``removed`` holds the numbers of the lines that went (null: none). Shorter lines
     go if they stand earlier as they are, but for blank ones (one edit makes most short lines alike, so the
-    threshold is none for them); without ``short_copies`` they all stay. Null texts stay null, empty ones empty. Null doc_ids come first. Repeated rows (same doc_id and text)
+    threshold is none for them); without ``short_copies`` they all stay. Null texts stay null, empty ones empty.
+    Null doc_ids come first. Repeated rows (same doc_id and text)
     count as one text and come out alike. A column named ``removed`` is replaced.
     """
     gone = removed_lines(docs, least_chars, bucket, broadcast_rows, short_copies)

@@ -68,7 +68,8 @@ def id_statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
 class Shard:
     """BM25 index of a bounded run of documents, each of which is a query with all of its terms.
 
-    Terms that most postings are of make a dense part, one matrix product for all pairs of documents of the shard; the others are postings, which
+    Terms that most postings are of make a dense part, one matrix product for all pairs of documents of the shard;
+    the others are postings, which
     a seed's query goes through. Both parts add up to the exact score.
     """
 
@@ -235,8 +236,11 @@ def packed_pieces(tokens: DataFrame, window: int = 1024, shard_tokens: int = 2_0
 def retrieval_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = 1024, shard_tokens: int = 2_000_000, shard_documents: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``docs`` (doc_id, text): a null or empty text is its end id alone, a long one is packed whole. A null doc_id is kept, and repeated
-    rows are packed once each; an empty table gives no piece. A seed's neighbours are looked for in its own shard, by all of its terms; a shard ends at
-    ``shard_tokens`` or ``shard_documents``. Documents that share no term still follow, in table order, so all are packed. Extra columns are not read.
+    ``docs`` (doc_id, text): a null or empty text is its end id alone, a long one is packed whole. A null doc_id is
+    kept, and repeated
+    rows are packed once each; an empty table gives no piece. A seed's neighbours are looked for in its own shard,
+    by all of its terms; a shard ends at
+    ``shard_tokens`` or ``shard_documents``. Documents that share no term still follow, in table order, so all are
+    packed. Extra columns are not read.
     """
     return packed_pieces(stored(encoded(docs, tokenizer), "tokens"), window, shard_tokens, shard_documents)

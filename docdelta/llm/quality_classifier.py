@@ -99,7 +99,8 @@ class QuadraticDiscriminant:
     """Gaussian classes with covariances shrunk to their pooled and to a scaled unit matrix."""
 
     def __init__(self, moments: dict, pooled: float = 0.3, ridge: float = 0.05, clip: float = 8.0):
-        """``moments`` by class 0 and 1. Without examples of a class its mean and spread are the other's, and the prior decides."""
+        """``moments`` by class 0 and 1. Without examples of a class its mean and spread are the other's, and
+        the prior decides."""
         n = {c: moments[c][0] if c in moments else 0.0 for c in (0, 1)}
         total = sum(n.values())
         self.clip = clip

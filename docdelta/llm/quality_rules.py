@@ -98,7 +98,8 @@ def quality_rules(
     A normalised line is over the limit if more than ``most_documents`` distinct documents of one host hold it, however
     large the host is. Without such lines a document needs ``least_words`` words and ``least_left`` of its own
     words. Hosts that are null count as one host. Documents are distinct doc_ids; a row without one is a document of
-    its own. A null or empty text has no words and fails the base rule, a long one is read whole; repeated rows come out alike and count once. An
+    its own. A null or empty text has no words and fails the base rule, a long one is read whole; repeated rows come
+    out alike and count once. An
     empty table gives no row. Other columns are not read.
     """
     own = stored(measured(docs, host), "rules")

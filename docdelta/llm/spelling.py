@@ -67,7 +67,8 @@ def common(a: str, b: str) -> int:
 
 
 def boundary_runs(bounds: list[str]) -> list[list[tuple[int, int]]]:
-    """The path of each bound, as runs (start, base): of its prefixes, those shared with bounds before it have the nodes of the first one."""
+    """The path of each bound, as runs (start, base): of its prefixes, those shared with bounds before it have the
+    nodes of the first one."""
     out: list[list[tuple[int, int]]] = []
     for q, bound in enumerate(bounds):
         shared = common(bounds[q - 1], bound) if q else 0
@@ -83,7 +84,8 @@ def number_nodes(rows: Iterator[tuple], bounds: list[str]) -> Iterator[tuple]:
     """(part, key, others) in order to (id, starts, bases, deep, key, others): the trie nodes of every key.
 
     The prefix of length d has node ``base + d`` of the last run with ``start`` < d; the empty one has node 0. Keys follow
-    each other in order inside a part, and the path of a key is that of the key before it up to their common prefix. A prefix that
+    each other in order inside a part, and the path of a key is that of the key before it up to their common prefix.
+    A prefix that
     goes on beyond the part is one of the bound before or behind it, and has that bound's number. No other key has a
     prefix of more than ``deep`` letters in common with this one.
     """
@@ -125,7 +127,8 @@ def number_nodes(rows: Iterator[tuple], bounds: list[str]) -> Iterator[tuple]:
 
 
 def trie_paths(words: DataFrame, n_words: int, a_part: int = 50_000) -> DataFrame:
-    """(id, starts, bases, deep, key, n, word_id) of ``words`` (key, n, word_id), of which no two keys are equal; ids ascend with keys.
+    """(id, starts, bases, deep, key, n, word_id) of ``words`` (key, n, word_id), of which no two keys are equal;
+    ids ascend with keys.
 
     Keys are dealt into ranges of about ``a_part`` by bounds from an even sample, one bound a range on the driver.
     """
@@ -178,7 +181,8 @@ def node_pairs(words: DataFrame) -> DataFrame:
     """(p, s, id, n, kind): the pairs of nodes of each word of ``words`` around a place.
 
     kind 1 and 2 skip the letter there, 1 if it differs from the one before it, so that one of equal letters stands for
-    all; kind 0 is the word itself, in which a letter may be inserted there. Pairs of which no other word has the prefix or the suffix are left
+    all; kind 0 is the word itself, in which a letter may be inserted there. Pairs of which no other word has the
+    prefix or the suffix are left
     out: the tries say how deep another word goes along.
     """
 
@@ -210,7 +214,8 @@ def partners(pairs: DataFrame) -> DataFrame:
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
-    """(id, to): where the links of ``forms`` (id, to) lead at last. A form has at least twice the places of its word, so no chain
+    """(id, to): where the links of ``forms`` (id, to) lead at last. A form has at least twice the places of its
+    word, so no chain
     is longer than 62 links, and each round doubles what a link spans."""
     links = stored(forms.select("id", "to"), "forms")
     while True:
@@ -226,7 +231,8 @@ def last_forms(forms: DataFrame) -> DataFrame:
 def spelling_variants(docs: DataFrame, least_length: int = 5, least_count: int = 3, a_part: int = 50_000) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of the whole texts of ``docs`` (doc_id, text).
 
-    Null texts have no words; a null doc_id counts as an empty one where misspellings are drawn. Repeated rows count again; runs of any length are
+    Null texts have no words; a null doc_id counts as an empty one where misspellings are drawn. Repeated rows count
+    again; runs of any length are
     read whole. Of equally frequent near words the first in code-point order is the form. An empty table gives no
     row. Other columns are not read.
     """
