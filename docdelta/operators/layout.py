@@ -119,13 +119,14 @@ def short_layouts(layouts: DataFrame, text: str) -> DataFrame:
     return layouts.select("doc_id", F.size(F.coalesce("pdf_info", F.array())).cast("long").alias("n_pages")).filter(F.col("n_pages") < b)
 
 
-def slice_layouts(layouts: DataFrame, text: str) -> DataFrame:
+def slice_layouts(layouts: DataFrame, text: str, short: bool = False) -> DataFrame:
     """Layouts with the pages of an inclusive range only, numbered from 0 again.
 
-    A layout that the range goes beyond is not cut short: it is left out, and ``short_layouts`` names it.
+    A layout that the range goes beyond is an error, which ``short_layouts`` names: it is left out, or with ``short``
+    kept with those of its pages that lie in the range, which may be none.
     """
     a, b = parse_page_range(text)
     number = lambda p: F.coalesce(p["page_idx"], F.lit(0))
     kept = F.filter("pdf_info", lambda p: number(p).between(a - 1, b - 1))
-    whole = layouts.filter(F.size("pdf_info") >= b)
+    whole = layouts if short else layouts.filter(F.size("pdf_info") >= b)
     return whole.withColumn("pdf_info", F.transform(kept, lambda p: p.withField("page_idx", number(p) - (a - 1))))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docdelta.operators import coverage, geometry, layout
+from docdelta.plans import layout_queries
 from docdelta.sources import layouts
 
 BLOCK = lambda y, text, **more: {"type": "text", "bbox": [0, y, 9, y + 10], "lines": [{"bbox": [0, y, 9, y + 10], "spans": [{"type": "text", "content": text}]}]} | more
@@ -117,3 +118,13 @@ def test_truth_of_pages_with_and_without_region(spark):
     lines = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "not")], "doc_id long, page_idx int, line_no int, text string")
     regions = spark.createDataFrame([(1, 0, 1.0, 9.0)], "doc_id long, page_idx int, y_top double, y_bottom double")
     assert coverage.truth_text(whole, lines, regions).first().text == "a b"
+
+
+def test_every_document_is_sliced(spark):
+    """A range that goes beyond a document takes the pages that lie in it; no document is left out."""
+    tables = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id").collect()}
+    got = {r.doc_id: r.text for r in layout_queries.slice_layouts(spark, tables).collect()}
+    short = {r.doc_id: r.n_pages for r in layout_queries.short_layouts(spark, tables).collect()}
+    assert set(got) == ids and short
+    assert all(got[i] == "" for i, n in short.items() if n < 2) and any(got[i] for i, n in short.items() if n == 2)
