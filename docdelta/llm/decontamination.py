@@ -27,6 +27,8 @@ from .license_scan import words_of
 PASSAGE, STRIDE, ANSWER = 32, 16, 6
 #: Words in a row that make a place a candidate; share of each passage's squared length that its space keeps at least.
 GRAM, KEPT = 3, 0.5
+#: Terms in a piece of a sum that the driver gets.
+PIECE = 256
 HITS = "doc_id long, text_hash long, item_key long, item_id long, cosine double, lcs double, answer_found boolean, first_word long, last_word long, by_latent boolean, by_runs boolean"
 
 
@@ -93,15 +95,19 @@ def passages_of(items: DataFrame) -> DataFrame:
 def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF matrix whose rows are the passages.
 
-    Each round multiplies the distributed rows with a thin matrix; only sums of terms x rank come back,
-    one for each of a fixed number of partitions.
+    Each round multiplies the rows of one space, which are of bounded number, with a thin matrix in one task, so that
+    one sum of terms x rank comes back, in pieces of ``PIECE`` terms; the matrix is released after its round. Sums of
+    several parts, and the matrices of all rounds, would all be in the driver's memory at once.
     """
     width = rank + 8
     basis = np.random.default_rng(seed).standard_normal((len(vocabulary), width))
-    parts = passages.select("words").repartition(4)
+    rows = passages.select("words").repartition(1)
+
+    def gram_times(matrix: np.ndarray) -> np.ndarray:
+        shared = passages.sparkSession.sparkContext.broadcast(matrix)
 
-    def gram_times(thin: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            thin = shared.value
             total = np.zeros_like(thin)
             for batch in batches:
                 for words in batch.column(0).to_pylist():
@@ -109,10 +115,15 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
                     row = tf * idf[ids]
                     row = row / max(float(np.sqrt((row**2).sum())), 1e-12)
                     total[ids] += row[:, None] * (row @ thin[ids])
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()])], names=["total"])
-
-        rows = parts.mapInArrow(run, "total binary").collect()
-        return sum((np.frombuffer(r.total, "<f8").reshape(thin.shape) for r in rows), np.zeros_like(thin))
+            for at in range(0, len(total), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + PIECE].astype("<f8").tobytes()])], names=["at", "total"])
+
+        out = np.zeros_like(matrix)
+        got = rows.mapInArrow(run, "at long, total binary").toArrow()  # pickled rows would take ten times their size
+        for at, piece in zip(got["at"].to_pylist(), got["total"], strict=True):
+            out[at : at + PIECE] += np.frombuffer(piece.as_buffer(), "<f8").reshape(-1, matrix.shape[1])
+        shared.destroy()
+        return out
 
     for _ in range(rounds):
         basis, _ = np.linalg.qr(gram_times(basis))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from docdelta.llm import decontamination
@@ -47,3 +48,32 @@ def test_rewordings_are_found_in_the_latent_space(spark, size):
     assert all(r.lcs >= 0.6 or r.answer_found for r in right)
     without = decontamination.benchmark_hits(docs, benchmark, cosine=5).collect()
     assert len(without) < 0.1 * size and all(r.by_runs and not r.by_latent for r in without)
+
+
+def test_driver_gets_one_sum_a_round(spark, monkeypatch):
+    """Each round brings one matrix of terms x rank to the driver, in pieces, and the vectors are those of a plain SVD."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(700)]
+    rows = [([words[i] for i in rng.choice(len(words), 30)],) for _ in range(60)]
+    vocabulary = {w.encode(): k for k, w in enumerate(words)}
+    idf = rng.random(len(words)) + 0.5
+    passages = spark.createDataFrame(rows, "words array<string>")
+    sent, collect, arrow = [], type(passages).collect, type(passages).toArrow
+
+    def counted(df):
+        out = arrow(df)
+        sent.append([len(x) for x in out["total"].to_pylist()])
+        return out
+
+    def pickled(df):
+        sent.append(["pickled rows take ten times their size in the driver"])
+        return collect(df)
+
+    monkeypatch.setattr(type(passages), "toArrow", counted)
+    monkeypatch.setattr(type(passages), "collect", pickled)
+    vectors = decontamination.randomised_svd(passages, vocabulary, idf, 60)
+    assert len(sent) == 3 and all(isinstance(x[0], int) and sum(x) == len(words) * 68 * 8 and max(x) <= 2**20 for x in sent)
+    table = np.zeros((len(rows), len(words)))
+    for k, (r,) in enumerate(rows):
+        np.add.at(table[k], [vocabulary[w.encode()] for w in r], idf[[vocabulary[w.encode()] for w in r]])
+    assert np.allclose(np.linalg.norm(table @ vectors, axis=1), np.linalg.norm(table, axis=1))
