@@ -1,9 +1,10 @@
 """Toxicity: Kneser-Ney models of toxic and of ordinary text, compared by their log-likelihoods a word.
 
-A model counts in how many different contexts a word or a pair of words stands, one context a document, so neither
-copies nor repetitions add up. A class has an own discounted estimate only where its counts differ from what the other
-level predicts by more than chance allows; every rarer expression has the shared count of both classes, so both
-models give it the same likelihood and it drops out of the comparison.
+Each class has an interpolated Kneser-Ney model of words given the word before: places of pairs at the upper order, numbers
+of different words before a word at the lower one, discounts from the counts of counts, and below both the model of all
+texts. A model keeps own estimates where its class differs from what the lower order predicts by more than chance allows;
+other pairs are left to the words, by the first word's backoff weight, and other words to the model of all texts, whose
+ratio is one constant. Chance is judged by counts that copies and repetitions do not raise.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, row_numbers, stored, utf8
+from .common import arrow_map, discard, row_numbers, stored, utf8
 
 WORD = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LONG = 64  # bytes; a longer word stands as its hash
@@ -90,64 +91,145 @@ def surprise(toxic: Column, ordinary: Column, share: Column) -> Column:
     return 2 * (part(toxic, share) + part(ordinary, 1 - share))
 
 
-def log_ratio(toxic: Column, ordinary: Column, share: Column, discount: float = 0.75) -> Column:
-    """Log of the toxic against the ordinary Kneser-Ney estimate of a gram, each relative to its class.
+def discount(once: int, twice: int) -> float:
+    """Kneser and Ney's discount from the numbers of grams that were counted once and twice; 0.75 if there are none."""
+    return once / (once + 2 * twice) if once and twice else 0.75
 
-    The discounted mass goes to the backoff, of which ``share`` is the toxic part: the shared counts for a word, the
-    words' for a pair.
-    """
-    n = toxic + ordinary
-    lift = lambda k, p: (F.greatest(k - discount, F.lit(0.0)) + discount * n * p / (n * p + discount)) / (n * p)
-    return F.log(lift(toxic, share) / lift(ordinary, 1 - share))
+
+TEXTS = ("docs_t", "docs_o")  # texts that hold it: toxic, ordinary
+BEFORE = ("before_t", "before_o", "before")  # different words before it: in toxic, in ordinary, in all texts
+PLACES = ("places_t", "places_o")  # places of a pair, or of all pairs that begin with a word
+AFTER = ("after_t", "after_o")  # different words after it
 
 
-def language_models(examples: DataFrame, least: int = 4) -> DataFrame:
-    """(gram, n, value) from ``examples`` (label, text): the log ratio that each place of a gram adds to a text.
+def gram_counts(examples: DataFrame) -> DataFrame:
+    """(kind, gram, counts) of ``examples`` (label, text): each word, each pair of words that stands twice, and one row
+    "once" and "twice" with the numbers of pairs that stand so often.
 
-    A word's value counts at all its places; that of a pair of words is added where they follow each other. Pairs are
-    looked at if they stand in ``least`` toxic contexts. A gram is kept if G is over twice the log of the number of
-    different grams of its order, the level that chance reaches about once. The counts grow with the labelled texts.
+    All pairs of both classes are counted; an empty word stands before the first word of a text and behind the last. The words'
+    counts come from the pairs: a pair says in how many texts its second word stands there first.
     """
-    examples = stored(examples, "examples")
 
-    def words(labels: list, texts: list) -> Iterator[tuple]:
+    def run(labels: list, texts: list) -> Iterator[tuple]:
         for label, text in zip(labels, texts, strict=True):
-            for gram, context in first_contexts(words_of(text), 1):
-                yield label, gram, context
-
-    single = stored(counted(arrow_map(examples.select("label", utf8()), words, "label int, gram binary, context long")), "words")
-    total = single.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"), F.count("*").alias("types")).first()
-    t, o = total.t or 0, total.o or 0
-    if not t or not o:
-        return single.select("gram", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("value")).limit(0)
-    share = F.lit(t / (t + o))
-    kept = single.filter(surprise(F.col("toxic"), F.col("ordinary"), share) > 2 * math.log(max(total.types, 2)))
-    kept = stored(kept.select("gram", "toxic", "ordinary", log_ratio(F.col("toxic"), F.col("ordinary"), share).alias("value")), "kept_words")
-
-    def pairs(labels: list, texts: list) -> Iterator[tuple]:
+            words = words_of(text)
+            before, after = [b"", *words], [*words, b""]
+            first = dict(zip(reversed(after), reversed(before), strict=True))  # what stands before a word's first place
+            firsts = {v + b" " + w for w, v in first.items()}
+            for gram, places in Counter(map(b" ".join, zip(before, after, strict=True))).items() if words else ():
+                yield label, gram, places, int(gram in firsts)
+
+    rows = arrow_map(examples.select("label", utf8()), run, "label int, gram binary, places long, first int")
+    of = {"t": F.col("label").cast("long"), "o": 1 - F.col("label").cast("long")}
+    counts = rows.groupBy("gram").agg(*(F.sum(of[c] * F.col(k)).alias(f"{k}_{c}") for k in ("places", "first") for c in "to"))
+    names = (*TEXTS, *BEFORE, *PLACES, *AFTER)
+
+    def row(kind: str, gram: Column, **values: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(F.lit(kind).alias("kind"), gram.cast("binary").alias("gram"), *(F.coalesce(values.get(k, zero).cast("long"), zero).alias(k) for k in names))
+
+    text, t, o = F.col("gram").cast("string"), F.col("places_t"), F.col("places_o")
+    docs = {"docs_t": F.col("first_t"), "docs_o": F.col("first_o")}
+    second = row("word", F.substring_index(text, " ", -1), before_t=t > 0, before_o=o > 0, before=t + o > 0, **docs)
+    first = row("word", F.substring_index(text, " ", 1), places_t=t, places_o=o, after_t=t > 0, after_o=o > 0)
+    words = counts.select(F.explode(F.array(second, first)).alias("r")).select("r.*").groupBy("kind", "gram").agg(*(F.sum(k).alias(k) for k in names))
+    pairs = counts.filter(t + o > 1).select(row("pair", F.col("gram"), places_t=t, places_o=o, **docs).alias("r")).select("r.*")
+    # the same columns as above, so that Spark shuffles the pairs once
+    sums = counts.agg(*(F.count_if(F.col(f"places_{c}") == k).alias(f"{c}{k}") for c in "to" for k in (1, 2)), *(F.sum(v).alias(k) for k, v in docs.items()))
+    times = (row(kind, F.lit(""), places_t=F.col(f"t{k}"), places_o=F.col(f"o{k}"), docs_t=F.col("docs_t"), docs_o=F.col("docs_o")) for kind, k in (("once", 1), ("twice", 2)))
+    return stored(words.unionByName(pairs).unionByName(sums.select(F.explode(F.array(*times)).alias("r")).select("r.*")), "counts")
+
+
+def contexts(examples: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, toxic, ordinary) of ``grams``: in how many different contexts each stands, one context a text."""
+    bits = examples.sparkSession.sparkContext.broadcast(bit_filter(grams))
+
+    def run(labels: list, texts: list) -> Iterator[tuple]:
+        known = bits.value
         for label, text in zip(labels, texts, strict=True):
-            for gram, context in first_contexts(words_of(text), 2):
-                yield label, gram, context
+            words = words_of(text)
+            for order in (1, 2):
+                for gram, context in first_contexts(words, order):
+                    if may_hold(known, gram):
+                        yield label, gram, context
 
-    toxic = arrow_map(examples.filter("label = 1").select("label", utf8()), pairs, "label int, gram binary, context long")
-    toxic = stored(counted(toxic).filter(F.col("toxic") >= least).select("gram", "toxic"), "toxic_pairs")
-    bits = examples.sparkSession.sparkContext.broadcast(bit_filter(toxic))
+    rows = arrow_map(examples.select("label", utf8()), run, "label int, gram binary, context long")
+    return counted(rows).join(grams.select("gram"), "gram", "left_semi")
 
-    def ordinary_pairs(labels: list, texts: list) -> Iterator[tuple]:
-        known = bits.value
-        for label, text in zip(labels, texts, strict=True):
-            for gram, context in first_contexts(words_of(text), 2):
-                if may_hold(known, gram):
-                    yield label, gram, context
 
-    ordinary = counted(arrow_map(examples.filter("label = 0").select("label", utf8()), ordinary_pairs, "label int, gram binary, context long"))
-    both = toxic.join(ordinary.select("gram", "ordinary"), "gram", "left").fillna(0, ["ordinary"])
-    both = both.withColumn("word", F.expr("substring_index(cast(gram as string), ' ', -1)").cast("binary"))
-    backoff = kept.select(F.col("gram").alias("word"), ((F.col("toxic") + 0.75) / (F.col("toxic") + F.col("ordinary") + 0.75 / share)).alias("own"))
-    both = stored(both.join(backoff, "word", "left").withColumn("share", F.coalesce("own", share)), "pairs")
-    found = both.filter(surprise(F.col("toxic"), F.col("ordinary"), F.col("share")) > 2 * math.log(max(both.count(), 2)))
-    found = found.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), log_ratio(F.col("toxic"), F.col("ordinary"), F.col("share")).alias("value"))
-    return stored(kept.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), "value").unionByName(found), "models")
+def language_models(examples: DataFrame) -> DataFrame:
+    """(gram, n, value) from ``examples`` (label, text): what each place of a gram adds to the log ratio of a text.
+
+    A text's first word is estimated alone, each later one and the end of the text given the word before. A word's value,
+    of its estimate and its backoff weight, counts at all its places, and that of a pair where its words follow each other. The
+    sum is the log of the toxic against the ordinary Kneser-Ney likelihood, less a constant for the end and each word, the
+    log ratio of what the two classes leave to words without own estimates, of which the end is one.
+
+    Words have own estimates if G, of the texts that hold them or of the different surroundings that they can have had (whichever
+    are fewer), is over twice the log of the number of different words, the level that chance reaches about once; pairs
+    likewise, by their contexts, against the share that their words predict, if they stand twice at least. Contexts are
+    counted of the pairs that could reach that level if all their places were different contexts.
+    """
+    table = gram_counts(examples)
+    words = table.filter("kind = 'word'")
+    held = words.filter("before > 0")
+    t, o = (F.least(f"docs_{c}", F.col(f"before_{c}") * F.col(f"after_{c}")) for c in "to")
+    sums = held.agg(
+        F.count("*").alias("types"), F.sum(t).alias("t"), F.sum(o).alias("o"), *(F.sum(c).alias(c) for c in BEFORE),
+        *(F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in BEFORE), *(F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in BEFORE for k in (1, 2)),
+    ).first()
+    if not sums.t or not sums.o:
+        return held.select("gram", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("value")).limit(0)
+    often = {r.kind: r for r in table.filter("kind in ('once', 'twice')").collect()}
+    pair_off = {c: discount(often["once"][f"places_{c}"], often["twice"][f"places_{c}"]) for c in "to"}
+
+    def lower(count: str, below: Column) -> Column:
+        """Interpolated estimate of a word from the different words before it."""
+        off = discount(sums[f"{count}_1"], sums[f"{count}_2"])
+        return (F.greatest(F.col(count) - off, F.lit(0.0)) + off * sums[f"{count}_types"] * below) / sums[count]
+
+    shared = sums.t / (sums.t + sums.o)
+    held = held.withColumn("p", lower("before", F.lit(1 / (sums.types + 1)))).withColumn("p_t", lower("before_t", F.col("p"))).withColumn("p_o", lower("before_o", F.col("p")))
+    own = held.filter((F.length("gram") > 0) & (surprise(t, o, F.lit(shared)) > 2 * math.log(max(sums.types, 2))))
+    own = stored(own.select("gram", "p", "p_t", "p_o", ((t + 0.75) / (t + o + 0.75 / shared)).alias("share")), "own_words")
+    mass = own.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("p", "p_t", "p_o"))).first()
+    left = {c: (1 - mass[f"p_{c}"]) / (1 - mass.p) for c in "to"}
+    rest = math.log(left["t"] / left["o"])
+
+    # pairs whose most one-sided split would differ from their words by more than chance; their contexts decide
+    level = math.log(max(sums.before, 2))
+    text = F.col("gram").cast("string")
+    pairs = table.filter("kind = 'pair'").select("gram", *PLACES, F.substring_index(text, " ", 1).cast("binary").alias("v"), F.substring_index(text, " ", -1).cast("binary").alias("w"))
+    pairs = pairs.filter((F.length("v") > 0) & (F.length("w") > 0))
+    for side in "vw":
+        pairs = pairs.join(own.select(F.col("gram").alias(side), F.col("share").alias(f"share_{side}")), side, "left").fillna(shared, [f"share_{side}"])
+    odds = F.col("share_v") / (1 - F.col("share_v")) * F.col("share_w") / (1 - F.col("share_w")) * ((1 - shared) / shared)
+    pairs = pairs.withColumn("share", odds / (1 + odds)).filter(F.greatest(-F.col("places_t") * F.log("share"), -F.col("places_o") * F.log1p(-F.col("share"))) > level)
+    pairs = stored(pairs.select("gram", "v", "w", "share", *PLACES), "pairs")
+    seen = stored(contexts(examples, pairs.select("gram").unionByName(own.select("gram"))), "contexts")
+    n = (F.col("toxic") + F.col("ordinary")).alias("n")
+    pairs = pairs.join(seen, "gram").filter(surprise(F.col("toxic"), F.col("ordinary"), F.col("share")) > 2 * level).select("gram", "v", "w", *PLACES, n)
+
+    # both words' counts, then the estimates of the second word given the first and what is left to the words
+    first = words.select(F.col("gram").alias("v"), *(F.col(f"{k}_{c}").alias(f"{k}_v{c}") for k in ("places", "after") for c in "to"))
+    second = held.select(F.col("gram").alias("w"), "p").join(own.select(F.col("gram").alias("w"), "p_t", "p_o"), "w", "left")
+    second = second.select("w", *(F.coalesce(f"p_{c}", left[c] * F.col("p")).alias(f"p_{c}") for c in "to"))
+    pairs = stored(pairs, "own_pairs").join(first, "v").join(second, "w")
+    for c in "to":
+        off, total = pair_off[c], F.col(f"places_v{c}")
+        own_part = (F.greatest(F.col(f"places_{c}") - off, F.lit(0.0)) + off * F.col(f"after_v{c}") * F.col(f"p_{c}")) / total
+        pairs = pairs.withColumn(f"q_{c}", F.when(total > 0, own_part).otherwise(F.col(f"p_{c}")))
+    pairs = stored(pairs, "estimates")
+    weight = lambda c: F.greatest(1 - F.sum(f"q_{c}"), F.lit(1e-12)) / F.greatest(1 - F.sum(f"p_{c}"), F.lit(1e-12))
+    weights = pairs.groupBy("v").agg(F.log(weight("t") / weight("o")).alias("backoff"), F.max(F.col("places_vt") + F.col("places_vo")).alias("n"))
+    value = F.log(F.col("q_t") / F.col("q_o")) - F.log(F.col("p_t") / F.col("p_o")) - F.col("backoff")
+    found = pairs.join(weights.select("v", "backoff"), "v").select("gram", "n", value.alias("value"))
+    own = own.join(seen, "gram").select("gram", n.alias("contexts"), (F.log(F.col("p_t") / F.col("p_o")) - rest).alias("ratio"))
+    both = own.join(weights.withColumnRenamed("v", "gram"), "gram", "full")
+    both = both.select("gram", F.coalesce("contexts", "n").alias("n"), (F.coalesce("ratio", F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))).alias("value"))
+    models = stored(both.unionByName(found), "models")
+    discard(table)
+    return models
 
 
 def log_ratios(docs: DataFrame, models: DataFrame, in_memory: int = 200_000) -> DataFrame:
@@ -211,9 +293,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, examples_at_most: int =
     are not read.
     """
     learnt = stored(learnt_labels(labels).withColumn("fold", fold(F.col("doc_id"))), "learnt")
-    wanted = F.broadcast(learnt) if learnt.count() <= broadcast_rows else learnt
-    labelled = docs.select("doc_id", "text").join(wanted, "doc_id")
-    models = language_models(labelled.filter("fold <> 1").select("label", "text"))
+    few = learnt.count() <= broadcast_rows
+    wanted = F.broadcast(learnt.filter("fold <> 1")) if few else learnt.filter("fold <> 1")
+    examples = docs.select("doc_id", "text").join(wanted, "doc_id").select("label", "text")
+    models = language_models(examples if few else stored(examples, "examples"))
     scored = stored(log_ratios(docs, models), "log_ratios")
     fit = scored.join(learnt.filter("fold = 1").select("doc_id", "label"), "doc_id").select("x", "label", F.crc32(F.concat(F.lit("x"), F.col("doc_id"))).alias("at"), "row")
     sample = fit.orderBy("at", "row").limit(examples_at_most).select("x", "label").toPandas()

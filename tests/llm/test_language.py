@@ -186,6 +186,69 @@ def test_language_models(spark, spoken):
     assert all(any(g in " ".join(["", *w]) for w in many) for g in models)
 
 
+def test_models_are_kneser_ney(spark):
+    """Against a plain version: discounts from counts of counts, backoff weights of first words, pairs of either class."""
+    rng, rows = random.Random(11), []
+    for i in range(600):
+        y, words = int(i % 4 == 0), ["v" + chr(97 + k // 60) + chr(200 + k % 60) for k in (int(rng.random() ** 4 * 1500) for _ in range(rng.randint(20, 40)))]
+        for first, last, whole in (("mild", "soul", not y), ("grim", "mind", y)):  # words of both classes, pairs of one
+            words[3:3] = [first, last] if whole else [last, words[0], first]
+        rows.append((i, y, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    models = toxicity.language_models(docs)
+    pairs = {tuple(bytes(r.gram).decode().split(" ")) for r in models.collect() if b" " in bytes(r.gram)}
+    assert {("mild", "soul"), ("grim", "mind")} <= pairs  # "mild soul" is in no toxic text
+
+    places, docs_of = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    for _, y, x in rows:
+        places[y].update(zip(["", *x.split()], [*x.split(), ""], strict=True))
+        docs_of[y].update({*x.split(), ""})
+    before = {y: Counter(w for _, w in places[y]) for y in (0, 1)} | {2: Counter(w for _, w in {*places[0], *places[1]})}
+    after = {y: Counter(v for v, _ in places[y]) for y in (0, 1)}
+    begun = {y: Counter() for y in (0, 1)}
+    for y in (0, 1):
+        for (v, _), c in places[y].items():
+            begun[y][v] += c
+
+    def off(counts):
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        assert once and twice
+        return once / (once + 2 * twice)
+
+    lower_off, upper_off = {y: off(before[y]) for y in before}, {y: off(places[y]) for y in places}
+
+    def lower(y, w):
+        below = 1 / (len(before[2]) + 1) if y == 2 else lower(2, w)
+        return (max(before[y][w] - lower_off[y], 0) + lower_off[y] * len(before[y]) * below) / sum(before[y].values())
+
+    seen = {w: [min(docs_of[y][w], before[y][w] * after[y][w]) for y in (1, 0)] for w in before[2]}
+    share = sum(t for t, _ in seen.values()) / sum(map(sum, seen.values()))
+    chance = lambda t, o: 2 * sum(k * np.log(k / ((t + o) * p)) for k, p in ((t, share), (o, 1 - share)) if k)
+    own = {w for w, (t, o) in seen.items() if w and chance(t, o) > 2 * np.log(len(seen))}
+    left = {y: (1 - sum(lower(y, w) for w in own)) / (1 - sum(lower(2, w) for w in own)) for y in (0, 1)}
+    word = {(y, w): lower(y, w) if w in own else left[y] * lower(2, w) for y in (0, 1) for w in before[2]}
+
+    def upper(y, v, w):
+        return (max(places[y][v, w] - upper_off[y], 0) + upper_off[y] * after[y][v] * word[y, w]) / begun[y][v]
+
+    weight = {(y, v): 1.0 for y in (0, 1) for v in before[2]}
+    for y, v in weight:
+        if ws := [w for x, w in pairs if x == v]:
+            weight[y, v] = (1 - sum(upper(y, v, w) for w in ws)) / (1 - sum(word[y, w] for w in ws))
+
+    def estimate(y, v, w):
+        return upper(y, v, w) if (v, w) in pairs else weight[y, v] * word[y, w]
+
+    unseen = lower_off[2] * len(before[2]) / sum(before[2].values()) / (len(before[2]) + 1)
+    for y, v in product((0, 1), ("mild", "grim", "soul", *list(before[2])[:5])):
+        assert abs(sum(estimate(y, v, w) for w in before[2]) + weight[y, v] * left[y] * unseen - 1) < 1e-9
+    got = {r.doc_id: r.x for r in toxicity.log_ratios(docs, models).collect()}
+    for i, _, x in rows[:200]:
+        words = x.split()
+        want = np.log(word[1, words[0]] / word[0, words[0]]) + sum(np.log(estimate(1, v, w) / estimate(0, v, w)) for v, w in zip(words, [*words[1:], ""], strict=True))
+        assert abs(got[i] * len(words) + (len(words) + 1) * np.log(left[1] / left[0]) - want) < 1e-6
+
+
 def test_rare_grams_are_joined(spark, spoken):
     _, docs = spoken
     models = toxicity.language_models(docs.select(F.col("toxic").alias("label"), "text"))
