@@ -165,10 +165,10 @@ def language_models(examples: DataFrame) -> DataFrame:
     sum is the log of the toxic against the ordinary Kneser-Ney likelihood, less a constant for the end and each word, the
     log ratio of what the two classes leave to words without own estimates, of which the end is one.
 
-    Words have own estimates if G, of the texts that hold them or of the different surroundings that they can have had (whichever
-    are fewer), is over twice the log of the number of different words, the level that chance reaches about once; pairs
-    likewise, by their contexts, against the share that their words predict, if they stand twice at least. Contexts are
-    counted of the pairs that could reach that level if all their places were different contexts.
+    Words have own estimates if G is over twice the log of the number of different words, the level that chance reaches about
+    once, both of the texts that hold them (or the surroundings that they can have had, if fewer) and of their contexts;
+    pairs likewise, by their contexts, against the share that their words predict, if they stand twice at least. Contexts
+    are counted of the pairs that could reach that level if all their places were different contexts.
     """
     table = gram_counts(examples)
     words = table.filter("kind = 'word'")
@@ -190,11 +190,9 @@ def language_models(examples: DataFrame) -> DataFrame:
 
     shared = sums.t / (sums.t + sums.o)
     held = held.withColumn("p", lower("before", F.lit(1 / (sums.types + 1)))).withColumn("p_t", lower("before_t", F.col("p"))).withColumn("p_o", lower("before_o", F.col("p")))
-    own = held.filter((F.length("gram") > 0) & (surprise(t, o, F.lit(shared)) > 2 * math.log(max(sums.types, 2))))
-    own = stored(own.select("gram", "p", "p_t", "p_o", ((t + 0.75) / (t + o + 0.75 / shared)).alias("share")), "own_words")
-    mass = own.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("p", "p_t", "p_o"))).first()
-    left = {c: (1 - mass[f"p_{c}"]) / (1 - mass.p) for c in "to"}
-    rest = math.log(left["t"] / left["o"])
+    beyond = lambda toxic, ordinary: surprise(toxic, ordinary, F.lit(shared)) > 2 * math.log(max(sums.types, 2))
+    likely = held.filter((F.length("gram") > 0) & beyond(t, o))
+    likely = stored(likely.select("gram", "p", "p_t", "p_o", ((t + 0.75) / (t + o + 0.75 / shared)).alias("share")), "likely_words")
 
     # pairs whose most one-sided split would differ from their words by more than chance; their contexts decide
     level = math.log(max(sums.before, 2))
@@ -202,12 +200,16 @@ def language_models(examples: DataFrame) -> DataFrame:
     pairs = table.filter("kind = 'pair'").select("gram", *PLACES, F.substring_index(text, " ", 1).cast("binary").alias("v"), F.substring_index(text, " ", -1).cast("binary").alias("w"))
     pairs = pairs.filter((F.length("v") > 0) & (F.length("w") > 0))
     for side in "vw":
-        pairs = pairs.join(own.select(F.col("gram").alias(side), F.col("share").alias(f"share_{side}")), side, "left").fillna(shared, [f"share_{side}"])
+        pairs = pairs.join(likely.select(F.col("gram").alias(side), F.col("share").alias(f"share_{side}")), side, "left").fillna(shared, [f"share_{side}"])
     odds = F.col("share_v") / (1 - F.col("share_v")) * F.col("share_w") / (1 - F.col("share_w")) * ((1 - shared) / shared)
     pairs = pairs.withColumn("share", odds / (1 + odds)).filter(F.greatest(-F.col("places_t") * F.log("share"), -F.col("places_o") * F.log1p(-F.col("share"))) > level)
     pairs = stored(pairs.select("gram", "v", "w", "share", *PLACES), "pairs")
-    seen = stored(contexts(examples, pairs.select("gram").unionByName(own.select("gram"))), "contexts")
+    seen = stored(contexts(examples, pairs.select("gram").unionByName(likely.select("gram"))), "contexts")
     n = (F.col("toxic") + F.col("ordinary")).alias("n")
+    own = stored(likely.join(seen, "gram").filter(beyond(F.col("toxic"), F.col("ordinary"))).select("gram", "p", "p_t", "p_o", n), "own_words")
+    mass = own.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("p", "p_t", "p_o"))).first()
+    left = {c: (1 - mass[f"p_{c}"]) / (1 - mass.p) for c in "to"}
+    rest = math.log(left["t"] / left["o"])
     pairs = pairs.join(seen, "gram").filter(surprise(F.col("toxic"), F.col("ordinary"), F.col("share")) > 2 * level).select("gram", "v", "w", *PLACES, n)
 
     # both words' counts, then the estimates of the second word given the first and what is left to the words
@@ -224,7 +226,7 @@ def language_models(examples: DataFrame) -> DataFrame:
     weights = pairs.groupBy("v").agg(F.log(weight("t") / weight("o")).alias("backoff"), F.max(F.col("places_vt") + F.col("places_vo")).alias("n"))
     value = F.log(F.col("q_t") / F.col("q_o")) - F.log(F.col("p_t") / F.col("p_o")) - F.col("backoff")
     found = pairs.join(weights.select("v", "backoff"), "v").select("gram", "n", value.alias("value"))
-    own = own.join(seen, "gram").select("gram", n.alias("contexts"), (F.log(F.col("p_t") / F.col("p_o")) - rest).alias("ratio"))
+    own = own.select("gram", F.col("n").alias("contexts"), (F.log(F.col("p_t") / F.col("p_o")) - rest).alias("ratio"))
     both = own.join(weights.withColumnRenamed("v", "gram"), "gram", "full")
     both = both.select("gram", F.coalesce("contexts", "n").alias("n"), (F.coalesce("ratio", F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))).alias("value"))
     models = stored(both.unionByName(found), "models")

@@ -224,7 +224,12 @@ def test_models_are_kneser_ney(spark):
     seen = {w: [min(docs_of[y][w], before[y][w] * after[y][w]) for y in (1, 0)] for w in before[2]}
     share = sum(t for t, _ in seen.values()) / sum(map(sum, seen.values()))
     chance = lambda t, o: 2 * sum(k * np.log(k / ((t + o) * p)) for k, p in ((t, share), (o, 1 - share)) if k)
-    own = {w for w, (t, o) in seen.items() if w and chance(t, o) > 2 * np.log(len(seen))}
+    around = {y: defaultdict(set) for y in (0, 1)}
+    for _, y, x in rows:
+        words = ["", *x.split(), ""]
+        for w in words[1:-1]:
+            around[y][w].add((words[words.index(w, 1) - 1], words[words.index(w, 1) + 1]))
+    own = {w for w, (t, o) in seen.items() if w and min(chance(t, o), chance(len(around[1][w]), len(around[0][w]))) > 2 * np.log(len(seen))}
     left = {y: (1 - sum(lower(y, w) for w in own)) / (1 - sum(lower(2, w) for w in own)) for y in (0, 1)}
     word = {(y, w): lower(y, w) if w in own else left[y] * lower(2, w) for y in (0, 1) for w in before[2]}
 
