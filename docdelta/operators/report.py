@@ -21,7 +21,13 @@ def search_units(units: DataFrame, query: str) -> DataFrame:
 
 
 def side_by_side(units: DataFrame) -> DataFrame:
-    """Line numbers of both sides; none on the side that a unit is absent from."""
+    """Line numbers of both sides; none on the side that a unit is absent from.
+
+    Units that have their places on both sides, as ``compare_pairs`` gives them, are numbered by these without a
+    shuffle: every unit of a side comes once, in order.
+    """
+    if {"old_no", "new_no"} <= set(units.columns):
+        return units.withColumns({f"{side}_line": F.col(f"{side}_no").cast("long") + 1 for side in ("old", "new")})
     so_far = Window.partitionBy("pair_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     old, new = F.col("type").isin("equal", "deleted", "modified"), F.col("type").isin("equal", "added", "modified")
     number = lambda on: F.when(on, F.sum(F.when(on, 1).otherwise(0)).over(so_far))

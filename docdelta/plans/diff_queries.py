@@ -27,8 +27,9 @@ q AS (SELECT doc_id AS pair_id, row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def _sides(spark, d):
+    """Pairs and units; texts are dealt out by document before units are made of them, so that the join moves no units."""
     pairs, layouts = fixtures.revisions(documents(spark, d))
-    return pairs, align.document_units(layout.document_text(layouts))
+    return pairs, align.document_units(layout.document_text(layouts).repartition("doc_id"))
 
 
 def _units(spark, d):
