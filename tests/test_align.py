@@ -1,5 +1,7 @@
 import itertools
 import random
+import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -226,3 +228,38 @@ def test_hot_documents_are_dealt_out(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, align.compare_counts(pairs, units).collect()))
     plain, dealt = (align.paired(pairs, units, ("norms",), hot=h) for h in (1000, 20))
     assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect())) and dealt.count() == 600
+
+
+def test_possible_pairs_like_counted_bags():
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abc中") for _ in range(rng.randint(0, 9)))
+    for n in (0, 1, 7, 40):
+        old, new = [text() for _ in range(n)], [text() for _ in range(30)]
+        least = lambda a, b: 0.85 * (len(a) + len(b))
+        want = {(i, j) for i, a in enumerate(old) for j, b in enumerate(new) if min(2 * min(len(a), len(b)), 2 * sum((Counter(a) & Counter(b)).values())) >= least(a, b)}
+        for cells in (1, 50, 1 << 21):
+            got = list(matching.possible_pairs(old, new, 0.85, cells))
+            assert set(got) == want and len(got) == len(want)
+
+
+def test_a_block_of_many_units_is_paired_in_a_second():
+    old = [f"Entry {k * 7919 % 99991:05d} of the list of parts, which is checked before use, rev 1." for k in range(250)]
+    new = [x.replace("rev 1", "rev 2") for x in old]
+    began = time.process_time()
+    got = align._pair_block(old, new)
+    assert time.process_time() - began < 8 and len(got) >= 250
+    long = "x" * 30 + "".join(chr(97 + k * k % 23) for k in range(30_000))
+    began = time.process_time()
+    for _ in range(40):
+        assert matching.grown_run(long, long + "!") == (0, 0, len(long))
+    assert time.process_time() - began < 5
+
+
+def test_ratios_from_a_threshold():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc中 ") for _ in range(rng.randint(0, 30)))
+        b = "".join(c for c in a if rng.random() < 0.9) + rng.choice(["", "b", "xyz"])
+        value = matching.ratio(a, b)
+        for least in (0.5, 0.85, value):
+            assert matching.ratio_from(a, b, least) == (value if value >= least else None)
