@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from docdelta import scratch
-from docdelta.operators import align, layout, report
+from docdelta.operators import align, layout, report, search
 from docdelta.plans import fixtures
 
 
@@ -43,3 +43,15 @@ def test_compared_units_have_their_line_numbers(spark):
     plain = report.side_by_side(units.drop("old_no", "new_no"))
     order = lambda df: sorted(map(str, df.select("pair_id", "seq", "type", "old_line", "new_line").collect()))
     assert order(numbered) == order(plain)
+
+
+def test_a_part_of_a_pair_holds_each_gram_once(spark, tmp_path):
+    units = spark.range(300).coalesce(1).select(F.lit(7).cast("long").alias("pair_id"), F.col("id").cast("int").alias("seq"), F.concat(F.lit("Repeated notice "), F.col("id") % 5).alias("old"), F.lit(None).cast("string").alias("new"))
+    search.write_search_index(units, str(tmp_path), buckets=4)
+    postings = spark.read.parquet(f"{tmp_path}/postings")
+    assert {(r.n, r.parts) for r in postings.filter("gram = 'not'").groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).collect()} == {(5, 5)}
+    assert postings.count() < 5 * 60
+    asked = spark.createDataFrame([("ICE 3",), ("d notice",), ("notice 9",)], "query string")
+    got = [tuple(r) for r in search.search_all(spark, str(tmp_path), asked, buckets=4).collect()]
+    want = {("ICE 3", 7, k) for k in range(300) if k % 5 == 3} | {("d notice", 7, k) for k in range(300)}
+    assert set(got) == want and len(got) == len(want)
