@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import document_units
+from ..scratch import discard, shuffles_go, stored
 
 
 class UnitStore:
@@ -25,9 +26,14 @@ class UnitStore:
         return self.spark.catalog.tableExists(f"{self.name}_{kind}")
 
     def _write(self, rows: DataFrame, kind: str, mode: str) -> None:
+        """Rows that are dealt out by key already: each task writes to one bucket."""
         place = {"path": f"{self.path}/{kind}"} if self.path else {}
-        dealt = rows.repartition(self.buckets, "key")
-        dealt.write.bucketBy(self.buckets, "key").sortBy("key").mode(mode).format("parquet").options(**place).saveAsTable(f"{self.name}_{kind}")
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").mode(mode).format("parquet").options(compression="zstd", **place).saveAsTable(f"{self.name}_{kind}")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Dealt out by key to a multiple of the buckets, so that each part lies in one of them."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets
+        return rows.repartition(self.buckets * max(1, parts), "key")
 
     def put(self, docs: DataFrame) -> int:
         """Take ``docs`` (doc_id, text) as the present documents; the number of texts that had to be computed.
@@ -37,17 +43,20 @@ class UnitStore:
         is repeated, or was broken off between the two tables, computes nothing twice.
         """
         text = F.coalesce("text", F.lit(""))
-        keyed = docs.select("doc_id", F.sha2(text, 256).alias("key"), text.alias("text"))
-        fresh = keyed.select("key", "text").dropDuplicates(["key"])
-        before = 0
-        if self._has("texts"):
-            before = self._table("texts").count()
-            fresh = fresh.join(self._table("texts").select("key"), "key", "left_anti")
-        computed = document_units(fresh.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
-        self._write(computed, "texts", "append")
-        self._write(keyed.select("key", "doc_id"), "documents", "overwrite")
+        keyed = stored(docs.select("doc_id", F.sha2(text, 256).alias("key"), text.alias("text")), "keyed")
+        before = self._table("texts").count() if self._has("texts") else 0
+        with shuffles_go(self.spark):
+            # What travels are texts: units are made of them behind the one exchange.
+            fresh = self._dealt(keyed.select("key", "text")).dropDuplicates(["key"])
+            if self._has("texts"):
+                fresh = fresh.join(self._table("texts").select("key"), "key", "left_anti")
+            computed = document_units(fresh.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+            self._write(computed, "texts", "append")
+            self._write(self._dealt(keyed.select("key", "doc_id")), "documents", "overwrite")
+        discard(keyed)
         return self._table("texts").count() - before
 
     def units(self) -> DataFrame:
-        """(doc_id, units, norms) of the documents of the last ``put``: what ``compare_pairs`` reads."""
-        return self._table("documents").join(self._table("texts").hint("merge"), "key").select("doc_id", "units", "norms")
+        """(doc_id, units, norms) of the documents of the last ``put``: what ``compare_pairs`` reads. A task holds the
+        keys and ids of a bucket, and streams its texts."""
+        return self._table("documents").hint("shuffle_hash").join(self._table("texts"), "key").select("doc_id", "units", "norms")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docdelta import scratch
 from docdelta.operators import align, layout, report, search
 from docdelta.plans import fixtures
+from docdelta.sources.unit_store import UnitStore
 
 
 def plan(df):
@@ -55,3 +56,13 @@ def test_a_part_of_a_pair_holds_each_gram_once(spark, tmp_path):
     got = [tuple(r) for r in search.search_all(spark, str(tmp_path), asked, buckets=4).collect()]
     want = {("ICE 3", 7, k) for k in range(300) if k % 5 == 3} | {("d notice", 7, k) for k in range(300)}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_kept_units_leave_no_scratch(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Open valve {i % 30}. Then check it.") for i in range(60)], "doc_id long, text string")
+    store = UnitStore(spark, "kept_without_scratch", str(tmp_path), buckets=2)
+    before = shuffled(spark)
+    assert store.put(docs) == 30 and store.put(docs) == 0
+    assert shuffled(spark) <= before
+    kept = plan(store.units())
+    assert "Exchange" not in kept and "Sort" not in kept and store.units().count() == 60
