@@ -44,8 +44,8 @@ class UnitStore:
         """
         text = F.coalesce("text", F.lit(""))
         keyed = stored(docs.select("doc_id", F.sha2(text, 256).alias("key"), text.alias("text")), "keyed")
-        before = self._table("texts").count() if self._has("texts") else 0
         with shuffles_go(self.spark):
+            before = self._table("texts").count() if self._has("texts") else 0
             # What travels are texts: units are made of them behind the one exchange.
             fresh = self._dealt(keyed.select("key", "text")).dropDuplicates(["key"])
             if self._has("texts"):
@@ -53,8 +53,9 @@ class UnitStore:
             computed = document_units(fresh.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
             self._write(computed, "texts", "append")
             self._write(self._dealt(keyed.select("key", "doc_id")), "documents", "overwrite")
+            now = self._table("texts").count()
         discard(keyed)
-        return self._table("texts").count() - before
+        return now - before
 
     def units(self) -> DataFrame:
         """(doc_id, units, norms) of the documents of the last ``put``: what ``compare_pairs`` reads. A task holds the
