@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docdelta import scratch
 from docdelta.operators import align, layout, report, search
 from docdelta.plans import fixtures
+from docdelta.sources import layouts
 from docdelta.sources.unit_store import UnitStore
 
 
@@ -25,9 +26,9 @@ def revised(spark, n):
 
 
 def test_revisions_are_made_inside_their_rows(spark):
-    _, layouts = fixtures.revisions(revised(spark, 40))
-    assert "Exchange" not in plan(layouts)
-    assert {r.doc_id: len(r.pdf_info) for r in layouts.collect()} == {2 * i + side: (3 * (i % 5) + 7) // 8 for i in range(40) for side in (0, 1)}
+    _, made = fixtures.revisions(revised(spark, 40))
+    assert "Exchange" not in plan(made)
+    assert {r.doc_id: len(r.pdf_info) for r in made.collect()} == {2 * i + side: (3 * (i % 5) + 7) // 8 for i in range(40) for side in (0, 1)}
 
 
 def test_a_stored_table_leaves_no_shuffle_files(spark):
@@ -37,8 +38,8 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
 
 
 def test_compared_units_have_their_line_numbers(spark):
-    pairs, layouts = fixtures.revisions(revised(spark, 12))
-    units = align.compare_pairs(pairs, align.document_units(layout.document_text(layouts)))
+    pairs, made = fixtures.revisions(revised(spark, 12))
+    units = align.compare_pairs(pairs, align.document_units(layout.document_text(made)))
     numbered = report.side_by_side(units)
     assert "Window" not in plan(numbered)
     plain = report.side_by_side(units.drop("old_no", "new_no"))
@@ -66,3 +67,15 @@ def test_kept_units_leave_no_scratch(spark, tmp_path):
     assert shuffled(spark) <= before
     kept = plan(store.units())
     assert "Exchange" not in kept and "Sort" not in kept and store.units().count() == 60
+
+
+def test_layout_files_lie_in_few_folders(spark, tmp_path):
+    made = fixtures.layouts(revised(spark, 300))
+    assert "Exchange" not in plan(made)
+    layouts.write_layouts(made, f"{tmp_path}/files", folders=3)
+    found = [os.path.relpath(d, tmp_path) for d, _, names in os.walk(f"{tmp_path}/files") for f in names if f.endswith(".json")]
+    assert len(found) == 300 and len(set(found)) == 3
+    read = layouts.read_layouts(spark, f"{tmp_path}/files", "file_id long")
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    text = lambda df: {r.doc_id: r.text for r in layout.document_text(df).collect()}
+    assert text(read.withColumn("doc_id", F.col("file_id"))) == text(made)
